@@ -114,20 +114,20 @@ def infer(text: str | None, model: LanguageModel, penalty: float = 4.0) -> tuple
     return model.languages[chosen[main]], float(min(1.0, share[main] * min(1.0, sure))), mixed
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of each whole text: ``id_col``, ``lang_pred``, ``score`` (0 to 1), ``languages``.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The language of each whole text: ``id_col``, the columns of ``keep``, ``lang_pred``, ``score`` (0 to 1), ``languages``.
 
     A text that is null or has no letter is ``und`` with score 0 and no languages. Rows are independent:
-    repeated rows and null ids need no special case, and other columns are dropped.
+    repeated rows and null ids need no special case, and other columns are dropped. ``keep`` may name the text too.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    names = [id_col, *keep]
+    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(t.as_py(), model) for t in batch.column(1)]
+            found = [infer(t.as_py(), model) for t in batch.column(len(names))]
             mixed = pa.array([[{"lang": a, "share": s} for a, s in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), mixed], ["_id", "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), mixed], [*names, "lang_pred", "score", "languages"])
 
-    out = rows.mapInArrow(run, f"_id {kind}, lang_pred string, score double, languages array<struct<lang string, share double>>")
-    return out.withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<struct<lang string, share double>>")

@@ -169,19 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     return train_model(part(True), part(False))
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``id_col``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) of each whole text.
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns of ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) of each whole text.
 
     A null text counts as empty; an empty text has a score too. Rows are independent: repeated rows and
     null ids need no special case, and other columns are dropped.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    names = [id_col, *keep]
+    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = model.score(np.array([features(t.as_py()) for t in batch.column(1)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["_id", "score", "predicted"])
+                found = model.score(np.array([features(t.as_py()) for t in batch.column(len(names))]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return rows.mapInArrow(run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")

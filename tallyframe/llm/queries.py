@@ -8,17 +8,68 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, quality
+from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .tokens import token_digests
 from .topk import top_k
+from .warc import resolve_revisits
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out())
+    return langid.identify(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def web_records(pages: DataFrame) -> DataFrame:
+    """Archive records about ``pages``: a response for most pages and a later revisit for each.
+
+    The last digit of the id decides: 7 has no response, revisits of 2 have another entity tag, those of 4
+    none but a date of change, those of 6 no validator.
+    """
+    digit = F.col("page_id") % 10
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
+    response = pages.filter(digit != 7).select(
+        (2 * F.col("page_id")).alias("record_id"),
+        "url",
+        (F.col("page_id") * 1000).alias("date"),
+        F.lit("response").alias("kind"),
+        F.lit(200).alias("status"),
+        F.create_map(*map(F.lit, ("content-type", "text/html", "cache-control", "max-age=60")), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("etag"), tag, F.lit("last-modified"), (F.col("page_id") * 7).cast("string")).alias("headers"),
+        F.sha2("html", 256).alias("payload_digest"),
+    )
+    validator = F.when(digit == 6, F.create_map().cast("map<string,string>")).when(digit == 4, F.create_map(F.lit("last-modified"), (F.col("page_id") * 7).cast("string")))
+    validator = validator.otherwise(F.create_map(F.lit("etag"), F.when(digit == 2, F.lit('"new"')).otherwise(F.concat(F.lit("W/"), tag))))
+    revisit = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"),
+        F.concat("url", F.lit("#again")).alias("url"),
+        (F.col("page_id") * 1000 + 200_000).alias("date"),
+        F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"),
+        F.map_concat(F.create_map(*map(F.lit, ("content-length", "0", "cache-control", "max-age=90", "date", "later"))), validator).alias("headers"),
+        F.lit(None).cast("string").alias("payload_digest"),
+    )
+    return response.unionByName(revisit)
+
+
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(web_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "canonical_url", "refers_to", "outcome", "status", F.array_join(lines, "\n").alias("headers"), "payload_digest")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -44,22 +95,56 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=1024, end_id=2)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality.score(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
+        op2_html_text,
+        op3_revisits,
         op4_bpe,
         op5_exact_dedup,
         op6_line_dedup,
         op7_top_k,
         op8_near_dup,
         op9_packing,
+        op10_quality,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
+#: The address, spelt as ``canonical_url`` spells it, of the column ``url``.
+_CANONICAL = r"""
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&'), ''), '')
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_revisits": f"""
+        WITH p AS (SELECT *, page_id % 10 AS digit, '"' || left(md5(html), 12) || '"' AS tag, {_CANONICAL} AS canonical_url FROM pages),
+        stored AS (SELECT 2 * page_id AS refers_to, canonical_url, page_id * 1000 AS date, sha256(html) AS digest, tag, (page_id * 7)::VARCHAR AS modified,
+            strlen(html)::VARCHAR AS bytes FROM p WHERE digit <> 7),
+        asks AS (SELECT 2 * page_id + 1 AS record_id, canonical_url, page_id * 1000 + 200000 AS date, CASE WHEN digit NOT IN (4, 6) THEN CASE WHEN digit = 2 THEN '"new"' ELSE 'W/' || tag END END AS own_tag,
+            CASE WHEN digit = 4 THEN (page_id * 7)::VARCHAR END AS own_modified FROM p),
+        hit AS (SELECT a.record_id, max_by(s, (s.date, s.refers_to)) AS s FROM asks a JOIN stored s ON s.canonical_url = a.canonical_url AND s.date < a.date GROUP BY a.record_id),
+        o AS (SELECT a.*, s, CASE WHEN s IS NULL THEN 'missing' WHEN replace(own_tag, 'W/', '') <> s.tag OR own_modified <> s.modified THEN 'changed'
+            WHEN own_tag IS NULL AND own_modified IS NULL THEN 'unchecked' ELSE 'resolved' END AS outcome FROM asks a LEFT JOIN hit USING (record_id)),
+        m AS (SELECT *, outcome IN ('resolved', 'unchecked') AS merges FROM o)
+        SELECT record_id, canonical_url, s.refers_to AS refers_to, outcome, CASE WHEN merges THEN 200 ELSE 304 END AS status,
+            CASE WHEN merges THEN 'cache-control: max-age=90' || chr(10) || 'content-length: ' || s.bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: later' || chr(10)
+                    || 'etag: ' || coalesce(own_tag, s.tag) || chr(10) || 'last-modified: ' || s.modified
+                ELSE 'cache-control: max-age=90' || chr(10) || 'content-length: 0' || chr(10) || 'date: later' || coalesce(chr(10) || 'etag: ' || own_tag, '') || coalesce(chr(10) || 'last-modified: ' || own_modified, '') END AS headers,
+            CASE WHEN merges THEN s.digest END AS payload_digest FROM m
+    """,
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
