@@ -20,6 +20,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokens of the byte-level vocabulary, with the white space class spelt out.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 NONE = np.int64(1) << 62
+MARKS = ".,;:!?"
 
 
 def printable_bytes() -> dict[str, int]:
@@ -56,7 +57,6 @@ class SegmentTreeBPE:
         self.pair_rank = np.array([*(self.rank[p][0] for p in order), 0], np.int64)
         self.pair_new = np.array([*(self.rank[p][1] for p in order), 0], np.int64)
         self.find = regex.compile(PRE_TOKEN).findall
-        self.blank = regex.compile(rf"[{WHITE}]").match
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.limit, self.widest = cache, widest
         self.words: dict[str, bytes] = {}
@@ -211,7 +211,7 @@ class SegmentTreeBPE:
                 head, *rest = part.split(" ")
                 known = list(map(chunks.get, rest))
                 new = {c for c, x in zip(rest, known, strict=True) if x is None} if None in known else ()
-                odd = any(not c or self.blank(c) for c in new)  # such chunks are never remembered
+                odd = any(not c[:1].strip() for c in new)  # empty or after white space: never remembered
                 found = self.find(part if odd else head)
                 odd_words.update(found)
                 plan.append(("words", found))
@@ -219,10 +219,24 @@ class SegmentTreeBPE:
                     fresh.update(new)
                     plan.append(("chunks", rest) if new else ("known", known))
             plans.append(plan)
-        found_by = {c: self.find(" " + c) for c in fresh}
-        self._learn({w for found in (odd_words, *found_by.values()) for w in found})
+        # a chunk of letters is one pre-token, and one mark after it is another
+        stems, marked, others = set(), [], {}
+        for c in fresh:
+            if c.isalpha():
+                stems.add(c)
+            elif c[-1] in MARKS and c[:-1].isalpha():
+                marked.append(c)
+                if c[:-1] not in chunks:
+                    stems.add(c[:-1])
+            else:
+                others[c] = self.find(" " + c)
+        self._learn({*odd_words, *MARKS}.union(*others.values()))
         words = self.words
-        for c, found in found_by.items():
+        new = list(stems)
+        chunks.update(zip(new, self.merge([b" " + c.encode() for c in new]), strict=True))
+        for c in marked:
+            chunks[c] = chunks[c[:-1]] + words[c[-1]]
+        for c, found in others.items():
             chunks[c] = b"".join([words[w] for w in found])
         out = []
         for plan in plans:
