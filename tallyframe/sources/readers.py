@@ -23,7 +23,7 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "
 def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Every column as text; an empty field is an empty text."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("emptyValue", "").option("nullValue", "\0").csv(path)
+    return spark.read.schema(schema).option("header", True).csv(path).fillna("")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
