@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     sketched = written(sketches(rows, words), "sketches")
     sets = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = sets.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    classes = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = written(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")  # so that the join below can split a hot digest
     member = nodes.join(classes, "digest").select("doc_id", "rep")
     firsts = classes.select(F.col("rep").alias("doc_id"), "digest")
     reps = written(sets.join(firsts, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "registers"), "reps")

@@ -95,7 +95,7 @@ def _risk_gradient(z: np.ndarray, target: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, decay: float, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk; where the unlabelled part is negative, that part is climbed back."""
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -121,8 +121,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cut = np.quantile(positive, np.linspace(0.02, 0.9, 45))
     tail_p = (positive[None, :] >= cut[:, None]).mean(1)
     tail_u = (unlabelled[None, :] >= cut[:, None]).mean(1)
-    slack = 1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive))
-    return float(np.clip(np.min((tail_u + slack / 2) / tail_p), 0.05, 0.99))
+    slack = 0.8 / np.sqrt(len(unlabelled)) + 0.8 / np.sqrt(len(positive))
+    return float(np.clip(np.min((tail_u + slack) / tail_p), 0.05, 0.99))
 
 
 def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> QualityModel:
@@ -134,9 +134,10 @@ def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400)
     both = np.concatenate([p, u])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
-    w, b = _descend(p, u, 0.5, steps // 2)  # any prior orders the texts
+    decay = 1e-3 + 4 / min(len(p), len(u))  # few rows bear a plain model only
+    w, b = _descend(p, u, 0.5, steps // 2, decay=decay)  # any prior orders the texts
     prior = class_prior(p @ w + b, u @ w + b)
-    w, b = _descend(p, u, prior, steps)
+    w, b = _descend(p, u, prior, steps, decay=decay)
     return QualityModel(mean, scale, w, b, prior)
 
 
