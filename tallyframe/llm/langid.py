@@ -107,11 +107,13 @@ def infer(text: str | None, model: LanguageModel, penalty: float = 4.0) -> tuple
             break
         chosen, share, best = order[:k], more, likely
     main = int(np.argmax(share))
-    # how sure the main language is against each other one, on the trigrams of one short sentence at most
-    scores = counts @ np.log(p) / counts.sum() * min(counts.sum(), 60)
-    sure = 1 / np.exp(scores - scores[chosen[main]]).sum() if len(scores) > 1 else 1.0
     mixed = [(model.languages[c], float(s)) for c, s in zip(chosen, share, strict=True)]
-    return model.languages[chosen[main]], float(min(1.0, share[main] * min(1.0, sure))), mixed
+    if len(mixed) > 1 or p.shape[1] == 1:
+        return model.languages[chosen[main]], float(min(1.0, share[main])), mixed
+    # how sure one language is against each other one, on the trigrams of one short sentence at most
+    scores = counts @ np.log(p) / counts.sum() * min(counts.sum(), 60)
+    sure = np.exp(scores - scores.max())
+    return model.languages[chosen[0]], float(sure[chosen[0]] / sure.sum()), mixed
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
