@@ -92,3 +92,24 @@ def binomial_tail(k: Column, n: Column) -> Column:
     log_choose = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda a, j: a + F.when(i > 0, F.ln((n - i + j).cast("double")) - F.ln(j.cast("double"))).otherwise(0.0))
     terms = F.transform(F.sequence(k.cast("int"), n.cast("int")), lambda i: F.exp(log_choose(i) - n * F.ln(F.lit(2.0))))
     return F.when(k <= n, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+
+
+def slope_interval(rows: DataFrame, unit: str, x: str, y: str, iterations: int, seed: str = "mean") -> DataFrame:
+    """Least-squares slope and the interval of its replicates over resampled units; weighted moments give each one."""
+    units = rows.select(unit).distinct()
+    places = units.select(unit, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unit)) - 1).cast("long").alias("pos"))
+    weights = item_weights(units.groupBy(F.lit("u").alias("task")).agg(F.count("*").alias("n")), iterations, seed).drop("task")
+    drawn = rows.join(F.broadcast(places), unit).join(weights, "pos")
+    moment = lambda w: F.try_divide(F.sum(w) * F.sum(w * F.col(x) * F.col(y)) - F.sum(w * F.col(x)) * F.sum(w * F.col(y)), F.sum(w) * F.sum(w * F.col(x) ** 2) - F.sum(w * F.col(x)) ** 2)
+    low, high = interval(F.col("s"))
+    reps = drawn.groupBy("b").agg(moment(F.col("w").cast("double")).alias("s")).agg(low, high)
+    return rows.agg(moment(F.lit(1.0)).alias("slope")).crossJoin(F.broadcast(reps))
+
+
+def calibrated_interval(rows: DataFrame, unit: str, value: str, iterations: int, by: str, intercept: float, slope: float, residuals: DataFrame, seed: str = "mean") -> DataFrame:
+    """Interval of a calibrated mean: replicate means go through the line and get a drawn residual (``pos, residual``)."""
+    n = residuals.count()
+    reps = mean_replicates(rows, unit, value, iterations, [by], seed)
+    reps = reps.withColumn("pos", hash_draw(F.lit(n), F.lit("residual"), by, "b")).join(F.broadcast(residuals), "pos")
+    out = reps.groupBy(by).agg(*interval(intercept + slope * F.col("mean") + F.col("residual")))
+    return rows.groupBy(by).agg((intercept + slope * F.avg(value)).alias("calibrated")).join(out, by)
