@@ -44,8 +44,8 @@ def top_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column], n:
 
 def both_ends(rows: DataFrame, key: Sequence[str], order: str, tie: str, n: int) -> DataFrame:
     """The first and last n of each group."""
-    up, down = (W.partitionBy(*key).orderBy(*o) for o in ((F.asc(order), F.asc(tie)), (F.desc(order), F.desc(tie))))
-    return rows.withColumn("_a", F.row_number().over(up)).withColumn("_b", F.row_number().over(down)).filter((F.col("_a") <= n) | (F.col("_b") <= n)).drop("_a", "_b")
+    low, high = (top_per_key(rows, key, o, n) for o in ([F.asc(order), F.asc(tie)], [F.desc(order), F.desc(tie)]))
+    return low.unionByName(high).dropDuplicates([*key, tie])
 
 
 def median_and_longest(rows: DataFrame, by: str, length: str, key: str) -> DataFrame:
@@ -82,8 +82,9 @@ def unique_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
 def class_preserving_draw(rows: DataFrame, label: str, n: int, seed: str, key: str) -> DataFrame:
     """One row of every class, then others by digest order up to n."""
     order = digest_order(seed, key)
-    first = F.row_number().over(W.partitionBy(label).orderBy(order, key)) == 1
-    ranked = rows.withColumn("_first", first)
+    first = top_per_key(rows, [label], [order, F.col(key)], 1)
+    rest = rows.join(F.broadcast(first.select(key)), key, "left_anti").select(*rows.columns)
+    ranked = first.withColumn("_first", F.lit(True)).unionByName(rest.withColumn("_first", F.lit(False)))
     return ranked.orderBy(F.desc("_first"), order, key).limit(n).drop("_first")
 
 
@@ -98,8 +99,9 @@ def split_parts(rows: DataFrame, key: str, seed: str, shares: Mapping[str, float
 
 
 def prefix_split(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """Adds ``pilot``: the first n of each group."""
-    return rows.withColumn("pilot", F.row_number().over(W.partitionBy(by).orderBy(order)) <= n)
+    """Adds ``pilot``: the first n of each group by an order without ties."""
+    first = top_per_key(rows.select(by, order), [by], [F.col(order)], n).withColumn("pilot", F.lit(True))
+    return rows.join(first, [by, order], "left").withColumn("pilot", F.coalesce("pilot", F.lit(False)))
 
 
 def keep_named_and_share(rows: DataFrame, named: Column, share: float, seed: str, key: str) -> DataFrame:

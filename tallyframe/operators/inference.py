@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: A client takes (model, system text, user text) and returns the answer.
 Client = Callable[[str, str, str], str]
 ANSWER = "task string, model string, item_id string, raw_content string, latency_s double, parse_error string"
@@ -18,7 +20,7 @@ ANSWER = "task string, model string, item_id string, raw_content string, latency
 def flatten_requests(items: DataFrame, tasks: DataFrame) -> DataFrame:
     """Requests in a fixed order: by the order of the task, then of the item; ``request_index`` starts at 0."""
     rows = items.join(F.broadcast(tasks.select("task", "task_order")), "task")
-    return rows.withColumn("request_index", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("task_order", "pos")) - 1)
+    return numbered(rows, "pos", outer=["task_order"], name="request_index")
 
 
 def plan_cells(items: DataFrame, models: DataFrame, skip: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:

@@ -134,10 +134,24 @@ def average_rank(value: Column | str, by: list[str]) -> Column:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], name: str = "spearman") -> DataFrame:
-    """Pearson correlation of average ranks within groups; pairs with a null are left out."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*by, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
-    return ranked.groupBy(*by).agg(pearson(F.col("_x"), F.col("_y")).alias(name))
+    """Pearson correlation of average ranks within groups; pairs with a null are left out.
+
+    Ranks come from counts of distinct pairs of values, so only those are sorted.
+    """
+    counts = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_a"), F.col(y).alias("_b")).agg(F.count("*").alias("_w"))
+
+    def ranks(side: str, rank: str) -> DataFrame:
+        """The mean rank of each distinct value: those before it, and half of its own."""
+        n = counts.groupBy(*by, side).agg(F.sum("_w").alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(*by).orderBy(side).rowsBetween(W.unboundedPreceding, 0))
+        return n.select(*by, side, (upto - (F.col("_n") - 1) / 2).alias(rank))
+
+    ranked = counts.join(ranks("_a", "_x"), [*by, "_a"]).join(ranks("_b", "_y"), [*by, "_b"])
+    w, a, b = (F.col(c).cast("double") for c in ("_w", "_x", "_y"))
+    n = F.sum(w)
+    va, vb = n * F.sum(w * a * a) - F.sum(w * a) ** 2, n * F.sum(w * b * b) - F.sum(w * b) ** 2
+    value = F.when((n >= 3) & (va > 1e-9) & (vb > 1e-9), F.try_divide(n * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b), F.sqrt(va) * F.sqrt(vb)))
+    return ranked.groupBy(*by).agg(value.alias(name))
 
 
 def score_metrics(decisions: DataFrame, lo: float, hi: float) -> DataFrame:

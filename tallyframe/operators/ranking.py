@@ -184,9 +184,9 @@ def selection_value(scores: DataFrame, model_class: DataFrame, value: str = "f1"
 
 def standardised_mean(rows: DataFrame, columns: Sequence[str], name: str = "proxy") -> DataFrame:
     """Mean of the z-scores (population deviation) of log(1 + column); a constant column gives 0."""
-    one = W.partitionBy(F.lit(1))
+    logs = {c: F.log1p(F.col(c).cast("double")) for c in columns}
+    facts = rows.agg(*(f(x).alias(f"_{n}_{c}") for c, x in logs.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     out = F.lit(0.0)
-    for c in columns:
-        x = F.log1p(F.col(c).cast("double"))
-        out = out + F.coalesce(F.try_divide(x - F.avg(x).over(one), F.stddev_pop(x).over(one)), F.lit(0.0))
-    return rows.withColumn(name, out / len(columns))
+    for c, x in logs.items():
+        out = out + F.coalesce(F.try_divide(x - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(facts)).withColumn(name, out / len(columns)).select(*rows.columns, name)  # one row of facts

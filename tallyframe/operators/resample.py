@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 LEVELS = (0.025, 0.975)
 
 
@@ -30,8 +32,9 @@ def item_weights(sizes: DataFrame, iterations: int, seed: str = "boot") -> DataF
 
 def positions(items: DataFrame) -> DataFrame:
     """The place of each item in its task, by id: ``task, id, pos, n``."""
-    w = W.partitionBy("task")
-    return items.select("task", "id").distinct().withColumn("pos", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count("*").over(w))
+    keys = items.select("task", "id").distinct()
+    sizes = keys.groupBy("task").agg(F.count("*").alias("n"))
+    return numbered(keys, "id", by=["task"]).join(F.broadcast(sizes), "task")
 
 
 def f1_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:

@@ -54,13 +54,11 @@ def partial_rank_correlation(rows: DataFrame, x: str, y: str, control: str) -> D
 
 
 def within_group_slope(rows: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """Slope with fixed effects of one group: both sides less their group means."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*groups)
-    a, b = (F.col(c) - F.avg(c).over(w) for c in (x, y))
-    rows = rows.select(a.alias("_x"), b.alias("_y"))
-    return rows.agg(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") ** 2)).alias("slope"), F.count("*").alias("n"))
+    """Slope with fixed effects of one group, from each group's moments."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    g = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * b).alias("xy"), F.sum(a * a).alias("xx"))
+    n = F.col("n")
+    return g.agg(F.try_divide(F.sum(F.col("xy") - F.col("sx") * F.col("sy") / n), F.sum(F.col("xx") - F.col("sx") ** 2 / n)).alias("slope"), F.sum("n").alias("n"))
 
 
 def two_way_slope(rows: DataFrame, first: str, second: str, x: str, y: str) -> DataFrame:

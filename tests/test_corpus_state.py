@@ -125,3 +125,14 @@ def test_ledger_batch_and_stream_agree(spark, tmp_path):
     assert batch["r1"].rows_written == 5 and batch["r1"].ended_at == datetime.datetime(2024, 1, 1, 2)
     board = s.status_board(spark.createDataFrame(list(batch.values())))
     assert {(x.run_id, x.bucket) for x in board.collect()} == {("r1", "completed"), ("r2", "active")}
+
+
+def test_numbers_over_many_ranges(spark):
+    from tallyframe.operators.numbering import numbered
+
+    rows = spark.createDataFrame([(g, o, p) for g in "ab" for o in (2, 1) for p in (7, 0, 3, 11, 5)], "g string, o int, p long")
+    got = sorted((x.g, x.o, x.p, x.n) for x in numbered(rows, "p", by=["g"], outer=["o"], name="n", width=4).collect())
+    assert [x[3] for x in got] == [*range(10)] * 2
+    tasks = spark.createDataFrame([("t", 2), ("s", 1)], "task string, task_order int")
+    items = spark.createDataFrame([("t", 0), ("s", 1), ("s", 0)], "task string, pos int")
+    assert [(x.task, x.pos) for x in i.flatten_requests(items, tasks).orderBy("request_index").collect()] == [("s", 0), ("s", 1), ("t", 0)]
