@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import running_sum
+
 
 def gpu_hours_per_1000(median_latency: Column, compute_class: Column) -> Column:
     """Of local models only."""
@@ -43,9 +44,9 @@ def worst_case_usd(body: Column, max_output: Column, usd_in: Column, usd_out: Co
 
 
 def within_budget(rows: DataFrame, priority: str, cost: str, budget: float) -> DataFrame:
-    """What is kept when items are added by priority until the budget is used up."""
-    spent = F.sum(cost).over(W.partitionBy(F.lit(1)).orderBy(priority).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("spent", spent).withColumn("kept", F.col("spent") <= budget)
+    """What is kept when items are added by priority (a whole number) until the budget is used up."""
+    out = running_sum(rows, priority, cost, "spent")
+    return out.withColumn("kept", F.round("spent", 6) <= budget)
 
 
 def committed(status: Column, cost: Column, reserved: Column) -> Column:

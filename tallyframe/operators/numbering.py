@@ -25,3 +25,12 @@ def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), outer: Sequenc
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     out = ranged.withColumn("_inside", inside).join(offsets, [*keys, "_range"])
     return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_before")
+
+
+def running_sum(rows: DataFrame, order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each one by ``order`` (a whole number), by ranges as in ``numbered``."""
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    inside = F.sum(value).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    earlier = W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")

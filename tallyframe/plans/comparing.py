@@ -148,8 +148,8 @@ def complexity_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(k.standardised_mean(docs, ["n_chars", "spaces"]).select("doc_id", "proxy"))
 
 
-#: Draws of 40 replicates for the smaller tasks, and their F1.
-SQL_BOOT = f"""{BASE}, s AS (SELECT *, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, id FROM wrong WHERE task IN ('toxic', 'quality', 'lang'))),
+#: Draws of 40 replicates for every labelling task, and their F1.
+SQL_BOOT = f"""{BASE}, s AS (SELECT *, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, id FROM wrong)),
     place AS (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY id) - 1 AS pos FROM s),
     size AS (SELECT task, any_value(n) AS n FROM s GROUP BY task),
     slot AS (SELECT task, n, b, unnest(range(n)) AS j FROM size, range(1, {DRAWS + 1}) r(b)),
@@ -161,8 +161,7 @@ SQL_BOOT = f"""{BASE}, s AS (SELECT *, count(*) OVER (PARTITION BY task) AS n FR
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wrong(spark, sf_dir).filter("task IN ('toxic', 'quality', 'lang')")
-    return b.f1_replicates(rows, label_def(spark), DRAWS)
+    return b.f1_replicates(wrong(spark, sf_dir).filter("kind <> 'score'"), label_def(spark), DRAWS)
 
 
 @query(f"{SQL_BOOT} SELECT task, model, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, round(avg(f1), 6) AS mean FROM reps GROUP BY ALL")

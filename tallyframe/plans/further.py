@@ -38,10 +38,10 @@ def majority_share_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.share_summary(shares, "share", "name"))
 
 
-@query("""WITH c AS (SELECT (l_orderkey % 50) AS unit, l_suppkey % 9 AS coder, array_to_string(list_sort(list(DISTINCT l_returnflag)), '+') AS s FROM lineitem WHERE l_orderkey % 100 < 50 GROUP BY ALL), n AS (SELECT unit, s, count(*) AS n FROM c GROUP BY ALL)
+@query("""WITH c AS (SELECT (l_orderkey % 50) AS unit, l_suppkey % 9 AS coder, array_to_string(list_sort(list(DISTINCT l_returnflag)), '+') AS s FROM lineitem GROUP BY ALL), n AS (SELECT unit, s, count(*) AS n FROM c GROUP BY ALL)
     SELECT unit, max(n) AS top, sum(n)::BIGINT AS coders, round(max(n) / sum(n), 6) AS share FROM n GROUP BY unit""")
 def label_set_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 100 < 50").select((F.col("l_orderkey") % 50).alias("unit"), (F.col("l_suppkey") % 9).alias("coder"), "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("unit"), (F.col("l_suppkey") % 9).alias("coder"), "l_returnflag")
     return rounded(v.label_set_votes(rows, "unit", "coder", "l_returnflag"))
 
 
@@ -107,10 +107,10 @@ def permutation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drawn.crossJoin(F.broadcast(real)).agg(F.max("real").alias("correlation"), ((1 + over) / (F.count("*") + 1)).alias("p_value")))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_totalprice, sum(o_totalprice) OVER (ORDER BY o_orderkey) AS spent FROM orders) SELECT o_orderkey, round(spent, 2) AS spent, spent <= 1000000 AS kept FROM o WHERE o_orderkey <= 100""")
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, sum(o_totalprice) OVER (ORDER BY o_orderkey) AS spent FROM orders) SELECT o_orderkey, round(spent, 2) AS spent, round(spent, 2) <= 1000000 AS kept FROM o""")
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a hard budget keeps, by priority."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey <= 100").select("o_orderkey", "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return rounded(h.within_budget(rows, "o_orderkey", "o_totalprice", 1_000_000).select("o_orderkey", "spent", "kept"), 2)
 
 

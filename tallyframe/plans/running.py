@@ -72,11 +72,11 @@ def stub_client() -> i.Client:
     return call
 
 
-@query("""WITH d AS (SELECT doc_id::VARCHAR AS item_id, left(text, 40) AS u FROM documents), c AS (SELECT item_id, u, 'm' || k AS model FROM d, range(1, 6) r(k) WHERE NOT (k = 5))
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS item_id, text AS u FROM documents), c AS (SELECT item_id, u, 'm' || k AS model FROM d, range(1, 6) r(k) WHERE NOT (k = 5))
     SELECT item_id, model, CASE WHEN u LIKE '%7%' THEN NULL ELSE '{"parity": ' || (length(u) + 2) % 2 || '}' END AS raw_content, CASE WHEN u LIKE '%7%' THEN 'ValueError: no sevens' END AS parse_error FROM c""")
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item to every model but the skipped one; errors are rows."""
-    items = table(spark, sf_dir, "documents").select(F.lit("lang").alias("task"), F.col("doc_id").cast("string").alias("item_id"), F.substring("text", 1, 40).alias("user_content"))
+    items = table(spark, sf_dir, "documents").select(F.lit("lang").alias("task"), F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("user_content"))
     skip = models(spark).filter("k = 5").select("model", F.lit("lang").alias("task"))
     out = i.answer(i.plan_cells(items, models(spark), skip), stub_client)
     return out.select("item_id", "model", "raw_content", "parse_error")
@@ -258,9 +258,8 @@ def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The release's table of pairs on the small tasks; intervals are those of ``paired_bootstrap``."""
-    rows = decisions(spark, sf_dir).filter("task IN ('toxic', 'quality')")
-    return api.release(rows, label_def(spark), tasks(spark), 40)["pairs"]
+    """The release's table of pairs; intervals are those of ``paired_bootstrap``."""
+    return api.release(decisions(spark, sf_dir), label_def(spark), tasks(spark), 40)["pairs"]
 
 
 query()(summary_report)
