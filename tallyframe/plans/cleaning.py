@@ -21,14 +21,14 @@ _CLEAN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 
 @query(f"SELECT doc_id, md5({_CLEAN}) AS clean_md5, length({_CLEAN}) AS n_chars, len(string_split({_CLEAN}, ' ')) AS n_words, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents")
 def clean_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.md5(t.clean_text("text")).alias("clean_md5"), F.length(t.clean_text("text")).alias("n_chars"), t.word_count("text").alias("n_words"), t.line_count("text").alias("n_lines"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(t.clean_text("text")).alias("clean_md5"), F.length(t.clean_text("text")).cast("long").alias("n_chars"), t.word_count("text").cast("long").alias("n_words"), t.line_count("text").cast("long").alias("n_lines"))
 
 
 @query(f"""WITH x AS (SELECT lang, length(text) AS chars, len(string_split({_CLEAN}, ' ')) AS words FROM documents)
     SELECT lang, round(avg(chars), 6) AS mean_chars, median(chars)::DOUBLE AS median_chars, round(quantile_cont(chars, 0.9), 6) AS p90_chars, max(chars) AS max_chars, round(avg(words), 6) AS mean_words, median(words)::DOUBLE AS median_words FROM x GROUP BY lang""")
 def length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("lang", F.length("text").alias("chars"), t.word_count("text").alias("words"))
-    return rounded(rows.groupBy("lang").agg(F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.percentile("chars", F.lit(0.9)).alias("p90_chars"), F.max("chars").alias("max_chars"), F.avg("words").alias("mean_words"), F.median("words").alias("median_words")))
+    return rounded(rows.groupBy("lang").agg(F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.percentile("chars", F.lit(0.9)).alias("p90_chars"), F.max("chars").cast("long").alias("max_chars"), F.avg("words").alias("mean_words"), F.median("words").alias("median_words")))
 
 
 _ITEMS = f"""s AS (SELECT doc_id, 'source_' || doc_id AS item_id, {_CLEAN} AS text, CASE source WHEN 'src1' THEN 'first' ELSE source END AS gold FROM documents),
@@ -170,7 +170,7 @@ def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, length(html) AS n FROM pages WHERE html LIKE '%&amp;%'")
 def pages_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("&amp;"))).select("page_id", F.length("html").alias("n"))
+    return table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("&amp;"))).select("page_id", F.length("html").cast("long").alias("n"))
 
 
 def unescaped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
