@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower_ascii
+from .common import SPACE, lower_ascii, written
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, least_docs: int = 2) -> DataFrame:
@@ -25,9 +25,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     key = lambda x: lower_ascii(F.btrim(x, F.lit(SPACE)))
-    hashed = lambda x: F.when(F.length(key(x)) >= least_chars, F.unhex(F.md5(key(x))))
+    hashed = lambda k: F.when(F.length(k) >= least_chars, F.unhex(F.md5(k)))
     lines = F.split("_text", "\n", -1)
-    with_hash = rows.select("_id", F.xxhash64("_text").alias("_version"), F.transform(lines, hashed).alias("_hashes"))
+    with_hash = written(rows.select("_id", F.xxhash64("_text").alias("_version"), F.transform(F.transform(lines, key), hashed).alias("_hashes")), "lines")
     each = with_hash.select("_id", F.explode(F.array_distinct(F.filter("_hashes", lambda h: h.isNotNull()))).alias("_hash"))
     pairs = each.groupBy("_hash", "_id").agg(F.lit(1).alias("_one"))
     common = pairs.groupBy("_hash").agg(F.count("*").alias("_docs"), F.min("_id").alias("_first")).filter(F.col("_docs") >= least_docs)
