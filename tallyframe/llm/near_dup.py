@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     dealt = reps.select("doc_id", F.inline(F.array(*map(band, range(BANDS)))))
     buckets = dealt.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     members = written(dealt.join(buckets, ["band", "key"]), "members")
+    # whole texts move once; those that share no bucket are never read again
+    texts = written(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     stars = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = written(_likely(stars, reps, share), "likely")
@@ -218,14 +220,14 @@ def near_duplicates(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     tasks = likely.join(degree, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / BLOCK))).alias("task"))
     wanted = tasks.groupBy("task", "a").agg(F.collect_list("b").alias("partners")).select("task", F.col("a").alias("doc_id"), "partners")
     wanted = wanted.unionByName(tasks.select("task", F.col("b").alias("doc_id"), F.array().cast("array<long>").alias("partners")))
-    first = written(_verified(wanted, rows, words, least), "links")
+    first = written(_verified(wanted, texts, words, least), "links")
     joined = components(first)
 
     placed = members.filter("size > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     home = joined.select(F.col("node").alias("leader"), F.col("component").alias("home"))
     placed = placed.join(home, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
-    second = _verified(_rest_of_buckets(placed, reps, share), rows, words, least)
+    second = _verified(_rest_of_buckets(placed, reps, share), texts, words, least)
     groups = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
 
     out = sketched.select("doc_id", "n").join(member, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
