@@ -31,6 +31,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = with_hash.select("_id", F.explode(F.array_distinct(F.filter("_hashes", lambda h: h.isNotNull()))).alias("_hash"))
     pairs = each.groupBy("_hash", "_id").agg(F.lit(1).alias("_one"))
     common = pairs.groupBy("_hash").agg(F.count("*").alias("_docs"), F.min("_id").alias("_first")).filter(F.col("_docs") >= least_docs)
+    common = written(common, "common")  # so that the join can split a very common line
     places = with_hash.select("_id", "_version", F.posexplode("_hashes").alias("_at", "_hash")).filter("_hash IS NOT NULL AND _id IS NOT NULL")
     lost = places.join(common, "_hash").filter("_id <> _first")
     lost = lost.groupBy("_id", "_version").agg(F.collect_set("_at").alias("_lost"))
