@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Headers of a 304 answer that describe its own message and never replace those of the stored response.
 OWN_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that say where a visitor came from.
@@ -68,7 +70,8 @@ def resolve_revisits(records: DataFrame, span: int = 86_400) -> DataFrame:
 
     asks = rows.filter("kind = 'revisit'").select("record_id", "canonical_url", F.col("status").alias("own_status"), F.col("headers").alias("own"), F.col("payload_digest").alias("own_digest"))
     stored = rows.filter(full).select(F.col("record_id").alias("refers_to"), F.col("status").alias("old_status"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest"))
-    out = asks.join(found, "record_id", "left").join(stored.dropDuplicates(["refers_to"]), "refers_to", "left")
+    stored = written(stored.dropDuplicates(["refers_to"]), "responses")  # so that the join can split a response that many refer to
+    out = asks.join(found, "record_id", "left").join(stored, "refers_to", "left")
     checks = F.array(_agree(_tag("own"), _tag("old")), _agree(F.col("own")["last-modified"], F.col("old")["last-modified"]), _agree(F.col("own_digest"), F.col("old_digest")))
     known = F.filter(checks, lambda c: c.isNotNull())
     outcome = F.when(F.col("refers_to").isNull(), "missing").when(F.exists(known, lambda c: ~c), "changed").when(F.size(known) == 0, "unchecked").otherwise("resolved")
