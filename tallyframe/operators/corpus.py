@@ -152,3 +152,17 @@ def pairs_under_both(rows: DataFrame, entity: str, condition: str, value: str) -
     """Entities seen under both conditions, with the mean of each (rounded half to even) and their difference."""
     out = rows.groupBy(entity).agg(F.countDistinct(condition).alias("_c"), F.avg(F.when(F.col(condition), F.col(value))).alias("shown"), F.avg(F.when(~F.col(condition), F.col(value))).alias("hidden")).filter("_c = 2")
     return out.select(entity, F.bround("shown", 0).alias("shown"), F.bround("hidden", 0).alias("hidden"), (F.col("shown") - F.col("hidden")).alias("effect"))
+
+
+def disagreement_sample(decisions: DataFrame, deltas: DataFrame, first: str, second: str, ends: int, per_task: int, seed: str) -> DataFrame:
+    """Items that exactly one of two models has right in all labels: ``task, id, first_right, second_right``.
+
+    Only tasks at either end of ``deltas`` (``task, delta``: one row for each task) take part; of each task at
+    most ``per_task`` items stay, by digest order.
+    """
+    chosen = both_ends(deltas.select("task", "delta", F.lit(1).alias("_all")), ["_all"], "delta", "task", ends).select("task")
+    right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
+    of = lambda model: F.bool_and(F.when(F.col("model") == model, right))
+    rows = decisions.filter(F.col("model").isin(first, second)).join(F.broadcast(chosen), "task", "left_semi")
+    apart = rows.groupBy("task", "id").agg(of(first).alias("first_right"), of(second).alias("second_right")).filter("first_right <> second_right")
+    return top_per_key(apart, ["task"], [digest_order(seed, "task", "id"), F.col("id")], per_task)

@@ -116,3 +116,22 @@ def calibrated_interval(rows: DataFrame, unit: str, value: str, iterations: int,
     reps = reps.withColumn("pos", hash_draw(F.lit(n), F.lit("residual"), by, "b")).join(F.broadcast(residuals), "pos")
     out = reps.groupBy(by).agg(*interval(intercept + slope * F.col("mean") + F.col("residual")))
     return rows.groupBy(by).agg((intercept + slope * F.avg(value)).alias("calibrated")).join(out, by)
+
+
+def permutation_eta(rows: DataFrame, key: str, group: str, value: str, draws: int, seed: str = "perm") -> DataFrame:
+    """One-sided permutation test of eta squared: ``eta_squared, p_value``. ``key`` tells the rows apart.
+
+    A permutation keeps all values, so their total sum of squares is that of the real table and only the sums of
+    the groups are made anew.
+    """
+    total = rows.agg((F.sum(F.col(value) ** 2) - F.sum(value) ** 2 / F.count(value)).alias("_total"))
+
+    def shares(df: DataFrame, by: list[str]) -> DataFrame:
+        sums = df.groupBy(*by, group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+        between = F.sum(F.col("_s") ** 2 / F.col("_n")) - F.sum("_s") ** 2 / F.sum("_n")
+        return sums.groupBy(*by).agg(between.alias("_b")).crossJoin(F.broadcast(total)).select(*by, F.try_divide("_b", "_total").alias("eta"))
+
+    real = shares(rows, []).withColumnRenamed("eta", "real")
+    drawn = shares(permuted(rows, key, value, draws, seed).join(rows.select(key, group), key), ["draw"])
+    over = F.count_if(F.round("eta", 9) >= F.round("real", 9))
+    return drawn.crossJoin(F.broadcast(real)).agg(F.max("real").alias("eta_squared"), ((1 + over) / (F.count("*") + 1)).alias("p_value"))

@@ -91,3 +91,20 @@ def least_squares(rows: DataFrame, y: str, xs: Sequence[str]) -> dict[str, float
     k = len(names)
     a = np.array([[got[f"{i}_{j}"] for j in range(k)] for i in range(k)], float)
     return dict(zip(names, np.linalg.lstsq(a, np.array([got[f"y_{i}"] for i in range(k)], float), rcond=None)[0].tolist(), strict=True))
+
+
+def validity_levels(sample: DataFrame, full: DataFrame, unit: str, place: str, x: str, y: str) -> DataFrame:
+    """Correlations of ``x`` with the reference ``y`` at three levels, one row.
+
+    ``r_row``: rows of the sample; ``r_same``: means of units, both sides from the sample; ``r_all``: means of
+    units against the reference's means over ``full``; ``r_ceiling``: the reference's sample means against its
+    full means, which no ``x`` can be asked to beat; ``r_place``: means of places. Fewer than three pairs, or a
+    constant side, give null.
+    """
+    means = lambda by: sample.groupBy(by).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
+    units = means(unit).join(full.groupBy(unit).agg(F.avg(y).alias("_f")), unit, "left")
+    r = lambda a, b, name: pearson(F.col(a), F.col(b)).alias(name)
+    out = sample.agg(r(x, y, "r_row"))
+    for part in (units.agg(r("_x", "_y", "r_same"), r("_x", "_f", "r_all"), r("_y", "_f", "r_ceiling")), means(place).agg(r("_x", "_y", "r_place"))):
+        out = out.crossJoin(F.broadcast(part))  # each side is one row
+    return out

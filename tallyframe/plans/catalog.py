@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import cleaning, comparing, further, running, scoring  # noqa: F401
+from . import audits, cleaning, comparing, further, running, scoring  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
