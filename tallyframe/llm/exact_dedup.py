@@ -15,8 +15,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each task first combines its own copies, salted digest groups are merged, then the winners of all
     salts are combined. The whole normalised text is a grouping key at each stage, so equal digests alone
-    never merge two texts. Only groups of two or more are joined back, and adaptive execution splits a
-    hot digest on the documents' side.
+    never merge two texts. Only groups of two or more are joined back, by SHA-256, length and a second hash
+    and not by the text, which would move all texts again; adaptive execution splits a hot digest on the
+    documents' side.
 
     A null text counts as empty. A null id is below every other id. Rows that repeat the kept id are all
     marked as kept and all count. An empty table gives an empty result; other columns are dropped.
