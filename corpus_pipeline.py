@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import langid, quality
@@ -33,14 +33,31 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=_others(docs)).filter("predicted = 1").select(docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``_row``: a ``doc_id`` may be null or stand for several rows."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _one_of_each(rows: DataFrame, groups: DataFrame, stays: Column) -> DataFrame:
+    """Rows in no group of ``groups`` (``_row``, ``group``), and of each group the row that ``stays`` gives."""
+    groups = written(groups, "groups")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group").agg(stays.alias("_row"))
+    dropped = written(groups.join(kept, "_row", "left_anti").select("_row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").drop("_row")
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    return docs.join(exact_dedup(docs).filter("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    """Of rows with equal texts one with the largest id stays; a null id is below every other."""
+    rows = _rows(docs)
+    groups = exact_dedup(rows, "_row").filter("group_size > 1").select("_row", F.col("keep_id").alias("group"))
+    return _one_of_each(rows, groups, F.max_by("_row", F.struct("doc_id", "_row"))).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of similarity 0.8 or more connect, the one with the smallest id stays."""
-    return docs.join(near_duplicates(docs, least=80).filter("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    """Of rows whose texts links of similarity 0.8 or more connect, one with the smallest id stays; a null id is above every other."""
+    rows = _rows(docs)
+    groups = near_duplicates(rows, least=80, id_col="_row").select("_row", F.col("component_id").alias("group"))
+    return _one_of_each(rows, groups, F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,3 +105,26 @@ def test_pipeline_with_odd_rows(spark):
     assert {r.doc_id for r in rows_.collect()}.isdisjoint({9001, 9002})
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_pipeline_drops_copies_row_by_row(spark):
+    import corpus_pipeline as cp
+
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdef"]
+    near = words[3] + " end"
+    given = [
+        (5, words[0]), (9, words[0].upper()), (5, words[1]),  # a repeated id: one copy, one text of its own
+        (7, words[2]), (7, words[2]), (None, words[2]),  # a repeated row and a copy without an id
+        (None, words[4]), (None, words[4]),  # copies without ids only
+        (11, words[3]), (12, near), (12, words[5]), (None, near + " more"),  # near copies, one with another text's id, one without an id
+    ]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    order = lambda rows_: sorted(rows_, key=str)
+    exact = [(9, words[0].upper()), (5, words[1]), (7, words[2]), (None, words[4]), *given[-4:]]
+    found = cp.without_copies(spark, docs, SF)
+    assert order(map(tuple, found.collect())) == order(exact)
+    found = cp.without_near_copies(spark, found, SF)
+    assert order(map(tuple, found.collect())) == order([r for r in exact if r not in (given[9], given[11])])
+    # this stage alone on the copies too
+    found = cp.without_near_copies(spark, docs.filter("text LIKE 'c0 %' OR text LIKE 'e0 %'"), SF)
+    assert order(map(tuple, found.collect())) == order([(7, words[2]), (None, words[4])])
