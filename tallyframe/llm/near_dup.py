@@ -117,6 +117,8 @@ def _verified(wanted: DataFrame, docs: DataFrame, words: int, least: int) -> Dat
                         yield links()
                     now, held, asked = task, {}, []
                 found = shingle_set(text, words)
+                if not len(found):  # a row without shingles has no sketch either
+                    continue
                 if doc not in held or _digest(found) < _digest(held[doc]):  # of a repeated id, the same text as its sketch
                     held[doc] = found
                 if partners:

@@ -116,6 +116,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted(map(str, [(None, 2, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]))
 
 
+def test_near_duplicates_of_an_id_with_an_empty_and_a_real_text(spark):
+    rows = []
+    for i in range(12):  # the digest of the empty set is below that of some of these texts
+        text = " ".join(f"w{i}x{k}" for k in range(60))
+        rows += [(i, ("", None, " \n")[i % 3]), (i, text), (i + 100, text + " end")]
+    got = {(x.doc_id, x.component_id) for x in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(i, i) for i in range(12)} | {(i + 100, i) for i in range(12)}
+
+
 @pytest.mark.parametrize("f", [exact_dedup, line_dedup, near_duplicates])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).collect() == []
