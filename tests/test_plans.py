@@ -1,8 +1,13 @@
 """What the plans must and must not hold."""
 
+import hashlib
+
+import numpy as np
 import pytest
 
 from tallyframe.plans import catalog
+from tallyframe.plans.fixtures import label_def
+from tallyframe.plans.scoring import wrong
 
 from .compare import SF
 
@@ -26,3 +31,26 @@ def test_counts_are_combined_before_the_shuffle(spark):
     text = plan(spark, "per_class_f1")
     assert "partial_sum" in text and "BroadcastHashJoin" in text
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_release_pairs_take_2000_replicates(spark):
+    rows = wrong(spark, SF).filter("kind <> 'score'").select("task", "model", "id", "gold", "pred").toPandas()
+    labels = label_def(spark).toPandas()
+    f1 = {}
+    for task, part in rows.groupby("task"):
+        ids = sorted(part.id.unique())
+        n, known = len(ids), sorted(set(labels[labels.task == task].label) & set(part.gold))
+        draws = [[int(hashlib.sha256(f"boot|{task}|{b}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)] for b in range(1, 2001)]
+        weights = np.array([np.bincount(d, minlength=n) for d in draws], float)
+        for model, one in part.groupby("model"):
+            w, scores = weights[:, np.searchsorted(ids, one.id)], []
+            for x in known:
+                g, p = (one.gold == x).to_numpy(), (one.pred == x).to_numpy()
+                both = w @ g + w @ p
+                scores.append(np.divide(2 * (w @ (g & p)), both, out=np.zeros(len(w)), where=both > 0))
+            f1.setdefault(model, {})[task] = np.mean(scores, axis=0)
+    found = catalog.QUERIES["release_pairs"](spark, SF).toPandas()
+    assert len(found) == len(f1) * (len(f1) - 1)
+    for r in found.itertuples():
+        d = np.mean([f1[r.model][t] - f1[r.reference][t] for t in f1[r.model]], axis=0)
+        assert np.allclose([r.item_ci_low, r.item_ci_high], np.quantile(d, [0.025, 0.975]), atol=1e-9)
