@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -26,7 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("root"))
         step = step.join(jump, "via", "left").select("node", "old", F.least("via", "root").alias("component"))
         step = written(step, "labels")
-        labels = step.select("node", "component")
+        discard(labels)
+        labels = step
         if step.filter("old <> component").isEmpty():
-            return labels
+            discard(edges)
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle")
