@@ -4,13 +4,18 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyframe.llm.common import table
 from tallyframe.llm.components import components
 from tallyframe.llm.exact_dedup import exact_dedup
 from tallyframe.llm.line_dedup import line_dedup
 from tallyframe.llm.near_dup import near_duplicates
+from tallyframe.llm.queries import QUERIES
 from tallyframe.llm.shingles import SetSketch, shingle_set
 
+from ..compare import SF
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, keep_id int, component_id string, n long, digest string, registers int, key int, `rows` int"
 
@@ -56,6 +61,12 @@ def test_exact_dedup(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got)
 
 
+def test_exact_dedup_compares_content_where_digests_collide(spark):
+    rows = [(1, "same"), (2, "SAME"), (3, "four"), (4, "other"), (5, "thing"), (6, "other"), (7, "lonely one"), (8, None), (9, "")]
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup(docs(spark, rows), digest=lambda t: F.octet_length(t)).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (6, 2, False), 6: (6, 2, True), 5: (5, 1, True), 7: (7, 1, True), 8: (9, 2, False), 9: (9, 2, True)}
+
+
 def brute_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     found = defaultdict(set)
@@ -110,6 +121,11 @@ def test_near_duplicates(spark, least):
     assert got == brute_near(rows, least)
 
 
+def test_query_near_dup_against_brute_force(spark):
+    found = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in QUERIES["op8_near_dup"](spark, SF).collect()}
+    assert found == brute_near([(x.doc_id, x.text) for x in table(spark, SF, "documents").collect()], 85)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (2, "A B C D E F"), (3, None)]
     got = sorted(map(str, (tuple(x) for x in near_duplicates(docs(spark, rows)).collect())))
