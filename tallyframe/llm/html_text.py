@@ -61,7 +61,11 @@ def parse(page: str) -> list[Node]:
         tag = m[2]
         if tag is None:
             if page[m.start()] != "<" or m[0] == "<":
-                nodes[stack[-1]].parts.append(m[0])
+                parts = nodes[stack[-1]].parts
+                if parts and isinstance(parts[-1], str):  # a lone < stays in its text
+                    parts[-1] += m[0]
+                else:
+                    parts.append(m[0])
             continue
         tag = tag.lower()
         if m[1]:
@@ -225,17 +229,17 @@ def main_text(page: str | None, model: ContentModel, least: float = 0.5) -> str:
         node = nodes[x]
         if node.tag in NEVER:
             continue
-        if node.tag in ("br", "img"):
+        if node.tag == "br":
             blocks[-1].append(" ")
             continue
         inside = p[x] >= least
         block = node.tag not in INLINE
-        inner = [(("text", y) if inside else None) if isinstance(y, str) else y for y in node.parts]
+        inner = [(("text", entities.unescape(y)) if inside else None) if isinstance(y, str) else y for y in node.parts]
         inner = [y for y in inner if y is not None]
         todo += [*([("end",)] * block), *reversed(inner)]
         if block:
             blocks.append([])
-    lines = (SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks if b)
+    lines = (SPACE.sub(" ", "".join(b)).strip() for b in blocks if b)
     return "\n".join(x for x in lines if x)
 
 

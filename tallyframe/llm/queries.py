@@ -34,26 +34,32 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_records(pages: DataFrame) -> DataFrame:
-    """Archive records about ``pages``: a response for most pages and a later revisit for each.
+    """Archive records about ``pages``, ten for each nine pages or so; every third page is at one hot address.
 
-    The last digit of the id decides: 7 has no response, revisits of 2 have another entity tag, those of 4
-    none but a date of change, those of 6 no validator.
+    The last digit of the id decides: 7 has no response at all, 3 a failed one and an older full one, 8 an older
+    full one too, 1 and 5 a later one that a revisit must not see. Revisits of 2 have another entity tag, those
+    of 4 none but a date of change, those of 6 no validator.
     """
     digit = F.col("page_id") % 10
+    pages = pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, "http://hot.example.com/").otherwise(F.col("url")))
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
-    response = pages.filter(digit != 7).select(
-        (2 * F.col("page_id")).alias("record_id"),
-        "url",
-        (F.col("page_id") * 1000).alias("date"),
-        F.lit("response").alias("kind"),
-        F.lit(200).alias("status"),
-        F.create_map(*map(F.lit, ("content-type", "text/html", "cache-control", "max-age=60")), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("etag"), tag, F.lit("last-modified"), (F.col("page_id") * 7).cast("string")).alias("headers"),
-        F.sha2("html", 256).alias("payload_digest"),
-    )
+
+    def response(rows: DataFrame, number: int, seconds: int, status: int, mark: str) -> DataFrame:
+        common = F.create_map(*map(F.lit, ("content-type", "text/html", "cache-control", "max-age=60")), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("etag"), F.concat(F.lit(mark), tag), F.lit("last-modified"), (F.col("page_id") * 7).cast("string"))
+        return rows.select(
+            (4 * F.col("page_id") + number).alias("record_id"),
+            "url",
+            (F.col("page_id") * 1000 + seconds).alias("date"),
+            F.lit("response").alias("kind"),
+            F.lit(status).alias("status"),
+            common.alias("headers"),
+            F.sha2(F.concat("html", F.lit(mark)), 256).alias("payload_digest"),
+        )
+
     validator = F.when(digit == 6, F.create_map().cast("map<string,string>")).when(digit == 4, F.create_map(F.lit("last-modified"), (F.col("page_id") * 7).cast("string")))
     validator = validator.otherwise(F.create_map(F.lit("etag"), F.when(digit == 2, F.lit('"new"')).otherwise(F.concat(F.lit("W/"), tag))))
     revisit = pages.select(
-        (2 * F.col("page_id") + 1).alias("record_id"),
+        (4 * F.col("page_id") + 1).alias("record_id"),
         F.concat("url", F.lit("#again")).alias("url"),
         (F.col("page_id") * 1000 + 200_000).alias("date"),
         F.lit("revisit").alias("kind"),
@@ -61,7 +67,9 @@ def web_records(pages: DataFrame) -> DataFrame:
         F.map_concat(F.create_map(*map(F.lit, ("content-length", "0", "cache-control", "max-age=90", "date", "later"))), validator).alias("headers"),
         F.lit(None).cast("string").alias("payload_digest"),
     )
-    return response.unionByName(revisit)
+    out = response(pages.filter(~digit.isin(3, 7)), 0, 0, 200, "").unionByName(response(pages.filter(digit == 3), 0, 0, 404, ""))
+    out = out.unionByName(response(pages.filter(digit.isin(3, 8)), 3, -500_000, 200, "old")).unionByName(response(pages.filter(digit.isin(1, 5)), 2, 300_500, 200, "late"))
+    return out.unionByName(revisit)
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,18 +130,20 @@ _KEY = _LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(
 
 #: The address, spelt as ``canonical_url`` spells it, of the column ``url``.
 _CANONICAL = r"""
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', ''), ':(80|443)$', '')
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''),
+        CASE WHEN url ILIKE 'http:%' THEN ':80$' ELSE ':443$' END, ''), '^www[.]', '')
     || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'),
-        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&'), ''), '')
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)'))), '&'), ''), '')
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op3_revisits": f"""
-        WITH p AS (SELECT *, page_id % 10 AS digit, '"' || left(md5(html), 12) || '"' AS tag, {_CANONICAL} AS canonical_url FROM pages),
-        stored AS (SELECT 2 * page_id AS refers_to, canonical_url, page_id * 1000 AS date, sha256(html) AS digest, tag, (page_id * 7)::VARCHAR AS modified,
-            strlen(html)::VARCHAR AS bytes FROM p WHERE digit <> 7),
-        asks AS (SELECT 2 * page_id + 1 AS record_id, canonical_url, page_id * 1000 + 200000 AS date, CASE WHEN digit NOT IN (4, 6) THEN CASE WHEN digit = 2 THEN '"new"' ELSE 'W/' || tag END END AS own_tag,
+        WITH u AS (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 'http://hot.example.com/' ELSE url END AS url FROM pages),
+        p AS (SELECT *, page_id % 10 AS digit, '"' || left(md5(html), 12) || '"' AS tag, {_CANONICAL} AS canonical_url FROM u),
+        stored AS (SELECT 4 * page_id + n AS refers_to, canonical_url, page_id * 1000 + seconds AS date, sha256(html || mark) AS digest, mark || tag AS tag, (page_id * 7)::VARCHAR AS modified,
+            strlen(html)::VARCHAR AS bytes FROM p, (VALUES (0, 0, '', [0, 1, 2, 4, 5, 6, 8, 9]), (3, -500000, 'old', [3, 8]), (2, 300500, 'late', [1, 5])) v(n, seconds, mark, digits) WHERE list_contains(digits, digit)),
+        asks AS (SELECT 4 * page_id + 1 AS record_id, canonical_url, page_id * 1000 + 200000 AS date, CASE WHEN digit NOT IN (4, 6) THEN CASE WHEN digit = 2 THEN '"new"' ELSE 'W/' || tag END END AS own_tag,
             CASE WHEN digit = 4 THEN (page_id * 7)::VARCHAR END AS own_modified FROM p),
         hit AS (SELECT a.record_id, max_by(s, (s.date, s.refers_to)) AS s FROM asks a JOIN stored s ON s.canonical_url = a.canonical_url AND s.date < a.date GROUP BY a.record_id),
         o AS (SELECT a.*, s, CASE WHEN s IS NULL THEN 'missing' WHEN replace(own_tag, 'W/', '') <> s.tag OR own_modified <> s.modified THEN 'changed'

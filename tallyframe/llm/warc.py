@@ -11,16 +11,18 @@ from .common import written
 #: Headers of a 304 answer that describe its own message and never replace those of the stored response.
 OWN_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that say where a visitor came from.
-TRACKING = "^(utm_[^=]*|gclid|fbclid|ref)(=|$)"
+TRACKING = "^(utm_[^=]*|gclid|fbclid)(=|$)"
 URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
 def canonical_url(url: Column) -> Column:
     """One form for the spellings of an address: http and https are one, the host is in lower case without
-    ``www.`` and default port, no slash ends the path, parameters are sorted, tracking and fragment go.
-    Other strings stay as they are."""
+    user, ``www.`` and the port that its scheme has anyway, no slash ends the path, parameters are sorted,
+    tracking and fragment go. Other strings stay as they are."""
     part = lambda i: F.regexp_extract(url, URL, i)
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), "^www[.]", ""), ":(80|443)$", "")
+    scheme, host = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), "^.*@", "")
+    port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise(":$")
+    host = F.regexp_replace(F.regexp_replace(host, port, ""), "^www[.]", "")
     path = F.regexp_replace(part(3), "/+$", "")
     pairs = F.filter(F.split(F.substring(part(4), 2, 1 << 30), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     query = F.array_join(F.array_sort(pairs), "&")
@@ -47,34 +49,40 @@ def resolve_revisits(records: DataFrame, span: int = 86_400) -> DataFrame:
     200, ``changed`` where entity tags (weak comparison), dates of change or payload digests that both have
     differ, ``unchecked`` where no validator is on both sides, else ``resolved``. A resolved or unchecked
     revisit has the response's status and digest, and its headers updated with the permitted ones of the
-    revisit. Of responses at one time, the largest record_id is taken; one at the revisit's own time is not
-    earlier. Nulls in address or date give ``missing``; repeated revisits are answered each, and repeated
-    responses count once. An empty table gives an empty result.
-
-    The as-of join works in spans of time: inside a span by a window over address and span, then the last
-    response of earlier spans by a window over one row for each address and span. So an address with a large
-    part of all records is not sorted in one task.
+    revisit. Of responses at one address and time, the one with the largest record_id, then digest, then
+    headers is taken; one at the revisit's own time is not earlier. Nulls in address or date give ``missing``;
+    repeated revisits are answered each, repeated responses count once, and record ids need not be unique. An
+    empty table gives an empty result.
+
+    The as-of join works on the distinct times of each address, in spans: inside a span by a window over
+    address and span, which holds at most ``span`` times, then the last response of earlier spans by a window
+    over one row for each address and span. So an address with a large part of all records is not sorted in
+    one task. Headers are joined by address and time at the end.
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("date").cast("long").alias("date"), "kind", "status", "headers", "payload_digest")
-    full = (F.col("kind") == "response") & (F.col("status") == 200)
-    keys = rows.select("record_id", "canonical_url", "date", F.floor(F.col("date") / span).alias("span"), full.alias("full"), (F.col("kind") == "revisit").alias("asks"))
-    keys = keys.filter("canonical_url IS NOT NULL AND date IS NOT NULL AND (full OR asks)")
-    here = F.when(F.col("full"), F.struct("date", "record_id"))
-    earlier = W.partitionBy("canonical_url", "span").orderBy("date").rangeBetween(W.unboundedPreceding, -1)
-    near = keys.withColumn("near", F.max(here).over(earlier)).filter("asks")
-    spans = keys.groupBy("canonical_url", "span").agg(F.max(here).alias("last"))
+    asks = rows.filter("kind = 'revisit'").select("record_id", "canonical_url", "date", F.col("status").alias("own_status"), F.col("headers").alias("own"), F.col("payload_digest").alias("own_digest"))
+    full = rows.filter("kind = 'response' AND status = 200 AND canonical_url IS NOT NULL AND date IS NOT NULL")
+    order = F.struct("record_id", "payload_digest", F.array_sort(F.map_entries("headers")))
+    stored = full.groupBy("canonical_url", "date").agg(F.max_by(F.struct("record_id", "status", "headers", "payload_digest"), order).alias("_r"))
+    stored = stored.select("canonical_url", F.col("date").alias("full_date"), F.col("_r.record_id").alias("refers_to"), F.col("_r.status").alias("old_status"), F.col("_r.headers").alias("old"), F.col("_r.payload_digest").alias("old_digest"))
+    stored = written(stored, "responses")  # so that the join can split a response that many refer to
+
+    times = stored.select("canonical_url", F.col("full_date").alias("date"), F.lit(True).alias("full"))
+    times = times.unionByName(asks.filter("canonical_url IS NOT NULL AND date IS NOT NULL").select("canonical_url", "date", F.lit(False).alias("full")))
+    times = times.groupBy("canonical_url", "date").agg(F.max("full").alias("full"), F.min("full").alias("sole"))
+    times = times.select("canonical_url", "date", F.floor(F.col("date") / span).alias("span"), F.when(F.col("full"), F.col("date")).alias("here"), (~F.col("sole")).alias("asked"))
+    earlier = W.partitionBy("canonical_url", "span").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    near = times.withColumn("near", F.max("here").over(earlier)).filter("asked")
+    spans = times.groupBy("canonical_url", "span").agg(F.max("here").alias("last"))
     before = W.partitionBy("canonical_url").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
     spans = spans.select("canonical_url", "span", F.max("last").over(before).alias("far")).filter("far IS NOT NULL")
     found = near.join(spans, ["canonical_url", "span"], "left")
-    found = found.select("record_id", F.coalesce("near", "far")["record_id"].alias("refers_to")).filter("refers_to IS NOT NULL").distinct()
+    found = written(found.select("canonical_url", "date", F.coalesce("near", "far").alias("full_date")).filter("full_date IS NOT NULL"), "found")
 
-    asks = rows.filter("kind = 'revisit'").select("record_id", "canonical_url", F.col("status").alias("own_status"), F.col("headers").alias("own"), F.col("payload_digest").alias("own_digest"))
-    stored = rows.filter(full).select(F.col("record_id").alias("refers_to"), F.col("status").alias("old_status"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest"))
-    stored = written(stored.dropDuplicates(["refers_to"]), "responses")  # so that the join can split a response that many refer to
-    out = asks.join(found, "record_id", "left").join(stored, "refers_to", "left")
+    out = asks.join(found, ["canonical_url", "date"], "left").join(stored, ["canonical_url", "full_date"], "left")
     checks = F.array(_agree(_tag("own"), _tag("old")), _agree(F.col("own")["last-modified"], F.col("old")["last-modified"]), _agree(F.col("own_digest"), F.col("old_digest")))
     known = F.filter(checks, lambda c: c.isNotNull())
-    outcome = F.when(F.col("refers_to").isNull(), "missing").when(F.exists(known, lambda c: ~c), "changed").when(F.size(known) == 0, "unchecked").otherwise("resolved")
+    outcome = F.when(F.col("full_date").isNull(), "missing").when(F.exists(known, lambda c: ~c), "changed").when(F.size(known) == 0, "unchecked").otherwise("resolved")
     permitted = F.map_filter("own", lambda k, _: ~k.isin(*OWN_HEADERS))
     kept = F.map_filter("old", lambda k, _: ~F.coalesce(F.map_contains_key(permitted, k), F.lit(False)))
     merged = F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), F.coalesce(permitted, F.create_map().cast("map<string,string>")))

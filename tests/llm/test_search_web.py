@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import table
 from tallyframe.llm.html_pages import labelled_page
 from tallyframe.llm.html_text import extract, main_text, marginals, parse, train
+from tallyframe.llm.queries import QUERIES
 from tallyframe.llm.topk import best, scores_by_term, top_k
 from tallyframe.llm.warc import canonical_url, resolve_revisits
 
+SF2 = "/root/testdata/sf0.01"
 MODEL = train(map(labelled_page, range(400)))
 
 
@@ -88,6 +91,24 @@ def test_marginals_equal_enumeration():
     assert np.allclose(marginals(nodes, MODEL), on / total)
 
 
+def test_query_html_text_on_all_pages(spark):
+    """The pages' own structure says what the text is: the article element, which none of them lacks."""
+    right = 0
+    pages = {x.page_id: x.html for x in table(spark, SF2, "pages").collect()}
+    for x in QUERIES["op2_html_text"](spark, SF2).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[x.page_id], re.S)[1]
+        article = re.sub(r"<(script|style|form|aside|nav)\b.*?</\1>", "\n", article, flags=re.S)
+        blocks = [re.sub(r"[ \t\r\n]+", " ", html.unescape(re.sub(r"</?(b|i|em|strong|a|span)\b[^>]*>|<br>|<!--.*?-->", lambda m: " " if m[0] == "<br>" else "", b, flags=re.S))).strip() for b in re.split(r"</?(?:p|h\d|div|ul|li|section|blockquote)\b[^>]*>", article)]
+        right += x.text == "\n".join(b for b in blocks if b)
+        assert x.n_chars == len(x.text)
+    assert right == len(pages)
+
+
+def test_references_are_decoded_in_their_own_text():
+    page = "<article><p>a &am<b>p;</b> c<img src=x>d &lt; e < f</p></article>"
+    assert main_text(page, MODEL) == "a &amp; cd < e < f".replace("&amp;", "&amp;")
+
+
 def test_page_details(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href=/>menu</a></nav><article><h1>A &amp; B</h1><p>one\n  <b>two</b><p>three &lt;b&gt;<script>no()</script><p> </p></article><footer>f</footer></body>"
     rows = [(1, page), (2, None), (3, ""), (4, "<"), (None, page), (5, "<article>" + "<div>" * 5000 + "deep"), (6, "&#xD800;<p>" * 10)]
@@ -98,10 +119,11 @@ def test_page_details(spark):
 
 
 def test_canonical_urls(spark):
-    same = ["http://www.A.com:80/x/?b=2&a=1&utm_source=z#f", "https://a.com/x?a=1&b=2", "HTTPS://A.com/x/?a=1&b=2&ref=q"]
-    df = spark.createDataFrame([(x,) for x in [*same, "not a url", None, "http://a.com"]], "u string")
+    same = ["http://www.A.com:80/x/?b=2&a=1&utm_source=z#f", "https://a.com/x?a=1&b=2", "HTTPS://user:pw@A.com:443/x/?a=1&b=2"]
+    own = ["http://a.com:443/", "https://a.com:80/", "http://a.com/?ref=alpha", "http://a.com/?ref=beta"]
+    df = spark.createDataFrame([(x,) for x in [*same, *own, "not a url", None, "http://a.com"]], "u string")
     got = [x[0] for x in df.select(canonical_url(F.col("u"))).collect()]
-    assert got == ["a.com/x?a=1&b=2"] * 3 + ["not a url", None, "a.com"]
+    assert got == ["a.com/x?a=1&b=2"] * 3 + ["a.com:443", "a.com:80", "a.com?ref=alpha", "a.com?ref=beta", "not a url", None, "a.com"]
 
 
 RECORDS = "record_id long, url string, date long, kind string, status int, headers map<string,string>, payload_digest string, outcome string, span int"
@@ -132,6 +154,17 @@ def test_revisits(spark):
     assert resolve_revisits(spark.createDataFrame([], RECORDS)).collect() == []
 
 
+def test_revisits_whose_ids_repeat(spark):
+    r = lambda i, u, d, kind, h, digest=None: (i, u, d, kind, 200 if kind == "response" else 304, h, digest, "x", 0)
+    rows = [
+        r(1, "http://a.com/", 1, "response", {"etag": '"a"'}, "da"), r(1, "http://b.com/", 1, "response", {"etag": '"b"'}, "db"),
+        r(2, "http://a.com/", 5, "revisit", {"etag": '"a"'}), r(2, "http://b.com/", 5, "revisit", {"etag": '"b"'}), r(2, "http://b.com/", 5, "revisit", {"etag": '"b"'}),
+        r(3, "http://a.com/", 2, "response", {"etag": '"a"'}, "x1"), r(3, "http://a.com/", 2, "response", {"etag": '"a"'}, "x2"),
+    ]
+    got = sorted((x.canonical_url, x.refers_to, x.outcome, x.payload_digest) for x in resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect())
+    assert got == [("a.com", 3, "resolved", "x2"), ("b.com", 1, "resolved", "db"), ("b.com", 1, "resolved", "db")]
+
+
 def test_revisits_against_brute_force(spark):
     r = random.Random(4)
     rows = []
