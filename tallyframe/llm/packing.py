@@ -2,25 +2,28 @@
 
 Each partition packs its pieces by best-fit decreasing. Dual feasible functions give a lower bound on the
 sequences that the same pieces need anywhere: a piece over ``capacity - a`` tokens counts as a whole
-sequence, one under ``a`` as nothing, the others by their length. While the sequences in use exceed the
-bound, partitions exchange the documents of their sequences with gaps: those are pooled into fewer
-partitions and packed again.
+sequence, one under ``a`` as nothing, the others by their length. A partition that uses as many sequences as
+its bound is certified and left alone. The others exchange the documents of their sequences with room: those
+are dealt to new partitions, as few as hold them, and packed again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .tokens import token_pieces
 
 #: Pieces of one partition: what one task holds in memory.
 PER_PARTITION = 16_384
+#: A round that saves no larger share of the sequences in use has found nothing.
+LEAST_SAVED = 1e-4
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
@@ -67,7 +70,7 @@ def _pack_partition(capacity: int, round_no: int) -> Callable[[pd.DataFrame], pd
         rows = rows.sort_values(["doc_id", "piece", "start"], ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
         where, offset, rooms = best_fit_decreasing(lengths, capacity)
-        base = (round_no << 56) + (int(rows["part"].iloc[0]) << 24)
+        base = (round_no << 50) + (int(rows["part"].iloc[0]) << 24)
         rows["sequence_id"], rows["offset"], rows["room"] = base + where, offset, rooms[where]
         rows["gap"] = len(rooms) - lower_bound(lengths, capacity)
         return rows
@@ -75,13 +78,15 @@ def _pack_partition(capacity: int, round_no: int) -> Callable[[pd.DataFrame], pd
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION, rounds: int = 6) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a frame of ``doc_id, piece, start, length, ids_crc32``.
 
     The frame must be cheap to read again (a written table). Sequences hold at most ``capacity`` tokens
-    and have no gaps before their end. The bound is global: the histogram of lengths has at most
-    ``capacity`` rows. A round that doesn't save a sequence ends the work. Null ids and repeated rows are
-    packed like others; an empty frame stays empty.
+    and have no gaps before their end. First the partitions above their own bound exchange, and then, if the
+    table is still above its bound (from the histogram of lengths, ``capacity`` rows at most), the certified
+    ones too, as each may lose a part of a sequence. Either ends when one partition held all that is loose, or
+    when two rounds in a row each save at most ``LEAST_SAVED`` of the sequences in use. Null ids and repeated
+    rows are packed like others; an empty frame stays empty.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, room long, gap long"
@@ -99,25 +104,27 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTI
     def sequences(df: DataFrame) -> int:
         return df.filter("offset = 0").count()
 
-    now = packed(pieces, total, 0)
-    done, used, fixed = [], sequences(now), 0
-    for round_no in range(1, rounds + 1):
-        if fixed + used <= bound:
-            break
-        loose = now.filter("room > 0")
-        n = loose.count()
-        if not n:
-            break
-        again = packed(loose, n, round_no)
-        closed = now.filter("room = 0")
-        saved = sequences(loose) - (used_again := sequences(again))
-        if saved <= 0:
-            break
-        fixed, used, now = fixed + sequences(closed), used_again, again
-        done.append(closed)
-    out = now
-    for df in done:
-        out = out.unionByName(df)
+    frames = [packed(pieces, total, 0)]
+    used, round_no, idle, pooled = sequences(frames[0]), 0, 0, False
+    while used > bound:
+        round_no += 1
+        loose = F.col("room") > 0 if pooled else (F.col("room") > 0) & (F.col("gap") > 0)
+        taken = reduce(DataFrame.unionByName, (f.filter(loose) for f in frames))
+        n = taken.count()
+        saved = 0
+        if n:
+            again = packed(taken, n, round_no)
+            saved = sequences(taken) - sequences(again)
+            if saved >= 0:
+                frames, used = [*(f.filter(~loose) for f in frames), again], used - saved
+            else:  # another deal of the same pieces may need more
+                discard(again)
+        idle = 0 if saved > LEAST_SAVED * used else idle + 1
+        if n <= per_partition or idle == 2:
+            if pooled:
+                break
+            pooled, idle = True, 0
+    out = reduce(DataFrame.unionByName, frames)
     return out.select(*columns, "sequence_id", "offset")
 
 

@@ -10,9 +10,13 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyframe.llm.bpe import SegmentTreeBPE
-from tallyframe.llm.packing import best_fit_decreasing, lower_bound, pack_documents
+from tallyframe.llm.common import table, written
+from tallyframe.llm.packing import best_fit_decreasing, lower_bound, pack_documents, pack_pieces
+from tallyframe.llm.queries import QUERIES
 from tallyframe.llm.tokens import encode_texts
 
+from ..compare import SF
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY, OWN = Tokenizer.from_file(PATH), SegmentTreeBPE(PATH)
 ODD = ["", " ", "  x", "a  b\n\n c", "don't 'S", "<|endoftext|>", "a <|endoftext|>b", "é日本 😀", "\x1c\x85\xa0a", "x" * 3000, "ab" * 500, "12345 678", "\r\n\t ", "a.b,c!", "word. word, word", "\0"]
@@ -69,6 +73,51 @@ def test_best_fit_and_its_bound(lengths):
         assert (np.cumsum(x[where == b][at]) - x[where == b][at] == offset[where == b][at]).all()
 
 
+def pieces(spark, lengths):
+    df = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return written(df, "pieces")
+
+
+def packed_rounds(spark, lengths, per_partition):
+    """The packed rows and how many rounds of packing they come from."""
+    rows = pack_pieces(pieces(spark, lengths), 100, per_partition).collect()
+    return rows, len({r.sequence_id >> 50 for r in rows})
+
+
+def test_certified_partitions_do_not_exchange(spark):
+    # each piece needs a sequence of its own, so every partition meets its bound although all sequences have room
+    rows, rounds = packed_rounds(spark, [60] * 400, 40)
+    assert rounds == 1 and len({r.sequence_id for r in rows}) == 400
+
+
+def test_partitions_with_gaps_exchange_until_one_is_left(spark):
+    r = random.Random(7)
+    lengths = [r.randint(1, 100) for _ in range(3000)]
+    rows, rounds = packed_rounds(spark, lengths, 400)
+    used, bound = len({x.sequence_id for x in rows}), lower_bound(np.array(lengths), 100)
+    first = len({(x.sequence_id) for x in rows if x.sequence_id >> 50 == 0})
+    assert rounds > 1 and first > 0 and sorted(x.doc_id for x in rows) == list(range(3000))
+    assert used <= 1.02 * bound
+
+
+def test_queries_against_the_library(spark):
+    texts = {x.doc_id: ids(x.text or "") for x in table(spark, SF, "documents").collect()}
+    for x in QUERIES["op4_bpe"](spark, SF).collect():
+        want = texts[x.doc_id]
+        assert (x.n_tokens, x.ids_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest())
+        assert x.decoded_sha256 == hashlib.sha256(LIBRARY.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    total, places = {}, {}
+    for x in QUERIES["op9_packing"](spark, SF).collect():
+        want = [*texts[x.doc_id], 2][x.start : x.start + x.length]
+        assert x.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes()) and len(want) == x.length
+        total[x.doc_id] = total.get(x.doc_id, 0) + x.length
+        places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert total == {i: len(t) + 1 for i, t in texts.items()}
+    for parts in places.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
 def test_bound_of_large_pieces():
     assert lower_bound(np.array([600] * 10), 1024) == 10
 
