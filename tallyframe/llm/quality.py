@@ -4,7 +4,7 @@ Texts that labels trust as good are the positives, texts without a label are the
 logistic model minimises the non-negative unbiased risk: the positives' risk weighted with the class
 prior, plus the unlabelled texts' risk as negatives less the positives' share of it, which is kept from
 falling below zero. The prior itself is estimated from how rarely the positives score as low as the
-unlabelled do.
+unlabelled do, on rows that the scoring model has not seen.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: At most about so many training rows of each kind reach the driver, chosen by a hash of the id.
 TRAINING_ROWS = 8_000
@@ -112,17 +113,15 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, decay: floa
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The largest share of positives that the unlabelled scores allow.
+    """The largest share of positives that the scores of unlabelled rows allow; the model must have seen neither.
 
-    Below a score t, positives make up at most prior * P(positive < t) of the unlabelled; above it the
-    unlabelled are at least prior * P(positive >= t). The least ratio of the two upper tails, with a bound
-    for chance, is the estimate.
+    Above a score t, the unlabelled are at least prior * P(positive >= t). The least ratio of the two upper tails
+    is the estimate; t goes up to the lowest quarter of the positives, where both tails are known well.
     """
-    cut = np.quantile(positive, np.linspace(0.02, 0.9, 45))
+    cut = np.quantile(positive, np.linspace(0.02, 0.25, 12))
     tail_p = (positive[None, :] >= cut[:, None]).mean(1)
     tail_u = (unlabelled[None, :] >= cut[:, None]).mean(1)
-    slack = 0.8 / np.sqrt(len(unlabelled)) + 0.8 / np.sqrt(len(positive))
-    return float(np.clip(np.min((tail_u + slack) / tail_p), 0.05, 0.99))
+    return float(np.clip(np.min(tail_u / tail_p), 0.05, 0.99))
 
 
 def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> QualityModel:
@@ -135,8 +134,11 @@ def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
     decay = 1e-3 + 4 / min(len(p), len(u))  # few rows bear a plain model only
-    w, b = _descend(p, u, 0.5, steps // 2, decay=decay)  # any prior orders the texts
-    prior = class_prior(p @ w + b, u @ w + b)
+    scored = []
+    for side in (0, 1) if min(len(p), len(u)) > 1 else ():  # each half is scored by a model of the other
+        w, b = _descend(p[side::2], u[side::2], 0.5, steps // 2, decay=2 * decay)  # any prior orders the texts
+        scored.append(class_prior(p[1 - side :: 2] @ w + b, u[1 - side :: 2] @ w + b))
+    prior = float(np.mean(scored)) if scored else 0.5
     w, b = _descend(p, u, prior, steps, decay=decay)
     return QualityModel(mean, scale, w, b, prior)
 
@@ -164,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     sizes = {r["kind"]: r["n"] for r in ids.groupBy(F.col("_label").isNotNull().alias("kind")).agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("_label").isNull(), rows / max(1, sizes.get(False, 0))).otherwise(rows / max(1, sizes.get(True, 0)))
     keys = ids.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).select(F.col("_id").alias("_key"), F.col("_label").isNotNull().alias("good"))
-    chosen = drawn.join(keys.distinct(), F.col("_id") == F.col("_key")).select("good", "_text")
+    # about 2 * rows keys, so they go to the texts and not the texts to them
+    chosen = drawn.join(F.broadcast(keys.distinct()), F.col("_id") == F.col("_key")).select("good", "_text")
     got = _featured(chosen, "good boolean, x array<double>", 1).collect()
     part = lambda kind: np.array([r["x"] for r in got if r["good"] is kind]).reshape(-1, FEATURES)
     return train_model(part(True), part(False))
@@ -174,11 +177,12 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     """``id_col``, the columns of ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) of each whole text.
 
     A null text counts as empty; an empty text has a score too. Rows are independent: repeated rows and
-    null ids need no special case, and other columns are dropped.
+    null ids need no special case, an empty table gives an empty result, and other columns are dropped. A
+    kept column must not be named as one of the results.
     """
     names = [id_col, *keep]
     rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,4 +190,4 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 found = model.score(np.array([features(t.as_py()) for t in batch.column(len(names))]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(run, schema)
