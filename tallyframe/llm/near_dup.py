@@ -29,12 +29,17 @@ from .tokens import slices
 BAND, BANDS = 6, 54
 #: An estimate may be this much below the threshold: over five standard deviations at 324 registers.
 MARGIN = 0.11
-#: Members of a block.
-BLOCK = 128
+#: Members of a block, partners that one task verifies, and rows of a partition in verification.
+BLOCK, PARTNERS, ROWS = 128, 32, 4_096
 
 
 def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n`` (size of the shingle set), ``digest`` of the set and ``registers``, one row each."""
+    """``doc_id``, ``n`` (size of the shingle set), ``digest`` of the set and ``registers``, one row each.
+
+    A null text, and one without words, has an empty set and neither digest nor registers. Rows are
+    independent: null ids and repeated rows need no special case, an empty table gives an empty result, and
+    other columns are dropped.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +92,13 @@ def _verified(wanted: DataFrame, docs: DataFrame, words: int, least: int) -> Dat
     """Links (a, b) with 100 * intersection >= least * union on the full shingle sets.
 
     ``wanted`` has ``task``, ``doc_id`` and ``partners``: the ids in the same task to compare with. A task
-    holds two blocks of documents at most.
+    holds two blocks of documents at most. The work goes by rows and not by bytes, so the partitions are
+    counted from the rows.
     """
+    wanted = written(wanted, "wanted")
+    parts = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-wanted.count() // ROWS))
     rows = wanted.join(docs, "doc_id").select("task", "doc_id", "partners", "text")
-    rows = rows.repartition("task").sortWithinPartitions("task")
+    rows = rows.repartition(parts, "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, asked = None, {}, []
@@ -219,7 +227,8 @@ def near_duplicates(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     stars = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = written(_likely(stars, reps, share), "likely")
     degree = likely.groupBy("a").agg(F.count("*").alias("degree"))
-    tasks = likely.join(degree, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / BLOCK))).alias("task"))
+    tasks = likely.join(degree, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / PARTNERS))).alias("task"))
+    tasks = written(tasks, "tasks")  # the join left the links of one leader together; read again, they are dealt by task
     wanted = tasks.groupBy("task", "a").agg(F.collect_list("b").alias("partners")).select("task", F.col("a").alias("doc_id"), "partners")
     wanted = wanted.unionByName(tasks.select("task", F.col("b").alias("doc_id"), F.array().cast("array<long>").alias("partners")))
     first = written(_verified(wanted, texts, words, least), "links")
