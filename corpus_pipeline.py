@@ -3,65 +3,94 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import langid, quality
-from tallyframe.llm.common import held_out, table, written
+from tallyframe.llm.common import discard, held_out, scratch, table, written
 from tallyframe.llm.exact_dedup import exact_dedup
 from tallyframe.llm.near_dup import near_duplicates
 from tallyframe.llm.packing import pack_documents
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A main language that explains less than this of a text is no decision.
-LEAST_LANGUAGE_SCORE = 0.1
+#: A main language that explains less than this of a text is no decision. A mixture of the four languages has one of 0.25 or more.
+LEAST_LANGUAGE_SCORE = 0.2
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _whole(docs: DataFrame) -> DataFrame:
+    """The columns that decide, and the whole row as ``row``, so that no column of ``docs`` can clash with a result."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that can be told stay; null texts and those without letters go."""
-    found = langid.identify(docs, langid.fit(docs, ~held_out()), keep=_others(docs))
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Texts stay of which a learned language explains enough: garbled ones, other languages, null texts and those without letters go.
+
+    Rows are judged one by one, so null ids and repeated rows need no special case; other columns of any name
+    are kept, and an empty table stays empty.
+    """
+    found = langid.identify(_whole(docs), langid.fit(docs, ~held_out()), keep=("row",))
+    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier calls good stay."""
+    """Texts that the classifier calls good stay; a null text is judged as an empty one.
+
+    Rows are judged one by one, so null ids and repeated rows need no special case; other columns of any name
+    are kept, and an empty table stays empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return quality.score(docs, model, keep=_others(docs)).filter("predicted = 1").select(docs.columns)
+    return quality.score(_whole(docs), model, keep=("row",)).filter("predicted = 1").select("row.*")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, ``_row``: a ``doc_id`` may be null or stand for several rows."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``_row``: a ``doc_id`` may be null or stand for several rows."""
+    rows = written(_whole(docs).select("row", F.monotonically_increasing_id().alias("_row")), "rows")
+    return rows.select("_row", "row.doc_id", "row.text", "row")
 
 
-def _one_of_each(rows: DataFrame, groups: DataFrame, stays: Column) -> DataFrame:
-    """Rows in no group of ``groups`` (``_row``, ``group``), and of each group the row that ``stays`` gives."""
-    groups = written(groups, "groups")
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group").agg(stays.alias("_row"))
-    dropped = written(groups.join(kept, "_row", "left_anti").select("_row"), "dropped")
-    return rows.join(dropped, "_row", "left_anti").drop("_row")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """As ``_numbered``, with the place in its file as the key of a row, if it comes from one."""
+    try:
+        place = docs.select("*", F.struct(F.unhex(F.md5("_metadata.file_path")).alias("file"), F.col("_metadata.row_index")).alias("_row"))
+    except AnalysisException:  # not read from files
+        return _numbered(docs)
+    return place.select("_row", "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts one with the largest id stays; a null id is below every other."""
-    rows = _rows(docs)
-    groups = exact_dedup(rows, "_row").filter("group_size > 1").select("_row", F.col("keep_id").alias("group"))
-    return _one_of_each(rows, groups, F.max_by("_row", F.struct("doc_id", "_row"))).select(docs.columns)
+    """Of rows with equal texts one with the largest id stays; a null id is below every other.
+
+    Null texts count as empty, so one of the null and empty ones stays. Of repeated rows one stays. Other columns
+    are kept as they are, and an empty table stays empty.
+    """
+    rows = _keyed(docs)
+    found = exact_dedup(rows.select(F.struct("doc_id", "_row").alias("_key"), "text"), "_key")
+    dropped = written(found.filter("NOT kept").select("_key._row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows whose texts links of similarity 0.8 or more connect, one with the smallest id stays; a null id is above every other."""
-    rows = _rows(docs)
+    """Of rows whose texts links of similarity 0.8 or more connect, one with the smallest id stays; a null id is above every other.
+
+    Texts that are null or without words are linked with nothing and stay. Of repeated rows one stays. Other
+    columns are kept as they are, and an empty table stays empty.
+    """
+    rows = _numbered(docs)
     groups = near_duplicates(rows, least=80, id_col="_row").select("_row", F.col("component_id").alias("group"))
-    return _one_of_each(rows, groups, F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))).select(docs.columns)
+    groups = written(groups, "groups")
+    smallest = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group").agg(smallest.alias("_row"))
+    dropped = written(groups.join(kept, "_row", "left_anti").select("_row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts and their places in sequences of 1024 tokens."""
+    """The pieces of all texts and their places in sequences of 1024 tokens.
+
+    A null text is empty and gives the end token alone. Rows with a null id and repeated rows are packed like
+    others; other columns are dropped, and an empty table gives no pieces.
+    """
     return pack_documents(docs, public_tokenizers.path(VOCABULARY), capacity=1024, end_id=2)
 
 
@@ -78,7 +107,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``. What a stage wrote for itself, and its input, are deleted once its output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch():
+            after = written(stage(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
