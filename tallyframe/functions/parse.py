@@ -1,7 +1,8 @@
 """Typed labels from free-form or JSON answers.
 
 A column of raw answers becomes a struct of ``pred`` (field to value) and ``parse_error``. Values are text: 0 or 1, a
-declared label, or a number. An answer that decodes to a JSON object is judged by that object alone.
+declared label, or a number. An answer that decodes to a JSON object is judged by that object alone; any other one
+by its decoded value and then by its text. JSON counts only from the start of the answer or of its fenced block.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that stand for a binary label or for no answer, and the ends that are cut off.
-YES, NO = {"1", "1.0", "true", "yes"}, {"0", "0.0", "false", "no"}
-VOID = {"na", "n/a", "not applicable", "not_applicable", "none", "null"}
-PUNCTUATION = " \t\r\n\"'`.,;:!?*()[]{}"
+# The words that stand for a binary label or for no answer, and the marks that are cut off.
+YES, NO = {"1", "true", "yes"}, {"0", "false", "no"}
+VOID = {"na", "n/a", "not applicable", "none", "null", ""}
+MARKS = " \"'.,!"
 RESULT = "struct<pred: map<string, string>, parse_error: string>"
 ITEM_RESULTS = "array<struct<pos: int, pred: map<string, string>, parse_error: string>>"
 
@@ -46,56 +47,54 @@ def unfenced(text: str) -> str:
     return text.strip()
 
 
-def first_value(text: str) -> object:
-    """The JSON value a text starts with, or at its first brace; raises ValueError without one."""
-    decode = json.JSONDecoder().raw_decode
-    try:
-        return decode(text)[0]
-    except ValueError:
-        at = text.find("{")
-        if at < 0:
-            raise
-        return decode(text[at:])[0]
+def bare(text: str) -> str:
+    return text.strip().strip(MARKS)
 
 
 def binary(value: object) -> str:
-    if isinstance(value, bool):
+    """0 or 1 as a boolean, a number or a word; arrays and objects are none."""
+    if isinstance(value, str):
+        word = bare(value).lower()
+        if word in YES | NO:
+            return "1" if word in YES else "0"
+    elif isinstance(value, (bool, int, float)) and value in (0, 1):
         return str(int(value))
-    word = str(value).strip(PUNCTUATION).lower()
-    if word in YES:
-        return "1"
-    if word in NO:
-        return "0"
-    raise Unusable(f"no binary label: {word[:40]}")
+    raise Unusable(f"no binary label: {str(value)[:40]}")
 
 
 def label(value: object, labels: Sequence[str]) -> str:
-    word = str(value).strip(PUNCTUATION).casefold()
-    for x in labels:
-        if word == x.casefold() or word == x.strip(PUNCTUATION).casefold():
-            return x
-    raise Unusable(f"unknown label: {word[:40]}")
+    """The declared label that a text is, whatever its case."""
+    found = [x for x in labels if isinstance(value, str) and bare(value).upper() == x.upper()]
+    if not found:
+        raise Unusable(f"unknown label: {str(value)[:40]}")
+    return found[0]
 
 
 def label_in_text(text: str, labels: Sequence[str]) -> str:
-    """The only label that stands in the text as a whole word; labels inside a longer hit don't count."""
-    spans = [(m.span(), x) for x in labels for m in re.finditer(rf"(?<!\w){re.escape(x)}(?!\w)", text, re.I)]
-    free = {x for (a, b), x in spans if not any(c <= a and b <= d and (c, d) != (a, b) for (c, d), _ in spans)}
+    """The text itself, or the only label that stands in it as a whole word.
+
+    A label that is part of another one that was found doesn't count, wherever it stands.
+    """
+    exact = [x for x in labels if x.upper() in (text.strip().upper(), bare(text).upper())]
+    if exact:
+        return exact[0]
+    hits = [x for x in labels if re.search(rf"(?<![A-Za-z0-9]){re.escape(x.upper())}(?![A-Za-z0-9])", text.upper())]
+    free = [x for x in hits if not any(x != y and x.upper() in y.upper() for y in hits)]
     if len(free) != 1:
         raise Unusable("no label" if not free else "several labels")
-    return free.pop()
+    return free[0]
 
 
 def score(value: object, low: float, high: float) -> str:
-    word = str(value).strip(PUNCTUATION).lower()
-    if value is None or word in VOID:
+    """A number in the range; null and the words for no answer, an empty text too, are ``not_applicable``."""
+    if value is None or (isinstance(value, str) and bare(value).lower() in VOID):
         raise Unusable("not_applicable")
     try:
-        number = float(word) if not isinstance(value, bool) else None
-    except ValueError:
+        number = None if isinstance(value, bool) else float(bare(value) if isinstance(value, str) else value)
+    except (TypeError, ValueError):
         number = None
     if number is None or not low <= number <= high:
-        raise Unusable(f"no number in range: {word[:40]}")
+        raise Unusable(f"no number in range: {str(value)[:40]}")
     return repr(int(number)) if number == int(number) else repr(number)
 
 
@@ -106,33 +105,40 @@ def coerced(value: object, spec: AnswerSpec) -> str:
 
 
 def from_value(value: object, spec: AnswerSpec) -> dict[str, str]:
-    """Labels from a decoded answer."""
-    if isinstance(value, list) and len(value) == 1:
+    """Labels from a decoded answer: an object, alone or in an array, or the value of the only field."""
+    if isinstance(value, list) and len(value) == 1 and isinstance(value[0], dict):
         value = value[0]
     if isinstance(value, dict):
-        known = {str(k).strip().lower(): v for k, v in value.items()}
-        missing = [f for f in spec.fields if f.lower() not in known]
+        known = {str(k).strip().lower(): v for k, v in value.items()} | value
+        got = {f: known.get(f, known.get(f.lower(), Unusable)) for f in spec.fields}
+        missing = [f for f, v in got.items() if v is Unusable]
         if missing:
             raise Unusable(f"missing key: {missing[0]}")
-        return {f: coerced(known[f.lower()], spec) for f in spec.fields}
-    if isinstance(value, list) or len(spec.fields) > 1:
+        return {f: coerced(v, spec) for f, v in got.items()}
+    if len(spec.fields) > 1:
         raise Unusable("no object")
     return {spec.fields[0]: coerced(value, spec)}
 
 
 def parse_answer(text: str | None, spec: AnswerSpec) -> tuple[dict[str, str] | None, str | None]:
     """The labels of one answer, or why there are none."""
+    inner, decoded = unfenced(text or ""), True
     try:
-        if not text or not text.strip():
-            raise Unusable("empty")
-        inner = unfenced(text)
-        try:
-            value = first_value(inner)
-        except ValueError:
-            if len(spec.fields) > 1:
-                raise Unusable("no JSON") from None
-            return {spec.fields[0]: label_in_text(inner, spec.labels) if spec.kind == "categorical" else coerced(inner, spec)}, None
-        return from_value(value, spec), None
+        value = json.JSONDecoder().raw_decode(inner)[0]
+    except ValueError:
+        value, decoded = None, False
+    whole = isinstance(value, dict) or (isinstance(value, list) and len(value) == 1 and isinstance(value[0], dict))
+    try:
+        if whole or len(spec.fields) > 1:
+            return from_value(value, spec), None
+        if decoded and value is not None and spec.kind != "categorical":
+            try:
+                return from_value(value, spec), None
+            except Unusable as e:
+                if str(e) == "not_applicable":
+                    raise
+        found = label_in_text(inner, spec.labels) if spec.kind == "categorical" else coerced(inner, spec)
+        return {spec.fields[0]: found}, None
     except Unusable as e:
         return None, str(e)
 
@@ -192,17 +198,21 @@ def parsed_batch(raw: Column, n: Column, spec: AnswerSpec) -> Column:
 
 
 def strict_object(raw: Column, fields: Sequence[str], kind: str = "binary", labels: Sequence[str] = (), low: float = 0, high: float = 100) -> Column:
-    """Whether an answer is exactly an object with these keys and values of the right JSON type, natively."""
-    keys = F.json_object_keys(raw)
-    same = F.coalesce(F.array_sort(keys) == F.array(*map(F.lit, sorted(fields))), F.lit(False))
-    ok = same
+    """Whether an answer is exactly an object with these keys and values of the right JSON type, natively.
+
+    Keys are those of the object itself, not of objects inside it.
+    """
+    parsed_value = F.try_parse_json(raw)
+    ok = F.coalesce(F.array_sort(F.json_object_keys(raw)) == F.array(*map(F.lit, sorted(fields))), F.lit(False))
     for f in fields:
-        value = rf'"{re.escape(f)}"\s*:\s*'
+        path = f"$['{f}']"
+        typed = F.schema_of_variant(F.try_variant_get(parsed_value, path, "variant"))
         if kind == "binary":
-            ok = ok & raw.rlike(value + r"[01]\s*[,}]")
+            fits = (typed == "BIGINT") & F.try_variant_get(parsed_value, path, "long").isin(0, 1)
         elif kind == "score":
-            number = F.get_json_object(raw, f"$.{f}").try_cast("double")
-            ok = ok & raw.rlike(value + r"-?\d") & F.coalesce((number >= low) & (number <= high), F.lit(False))
+            number = F.try_variant_get(parsed_value, path, "double")
+            fits = (typed.isin("BIGINT", "DOUBLE") | F.startswith(typed, F.lit("DECIMAL"))) & (number >= low) & (number <= high)
         else:
-            ok = ok & raw.rlike(value + '"') & F.coalesce(F.get_json_object(raw, f"$.{f}").isin(*labels), F.lit(False))
+            fits = (typed == "STRING") & F.try_variant_get(parsed_value, path, "string").isin(*labels)
+        ok = ok & F.coalesce(fits, F.lit(False))
     return ok

@@ -74,11 +74,9 @@ def parsed_time(c: Column | str, pattern: str = "ddMMMyyyy HH:mm:ss") -> Column:
     return F.try_to_timestamp(F.initcap(F.lower(col(c))), F.lit(pattern))
 
 
-def years_since_first(date: Column | str, by: Sequence[str] = ()) -> Column:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    return F.datediff(col(date), F.min(col(date)).over(w)) / 365.25
+def years_since(date: Column | str, first: Column | str) -> Column:
+    """Years of 365.25 days; ``corpus.with_first`` adds the first date of a table."""
+    return F.datediff(col(date), col(first)) / 365.25
 
 
 def fractional_year(date: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, relabelled
+from .numbering import numbered
 
 
 def digest_order(seed: str, *key: str) -> Column:
@@ -49,10 +50,23 @@ def both_ends(rows: DataFrame, key: Sequence[str], order: str, tie: str, n: int)
 
 
 def median_and_longest(rows: DataFrame, by: str, length: str, key: str) -> DataFrame:
-    """Of each group the item at the lower median of length and the longest."""
-    w = W.partitionBy(by)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(length, key))).withColumn("_n", F.count("*").over(w))
-    return out.filter((F.col("_i") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_i") == F.col("_n"))).drop("_i", "_n")
+    """Of each group the item at the lower median of (length, key) and the longest; ``length`` is a whole number.
+
+    The median's length comes from counts by length; then only items of that length are ordered by key.
+    """
+    counts = rows.groupBy(by, length).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(by).orderBy(length).rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.select(by, length, (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.sum("_n").over(W.partitionBy(by)).alias("_all"))
+    middle = F.floor((F.col("_all") + 1) / 2)
+    at = counts.filter((F.col("_before") < middle) & (middle <= F.col("_upto"))).select(by, length, (middle - F.col("_before") - 1).alias("_place"))
+    median = numbered(rows.join(at, [by, length]), key, by=[by], name="_pos").filter("_pos = _place").select(*rows.columns)
+    longest = rows.groupBy(F.col(by).alias("_by")).agg(F.max_by(F.struct(*rows.columns), F.struct(length, key)).alias("_row")).select("_row.*")
+    return median.unionByName(longest).distinct()
+
+
+def with_first(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the least value of the whole table, one row that goes to all others."""
+    return rows.crossJoin(F.broadcast(rows.agg(F.min(value).alias(name))))
 
 
 def sampled(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:

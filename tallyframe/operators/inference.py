@@ -59,12 +59,11 @@ def answer(requests: DataFrame, make_client: Callable[[], Client], system: str =
 
 
 def batches(requests: DataFrame, size: int, order: str, wrap: Sequence[str] = ("", "")) -> DataFrame:
-    """Requests grouped ``size`` at a time in order: the batch's ids and one numbered prompt."""
-    w = W.partitionBy("task", "model").orderBy(order)
-    rows = requests.withColumn("_i", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("_i") / size))
+    """Requests grouped ``size`` at a time in ``order`` (a whole number): the batch's ids and one numbered prompt."""
+    rows = numbered(requests, order, by=["task", "model"], name="_i").withColumn("batch", F.floor(F.col("_i") / size))
     groups = rows.groupBy("task", "model", "batch").agg(F.sort_array(F.collect_list(F.struct("_i", "item_id", "user_content"))).alias("_rows"))
-    numbered = F.transform("_rows", lambda r: F.concat((r["_i"] % size + 1).cast("string"), F.lit(". "), F.lit(wrap[0]), r["user_content"], F.lit(wrap[1])))
-    return groups.select("task", "model", "batch", F.col("_rows.item_id").alias("item_ids"), F.size("_rows").alias("n"), F.array_join(numbered, "\n").alias("user_content"))
+    lines = F.transform("_rows", lambda r: F.concat((r["_i"] % size + 1).cast("string"), F.lit(". "), F.lit(wrap[0]), r["user_content"], F.lit(wrap[1])))
+    return groups.select("task", "model", "batch", F.col("_rows.item_id").alias("item_ids"), F.size("_rows").alias("n"), F.array_join(lines, "\n").alias("user_content"))
 
 
 def join_batch_answers(groups: DataFrame, results: Column) -> DataFrame:

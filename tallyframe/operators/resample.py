@@ -1,8 +1,9 @@
 """Resampling with draws that a hash decides, so that any engine repeats them.
 
-Replicate b of a task with n items takes, in slot j, the item at hash(seed, task, b, j) mod n. Draws are shared by all
-models of a task, which pairs the comparisons. The weighted-count identity turns a replicate's F1 into sums of
-counts, so no replicate is ever scored row by row.
+Replicate b of a task with n items takes, in slot j, the item that a hash of (seed, task, b, j) names; one SHA-256
+serves eight slots. Draws are shared by all models of a task, which pairs the comparisons. Items with the same gold
+label and the same answers of all models are one pattern: draws are counted by pattern, and only patterns meet the
+models and labels, so no replicate is ever scored row by row.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .numbering import numbered
 
 LEVELS = (0.025, 0.975)
+#: Positions that may be broadcast to the draws; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
+#: Slots that one digest serves.
+SLOTS = 8
 
 
 def hash_draw(n: Column, *parts: Column | str) -> Column:
@@ -22,33 +27,54 @@ def hash_draw(n: Column, *parts: Column | str) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long"), n)
 
 
+def slots(sizes: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """The position that each slot of each replicate draws: ``task, b, pos``. ``sizes`` has task and n.
+
+    Replicates are dealt to as many partitions as there are cores, so a few large tasks don't stay in one.
+    """
+    parts = sizes.sparkSession.sparkContext.defaultParallelism
+    rows = sizes.select("task", F.col("n").cast("long").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b")).repartition(parts, "task", "b")
+    rows = rows.select("task", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))).alias("c"))
+    rows = rows.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), "task", F.col("b").cast("string"), F.col("c").cast("string")), 256))
+    drawn = F.array(*(F.pmod(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long"), F.col("n")) for i in range(SLOTS)))
+    return rows.select("task", "b", F.explode(F.slice(drawn, F.lit(1), F.least(F.lit(SLOTS), (F.col("n") - F.col("c") * SLOTS)).cast("int"))).alias("pos"))
+
+
 def item_weights(sizes: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
     """How often each item position is drawn: ``task, b, pos, w``. ``sizes`` has task and n."""
-    slots = sizes.select("task", F.col("n").cast("long").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
-    slots = slots.select("task", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    drawn = slots.select("task", "b", hash_draw(F.col("n"), F.lit(seed), "task", "b", "j").alias("pos"))
-    return drawn.groupBy("task", "b", "pos").agg(F.count("*").alias("w"))
+    return slots(sizes, iterations, seed).groupBy("task", "b", "pos").agg(F.count("*").alias("w"))
+
+
+def answer_patterns(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items by what was asked and answered: ``task, id, pattern``, and each pattern's ``task, pattern, model, gold, pred``.
+
+    A pattern is the list of an item's decisions, at most one for each model and label field.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("model", "gold", "pred")))
+    items = decisions.groupBy("task", "id").agg(rows.alias("_rows")).withColumn("pattern", F.md5(F.to_json("_rows", {"ignoreNullFields": "false"})))
+    known = items.groupBy("task", "pattern").agg(F.first("_rows").alias("_rows"))
+    return items.select("task", "id", "pattern"), known.select("task", "pattern", F.inline("_rows"))
 
 
-def positions(items: DataFrame) -> DataFrame:
-    """The place of each item in its task, by id: ``task, id, pos, n``."""
-    keys = items.select("task", "id").distinct()
-    sizes = keys.groupBy("task").agg(F.count("*").alias("n"))
-    return numbered(keys, "id", by=["task"]).join(F.broadcast(sizes), "task")
+def pattern_weights(items: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """How often each replicate draws a pattern: ``task, b, pattern, w``. Items have a place in their task by id."""
+    sizes = items.groupBy("task").agg(F.count("*").alias("n"))
+    places = numbered(items, "id", by=["task"]).select("task", "pos", "pattern")
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= MOST_BROADCAST:
+        places = F.broadcast(places)
+    return slots(sizes, iterations, seed).join(places, ["task", "pos"]).groupBy("task", "b", "pattern").agg(F.count("*").alias("w"))
 
 
 def f1_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
     """Headline F1 of every replicate: ``task, model, b, f1``. Labels are those with support in the full data."""
-    places = positions(decisions)
-    sizes = places.groupBy("task").agg(F.max("n").alias("n"))
-    weights = item_weights(sizes, iterations, seed)
+    items, known = answer_patterns(decisions)
+    weights = pattern_weights(items, iterations, seed)
     seen = decisions.select("task", F.col("gold").alias("label")).distinct()
     labels = label_def.select("task", "label").distinct().join(F.broadcast(seen), ["task", "label"], "left_semi")
     right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
     side = lambda label, g, p, tp: F.struct(label.alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), tp.cast("int").alias("tp"))
-    rows = decisions.select("task", "model", "id", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
-    rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"])
-    rows = rows.join(places.select("task", "id", "pos"), ["task", "id"]).join(weights, ["task", "pos"])
+    rows = known.select("task", "pattern", "model", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
+    rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"]).join(weights, ["task", "pattern"])
     sums = rows.groupBy("task", "model", "b", "label").agg(F.sum(F.col("w") * F.col("tp")).alias("tp"), F.sum(F.col("w") * (F.col("g") + F.col("p"))).alias("gp"))
     per_label = sums.groupBy("task", "model", "b").agg(F.sum(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gp")), F.lit(0.0))).alias("_s"))
     n = labels.groupBy("task").agg(F.count("*").alias("_k"))
@@ -61,15 +87,23 @@ def interval(value: Column, name: str = "") -> list[Column]:
     return [p[0].alias(f"{name}low"), p[1].alias(f"{name}high")]
 
 
+def _units(rows: DataFrame, unit: str, iterations: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Places of resampled units such as tasks, models or clusters by name, and the weights of the places.
+
+    Places come from a window over the distinct units, of which there are as many as the table of results has.
+    """
+    units = rows.select(unit).distinct()
+    places = units.select(unit, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unit)) - 1).cast("long").alias("pos"))
+    return places, item_weights(units.groupBy(F.lit("u").alias("task")).agg(F.count("*").alias("n")), iterations, seed).drop("task")
+
+
 def mean_replicates(rows: DataFrame, unit: str, value: str, iterations: int, by: list[str], seed: str = "mean") -> DataFrame:
     """Replicate means over resampled units: ``by, b, mean``. Units are placed by name; draws are shared by groups.
 
     Each group must have each unit at most once.
     """
-    units = rows.select(unit).distinct().withColumn("_all", F.lit("u"))
-    places = units.select(unit, (F.row_number().over(W.partitionBy("_all").orderBy(unit)) - 1).cast("long").alias("pos"))
-    weights = item_weights(units.groupBy(F.col("_all").alias("task")).agg(F.count("*").alias("n")), iterations, seed).drop("task")
-    drawn = rows.join(F.broadcast(places.select(unit, "pos")), unit).join(weights, "pos")
+    places, weights = _units(rows, unit, iterations, seed)
+    drawn = rows.join(places, unit).join(weights, "pos")
     return drawn.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
 
 
@@ -99,10 +133,8 @@ def binomial_tail(k: Column, n: Column) -> Column:
 
 def slope_interval(rows: DataFrame, unit: str, x: str, y: str, iterations: int, seed: str = "mean") -> DataFrame:
     """Least-squares slope and the interval of its replicates over resampled units; weighted moments give each one."""
-    units = rows.select(unit).distinct()
-    places = units.select(unit, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unit)) - 1).cast("long").alias("pos"))
-    weights = item_weights(units.groupBy(F.lit("u").alias("task")).agg(F.count("*").alias("n")), iterations, seed).drop("task")
-    drawn = rows.join(F.broadcast(places), unit).join(weights, "pos")
+    places, weights = _units(rows, unit, iterations, seed)
+    drawn = rows.join(places, unit).join(weights, "pos")
     moment = lambda w: F.try_divide(F.sum(w) * F.sum(w * F.col(x) * F.col(y)) - F.sum(w * F.col(x)) * F.sum(w * F.col(y)), F.sum(w) * F.sum(w * F.col(x) ** 2) - F.sum(w * F.col(x)) ** 2)
     low, high = interval(F.col("s"))
     reps = drawn.groupBy("b").agg(moment(F.col("w").cast("double")).alias("s")).agg(low, high)

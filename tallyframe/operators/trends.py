@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import average_rank, pearson
+from .metrics import average_rank, pearson, spearman
 
 
 def slope(x: Column, y: Column) -> Column:
@@ -47,8 +47,8 @@ def leave_one_out_correlations(rows: DataFrame, key: str, x: str, y: str) -> Dat
 def partial_rank_correlation(rows: DataFrame, x: str, y: str, control: str) -> DataFrame:
     """Correlation of ranks with a third rank held fixed, from the three plain ones."""
     full = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(control).isNotNull()).withColumn("_g", F.lit(1))
-    ranked = full.select(*(average_rank(c, ["_g"]).alias(n) for c, n in ((x, "_x"), (y, "_y"), (control, "_z"))))
-    r = ranked.agg(pearson(F.col("_x"), F.col("_y")).alias("xy"), pearson(F.col("_x"), F.col("_z")).alias("xz"), pearson(F.col("_y"), F.col("_z")).alias("yz"))
+    xy, xz, yz = (spearman(full, *pair, ["_g"], name) for *pair, name in ((x, y, "xy"), (x, control, "xz"), (y, control, "yz")))
+    r = xy.join(xz, "_g").join(yz, "_g")
     xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
     return r.select(xy.alias("rank_correlation"), F.try_divide(xy - xz * yz, F.sqrt((1 - xz**2) * (1 - yz**2))).alias("partial"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as c
 from ..operators import resample as b
 from ..operators import trends as g
-from .comparing import SCORES, scores
+from .comparing import DRAWS, SCORES, scores
 from .fixtures import table
 from .registry import query, rounded
 from .scoring import wrong
@@ -27,7 +27,7 @@ def disagreement_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{SCORES}, v AS (SELECT task || '/' || model AS cell, task, f1 FROM scores), t AS (SELECT sum(f1 * f1) - sum(f1) ** 2 / count(*) AS total FROM v),
-    p AS (SELECT draw, task, f1, row_number() OVER (PARTITION BY draw ORDER BY cell) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || cell), cell) AS q FROM v, range(1, 51) r(draw)),
+    p AS (SELECT draw, task, f1, row_number() OVER (PARTITION BY draw ORDER BY cell) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || cell), cell) AS q FROM v, range(1, {DRAWS + 1}) r(draw)),
     s AS (SELECT a.draw, a.task, sum(c.f1) AS s, count(*) AS n FROM p a JOIN p c ON a.draw = c.draw AND a.i = c.q GROUP BY ALL),
     e AS (SELECT draw, (sum(s * s / n) - sum(s) ** 2 / sum(n)) / (SELECT total FROM t) AS eta FROM s GROUP BY draw),
     o AS (SELECT (sum(s * s / n) - sum(s) ** 2 / sum(n)) / (SELECT total FROM t) AS eta FROM (SELECT task, sum(f1) AS s, count(*) AS n FROM v GROUP BY task))
@@ -35,7 +35,7 @@ def disagreement_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do tasks explain more of the scores than chance would?"""
     rows = scores(spark, sf_dir).select(F.concat_ws("/", "task", "model").alias("cell"), "task", "f1")
-    return rounded(b.permutation_eta(rows, "cell", "task", "f1", 50))
+    return rounded(b.permutation_eta(rows, "cell", "task", "f1", DRAWS))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS unit, l_suppkey % 7 AS place, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_linenumber <= 2),

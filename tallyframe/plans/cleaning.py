@@ -155,8 +155,8 @@ def part_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     return rounded(
-        table(spark, sf_dir, "orders").select(
-            "o_orderkey", t.date_text(F.year(d), F.month(d), F.day(d)).alias("day"), t.years_since_first(d).alias("years"), t.fractional_year(d).alias("frac_year"),
+        c.with_first(table(spark, sf_dir, "orders"), d, "_first").select(
+            "o_orderkey", t.date_text(F.year(d), F.month(d), F.day(d)).alias("day"), t.years_since(d, "_first").alias("years"), t.fractional_year(d).alias("frac_year"),
             t.months_between_days(d, F.lit("1992-01-01").cast("date")).alias("months"), F.round(F.col("o_totalprice"), 2).alias("usd"),
         )
     )

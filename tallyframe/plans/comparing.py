@@ -15,7 +15,8 @@ from .scoring import BASE, HEAD, headline, wrong
 #: Headline F1 by task and model, rounded so that ranks and ties are the same in any engine.
 SCORES = f"{BASE}, {HEAD}, scores AS (SELECT task, model, round(headline_f1, 9) AS f1 FROM headline)"
 META = f"{SCORES}, {SQL_MODELS}, {SQL_TASKS}"
-DRAWS = 40
+#: Replicates of a summary; a permutation test takes as many permutations.
+DRAWS = 1000
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,15 +149,17 @@ def complexity_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(k.standardised_mean(docs, ["n_chars", "spaces"]).select("doc_id", "proxy"))
 
 
-#: Draws of 40 replicates for every labelling task, and their F1.
-SQL_BOOT = f"""{BASE}, s AS (SELECT *, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, id FROM wrong)),
-    place AS (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY id) - 1 AS pos FROM s),
-    size AS (SELECT task, any_value(n) AS n FROM s GROUP BY task),
-    slot AS (SELECT task, n, b, unnest(range(n)) AS j FROM size, range(1, {DRAWS + 1}) r(b)),
-    w AS (SELECT task, b, ('0x' || substr(sha256('boot|' || task || '|' || b || '|' || j), 1, 8))::BIGINT % n AS pos, count(*) AS w FROM slot GROUP BY ALL),
-    rw AS (SELECT wrong.*, b, w FROM wrong JOIN place USING (task, id) JOIN w USING (task, pos)),
+#: Draws of replicates for every labelling task, counted by pattern of answers, and their F1.
+SQL_DRAW = """hashed AS (SELECT {keys}, n, b, c, sha256('{seed}|' || {task} || '|' || b || '|' || c) AS h FROM (SELECT *, unnest(range((n + 7) // 8)) AS c FROM {sizes}, range(1, {last}) r(b))),
+    slot AS (SELECT {keys}, b, ('0x' || substr(h, 8 * i::INT + 1, 8))::BIGINT % n AS pos FROM hashed, range(8) r(i) WHERE c * 8 + i < n)"""
+SQL_BOOT = f"""{BASE}, s AS (SELECT task, id, list((model, gold, pred) ORDER BY model)::VARCHAR AS pattern FROM wrong GROUP BY task, id),
+    place AS (SELECT task, pattern, row_number() OVER (PARTITION BY task ORDER BY id) - 1 AS pos FROM s),
+    size AS (SELECT task, count(*) AS n FROM s GROUP BY task),
+    {SQL_DRAW.format(keys="task", seed="boot", task="task", sizes="size", last=DRAWS + 1)},
+    w AS (SELECT task, b, pattern, count(*) AS w FROM slot JOIN place USING (task, pos) GROUP BY ALL),
+    known AS (SELECT DISTINCT s.task, s.pattern, model, gold, pred FROM wrong JOIN s USING (task, id)),
     lab AS (SELECT DISTINCT l.task, l.label FROM label_def l JOIN items i ON i.task = l.task AND i.gold = l.label),
-    lb AS (SELECT r.task, r.model, r.b, l.label, 2 * sum(w) FILTER (gold = label AND pred = label) AS tp2, sum(w) FILTER (gold = label) AS g, sum(w) FILTER (pred = label) AS p FROM rw r JOIN lab l USING (task) GROUP BY ALL),
+    lb AS (SELECT k.task, k.model, b, l.label, 2 * sum(w) FILTER (gold = label AND pred = label) AS tp2, sum(w) FILTER (gold = label) AS g, sum(w) FILTER (pred = label) AS p FROM known k JOIN w USING (task, pattern) JOIN lab l ON l.task = k.task GROUP BY ALL),
     reps AS (SELECT task, model, b, avg(coalesce(coalesce(tp2, 0)::DOUBLE / nullif(coalesce(g, 0) + coalesce(p, 0), 0), 0)) AS f1 FROM lb GROUP BY ALL)"""
 
 
@@ -180,11 +183,13 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("model", "reference").agg(F.avg("d").alias("difference"), *b.interval(F.col("d"))))
 
 
-_UNIT = """u AS (SELECT {unit} AS unit, row_number() OVER (ORDER BY {unit}) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT {unit} FROM {rows})),
-    sl AS (SELECT any_value(n) AS n FROM u), dr AS (SELECT b, ('0x' || substr(sha256('mean|u|' || b || '|' || j), 1, 8))::BIGINT % n AS pos, count(*) AS w FROM (SELECT n, b, unnest(range(n)) AS j FROM sl, range(1, {draws} + 1) r(b)) GROUP BY ALL)"""
+_UNIT = """u AS (SELECT {{unit}} AS unit, row_number() OVER (ORDER BY {{unit}}) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT {{unit}} FROM {{rows}})),
+    sl AS (SELECT 'u' AS task, any_value(n) AS n FROM u), {draw}, dr AS (SELECT b, pos, count(*) AS w FROM slot GROUP BY ALL)""".format(
+    draw=SQL_DRAW.format(keys="task", seed="mean", task="task", sizes="sl", last=DRAWS + 1)
+)
 
 
-@query(f"""{SCORES}, {_UNIT.format(unit="task", rows="scores", draws=DRAWS)}, reps AS (SELECT model, b, sum(w * f1) / sum(w) AS mean FROM scores JOIN u ON task = unit JOIN dr USING (pos) GROUP BY ALL)
+@query(f"""{SCORES}, {_UNIT.format(unit="task", rows="scores")}, reps AS (SELECT model, b, sum(w * f1) / sum(w) AS mean FROM scores JOIN u ON task = unit JOIN dr USING (pos) GROUP BY ALL)
     SELECT s.model, round(s.mean, 6) AS mean, round(quantile_cont(r.mean, 0.025), 6) AS low, round(quantile_cont(r.mean, 0.975), 6) AS high, round(avg((r.mean > 0)::INT), 6) AS share_positive
     FROM (SELECT model, avg(f1) AS mean FROM scores GROUP BY model) s JOIN reps r USING (model) GROUP BY s.model, s.mean""")
 def task_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +197,7 @@ def task_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.mean_interval(scores(spark, sf_dir), "task", "f1", DRAWS, ["model"]))
 
 
-@query(f"""{SCORES}, x AS (SELECT task, a.model, a.f1 - c.f1 AS d FROM scores a JOIN scores c USING (task) WHERE c.model = 'm1' AND a.model <> 'm1'), {_UNIT.format(unit="task", rows="x", draws=DRAWS)},
+@query(f"""{SCORES}, x AS (SELECT task, a.model, a.f1 - c.f1 AS d FROM scores a JOIN scores c USING (task) WHERE c.model = 'm1' AND a.model <> 'm1'), {_UNIT.format(unit="task", rows="x")},
     reps AS (SELECT model, b, sum(w * d) / sum(w) AS mean FROM x JOIN u ON task = unit JOIN dr USING (pos) GROUP BY ALL)
     SELECT s.model, round(s.mean, 6) AS mean, round(quantile_cont(r.mean, 0.025), 6) AS low, round(quantile_cont(r.mean, 0.975), 6) AS high, round(avg((r.mean > 0)::INT), 6) AS share_positive
     FROM (SELECT model, avg(d) AS mean FROM x GROUP BY model) s JOIN reps r USING (model) GROUP BY s.model, s.mean""")
@@ -204,7 +209,7 @@ def contrasts_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.mean_interval(d, "task", "d", DRAWS, ["model"]))
 
 
-@query(f"""{META}, c AS (SELECT model, category, avg(f1) AS f1 FROM scores JOIN tasks USING (task) GROUP BY ALL), {_UNIT.format(unit="category", rows="c", draws=DRAWS)},
+@query(f"""{META}, c AS (SELECT model, category, avg(f1) AS f1 FROM scores JOIN tasks USING (task) GROUP BY ALL), {_UNIT.format(unit="category", rows="c")},
     reps AS (SELECT model, b, sum(w * f1) / sum(w) AS mean FROM c JOIN u ON category = unit JOIN dr USING (pos) GROUP BY ALL)
     SELECT s.model, round(s.mean, 6) AS mean, round(quantile_cont(r.mean, 0.025), 6) AS low, round(quantile_cont(r.mean, 0.975), 6) AS high, round(avg((r.mean > 0)::INT), 6) AS share_positive
     FROM (SELECT model, avg(f1) AS mean FROM c GROUP BY model) s JOIN reps r USING (model) GROUP BY s.model, s.mean""")
@@ -223,7 +228,7 @@ def paired_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.greedy_tiers(k.model_means(rows), pairs)
 
 
-query(f"""{SCORES}, x AS (SELECT task, a.model, c.model AS reference, a.f1 - c.f1 AS d FROM scores a JOIN scores c USING (task) WHERE a.model <> c.model), {_UNIT.format(unit="task", rows="x", draws=DRAWS)},
+query(f"""{SCORES}, x AS (SELECT task, a.model, c.model AS reference, a.f1 - c.f1 AS d FROM scores a JOIN scores c USING (task) WHERE a.model <> c.model), {_UNIT.format(unit="task", rows="x")},
     hi AS (SELECT model, reference, quantile_cont(mean, 0.975) AS high FROM (SELECT model, reference, b, sum(w * d) / sum(w) AS mean FROM x JOIN u ON task = unit JOIN dr USING (pos) GROUP BY ALL) GROUP BY ALL),
     o AS (SELECT model, row_number() OVER (ORDER BY round(avg(f1), 9) DESC, model) AS i FROM scores GROUP BY model),
     t AS (WITH RECURSIVE t AS (SELECT o.i, o.model, 1 AS tier, o.model AS leader FROM o WHERE o.i = 1 UNION ALL
@@ -232,7 +237,7 @@ query(f"""{SCORES}, x AS (SELECT task, a.model, c.model AS reference, a.f1 - c.f
 
 
 @query(f"""{SCORES}, t AS (SELECT task, avg(f1) AS y FROM scores GROUP BY task), v AS (SELECT task, y, round(y, 9) AS o, length(task) AS x FROM t),
-    p AS (SELECT draw, task, row_number() OVER (PARTITION BY draw ORDER BY task) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || task), task) AS q, x, y FROM v, range(1, 51) r(draw)),
+    p AS (SELECT draw, task, row_number() OVER (PARTITION BY draw ORDER BY task) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || task), task) AS q, x, y FROM v, range(1, {DRAWS + 1}) r(draw)),
     d AS (SELECT a.draw, avg(c.y) FILTER (a.x > 4) - avg(c.y) FILTER (a.x <= 4) AS gap FROM p a JOIN p c ON a.draw = c.draw AND a.i = c.q GROUP BY a.draw),
     s AS (SELECT avg(y) FILTER (x > 4) - avg(y) FILTER (x <= 4) AS gap FROM v)
     SELECT round(any_value(s.gap), 6) AS gap, round((1 + count(*) FILTER (round(abs(d.gap), 9) >= round(abs(s.gap), 9))) / (count(*) + 1), 6) AS p_value FROM d, s""")
@@ -242,7 +247,7 @@ def permutation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = rows.select("task", (F.length("task") > 4).alias("long"))
     gap = F.avg(F.when(F.col("long"), F.col("y"))) - F.avg(F.when(~F.col("long"), F.col("y")))
     real = rows.join(side, "task").agg(gap.alias("real"))
-    drawn = b.permuted(rows, "task", "y", 50).join(side, "task").groupBy("draw").agg(gap.alias("gap"))
+    drawn = b.permuted(rows, "task", "y", DRAWS).join(side, "task").groupBy("draw").agg(gap.alias("gap"))
     over = F.round(F.abs("gap"), 9) >= F.round(F.abs("real"), 9)
     return rounded(drawn.crossJoin(F.broadcast(real)).agg(F.max("real").alias("gap"), ((1 + F.count_if(over)) / (F.count("*") + 1)).alias("p_value")))
 

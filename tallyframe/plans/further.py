@@ -82,7 +82,7 @@ def year_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("order_year", F.col("F").alias("f"), F.col("O").alias("o")))
 
 
-@query(f"""{META}, x AS (SELECT model, round(avg(f1), 9) AS y, any_value(k)::DOUBLE AS x FROM scores JOIN models USING (model) GROUP BY model), {_UNIT.format(unit="model", rows="x", draws=DRAWS)},
+@query(f"""{META}, x AS (SELECT model, round(avg(f1), 9) AS y, any_value(k)::DOUBLE AS x FROM scores JOIN models USING (model) GROUP BY model), {_UNIT.format(unit="model", rows="x")},
     s AS (SELECT b, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / nullif(sum(w) * sum(w * x * x) - sum(w * x) ** 2, 0) AS s FROM x JOIN u ON model = unit JOIN dr USING (pos) GROUP BY b)
     SELECT round((SELECT regr_slope(y, x) FROM x), 6) AS slope, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s""")
 def slope_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def slope_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{META}, x AS (SELECT model, round(avg(f1), 9) AS y, any_value(k) AS x FROM scores JOIN models USING (model) GROUP BY model),
-    p AS (SELECT draw, row_number() OVER (PARTITION BY draw ORDER BY model) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || model), model) AS q, x, y FROM x, range(1, 51) r(draw)),
+    p AS (SELECT draw, row_number() OVER (PARTITION BY draw ORDER BY model) AS i, row_number() OVER (PARTITION BY draw ORDER BY sha256('perm|' || draw || '|' || model), model) AS q, x, y FROM x, range(1, {DRAWS + 1}) r(draw)),
     z AS (SELECT a.draw, a.x, c.y FROM p a JOIN p c ON a.draw = c.draw AND a.i = c.q),
     rk AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY x) + (count(*) OVER (PARTITION BY draw, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY draw ORDER BY y) + (count(*) OVER (PARTITION BY draw, y) - 1) / 2.0 AS c FROM z),
     d AS (SELECT draw, corr(a, c) AS r FROM rk GROUP BY draw),
@@ -102,7 +102,7 @@ def permutation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sided permutation test of a rank correlation."""
     rows = scores(spark, sf_dir).join(F.broadcast(models(spark)), "model").groupBy("model").agg(F.round(F.avg("f1"), 9).alias("y"), F.max("k").alias("x"))
     real = m.spearman(rows.withColumn("_all", F.lit(1)), "x", "y", ["_all"], "real")
-    drawn = m.spearman(b.permuted(rows, "model", "y", 50).join(F.broadcast(rows.select("model", "x")), "model"), "x", "y", ["draw"], "r")
+    drawn = m.spearman(b.permuted(rows, "model", "y", DRAWS).join(F.broadcast(rows.select("model", "x")), "model"), "x", "y", ["draw"], "r")
     over = F.count_if(F.round("r", 9) >= F.round("real", 9))
     return rounded(drawn.crossJoin(F.broadcast(real)).agg(F.max("real").alias("correlation"), ((1 + over) / (F.count("*") + 1)).alias("p_value")))
 
@@ -159,7 +159,7 @@ def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(found["intercept"], 6), round(found["a"], 6))], "intercept double, slope double")
 
 
-@query(f"""{SCORES}, x AS (SELECT task, model, f1 FROM scores), c AS (SELECT model, avg(f1) AS raw FROM x GROUP BY model), {_UNIT.format(unit="task", rows="x", draws=DRAWS)},
+@query(f"""{SCORES}, x AS (SELECT task, model, f1 FROM scores), c AS (SELECT model, avg(f1) AS raw FROM x GROUP BY model), {_UNIT.format(unit="task", rows="x")},
     reps AS (SELECT model, b, sum(w * f1) / sum(w) AS mean FROM x JOIN u ON task = unit JOIN dr USING (pos) GROUP BY ALL),
     res AS (SELECT row_number() OVER (ORDER BY i) - 1 AS pos, v, count(*) OVER () AS n FROM (VALUES (1, -0.01::DOUBLE), (2, 0.0::DOUBLE), (3, 0.01::DOUBLE), (4, 0.02::DOUBLE)) z(i, v)),
     m AS (SELECT model, 0.1 + 0.8 * mean + v AS mean FROM reps JOIN res ON res.pos = ('0x' || substr(sha256('residual|' || model || '|' || b), 1, 8))::BIGINT % 4)

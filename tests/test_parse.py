@@ -39,8 +39,35 @@ def test_bad_answers(text, spec):
     assert pred is None and error
 
 
-def test_void_scores():
-    assert p.parse_answer('{"s": "N/A"}', SCORE) == (None, "not_applicable")
+STANCE = p.AnswerSpec("categorical", ("stance",), ("Support", "Not Support", "Oppose"))
+
+
+@pytest.mark.parametrize(
+    ("text", "spec", "pred"),
+    [
+        ("2 - Oppose", STANCE, {"stance": "Oppose"}),
+        ('"Oppose because"', STANCE, {"stance": "Oppose"}),
+        ("Support, Not Support", STANCE, {"stance": "Not Support"}),
+        ('["Oppose"]', STANCE, {"stance": "Oppose"}),
+        ("Oppose, Support", STANCE, None),
+        ('{"relevant": [1]}', YES, None),
+        ('{"relevant": "(1)"}', YES, None),
+        ("[1]", YES, None),
+        ('well, {"relevant": 1}', YES, None),
+        ("true story", YES, {"relevant": "1"}),
+        ('{"s": "[7]"}', SCORE, None),
+        ('"7"', SCORE, {"s": "7"}),
+        ("7.50!", SCORE, {"s": "7.5"}),
+        ('{"Relevant ": 0, "relevant": 1}', YES, {"relevant": "1"}),
+    ],
+)
+def test_answers_at_the_edge(text, spec, pred):
+    assert p.parse_answer(text, spec)[0] == pred
+
+
+@pytest.mark.parametrize("text", ['{"s": "N/A"}', '{"s": null}', '{"s": ""}', "none", "", "null", '"n/a"'])
+def test_void_scores(text):
+    assert p.parse_answer(text, SCORE) == (None, "not_applicable")
 
 
 @pytest.mark.parametrize("text", ['[{"relevant": 1}, {"relevant": 0}]', '{"results": [{"relevant": 1}, {"relevant": 0}]}', '{"relevant": 1}\n{"relevant": 0}', "[1, 0]"])
@@ -56,6 +83,13 @@ def test_a_batch_of_another_size_is_void(text):
 def test_strict_objects(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ('{"a": 1.0}',), ('{"a": true}',), ('{"a": 1, "b": 0}',), ("no",)], "raw string")
     assert [r[0] for r in rows.select(p.strict_object(F.col("raw"), ["a"])).collect()] == [True, False, False, False, False]
+    odd = ['{"a": {"a": 1}}', '{"a": 2}', '{"a": "1"}', '{"a": [1]}', "[1]", None, '{"a": 0, "b": {"a": 1}}', '{"x": "\\"a\\": 1", "a": 1}']
+    rows = spark.createDataFrame([(x,) for x in odd], "raw string")
+    assert not any(r[0] for r in rows.select(p.strict_object(F.col("raw"), ["a"])).collect())
+    typed = spark.createDataFrame([('{"s": 1.5}',), ('{"s": 7}',), ('{"s": "7"}',), ('{"s": 70}',)], "raw string")
+    assert [r[0] for r in typed.select(p.strict_object(F.col("raw"), ["s"], "score", low=0, high=10)).collect()] == [True, True, False, False]
+    named = spark.createDataFrame([('{"l": "x"}',), ('{"l": "z"}',), ('{"l": 1}',)], "raw string")
+    assert [r[0] for r in named.select(p.strict_object(F.col("raw"), ["l"], "label", labels=("x", "1"))).collect()] == [True, False, False]
 
 
 def test_text_functions(spark):

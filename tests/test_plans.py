@@ -40,7 +40,8 @@ def test_release_pairs_take_2000_replicates(spark):
     for task, part in rows.groupby("task"):
         ids = sorted(part.id.unique())
         n, known = len(ids), sorted(set(labels[labels.task == task].label) & set(part.gold))
-        draws = [[int(hashlib.sha256(f"boot|{task}|{b}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)] for b in range(1, 2001)]
+        digest = lambda b, j: hashlib.sha256(f"boot|{task}|{b}|{j // 8}".encode()).hexdigest()[8 * (j % 8) : 8 * (j % 8) + 8]  # noqa: B023, E731
+        draws = [[int(digest(b, j), 16) % n for j in range(n)] for b in range(1, 2001)]
         weights = np.array([np.bincount(d, minlength=n) for d in draws], float)
         for model, one in part.groupby("model"):
             w, scores = weights[:, np.searchsorted(ids, one.id)], []
