@@ -191,3 +191,30 @@ def coding_complexity(kind: Column, effective: Column, words: Column) -> Column:
 
 def no_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
+
+
+def clipped(c: Column | str, low: float, high: float) -> Column:
+    return F.least(F.greatest(col(c), F.lit(low)), F.lit(high))
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """JSON text with keys sorted at every level, no spaces and plain characters."""
+    import json
+
+    return s.map(lambda x: json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")
+
+
+def restored_label(key: Column | str, labels: Sequence[str]) -> Column:
+    """The label that ``safe_key`` turned into this key; null for an unknown one."""
+    import re
+
+    known = {re.sub("[^a-zA-Z0-9_.-]", "_", x)[:64]: x for x in labels}
+    return F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[col(key)]
+
+
+def prose_list(c: Column | str) -> Column:
+    """The words of an array as ``a, b and c``."""
+    c = col(c)
+    head = F.array_join(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), ", ")
+    return F.when(F.size(c) > 1, F.concat(head, F.lit(" and "), F.element_at(c, -1))).otherwise(F.array_join(c, ""))

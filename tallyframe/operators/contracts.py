@@ -110,3 +110,46 @@ def require_usable(df: DataFrame) -> None:
     """At least one clean answer."""
     if df.filter("parse_error IS NULL").isEmpty():
         raise ContractError("no usable answer")
+
+
+def audited(raw: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Stored predictions against those parsed again from the raw answers (``pred`` on both sides).
+
+    Returns keys with a ``finding``: mismatch, not stored, or no raw answer.
+    """
+    a, b = raw.select(*key, F.col("pred").alias("_a"), F.lit(True).alias("_raw")), stored.select(*key, F.col("pred").alias("_b"), F.lit(True).alias("_stored"))
+    found = F.when(F.col("_stored").isNull(), "not stored").when(F.col("_raw").isNull(), "no raw answer").when(~F.col("_a").eqNullSafe(F.col("_b")), "mismatch")
+    return a.join(b, list(key), "full").select(*key, found.alias("finding")).filter("finding IS NOT NULL")
+
+
+def broken_cells(rows: DataFrame, panel: DataFrame, panel_hash: str) -> DataFrame:
+    """Cells of a checkpoint (``task, model, item_id, panel_hash``) that don't hold exactly the panel's items (``task, item_id``)."""
+    cells = rows.groupBy("task", "model").agg(F.count("*").alias("rows"), F.bool_and(F.col("panel_hash") == panel_hash).alias("same_panel"))
+    wanted = cells.select("task", "model").join(panel.select("task", "item_id"), "task")
+    matched = rows.select("task", "model", "item_id").distinct().join(wanted, ["task", "model", "item_id"], "left_semi").groupBy("task", "model").agg(F.count("*").alias("matched"))
+    sizes = panel.groupBy("task").agg(F.count("*").alias("panel"))
+    out = cells.join(matched, ["task", "model"], "left").join(F.broadcast(sizes), "task", "left").fillna(0, ["matched", "panel"])
+    return out.filter("NOT same_panel OR rows <> panel OR matched <> panel").select("task", "model", "rows", "matched", "panel", "same_panel")
+
+
+def unequal_cells(a: DataFrame, b: DataFrame, key: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Cells that differ between two frames, by key and column; numbers may differ by ``tolerance``."""
+    columns = [c for c in a.columns if c not in key]
+    joined = a.select(*key, F.struct(*columns).alias("_a")).join(b.select(*key, F.struct(*columns).alias("_b")), list(key), "full")
+    def differs(c: str) -> Column:
+        x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+        same = x.eqNullSafe(y)
+        if dict(a.dtypes)[c] in ("double", "float"):
+            same = same | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
+        return F.when(~same, F.lit(c))
+
+    return joined.select(*key, F.explode(F.array_compact(F.array(*map(differs, columns)))).alias("column"))
+
+
+def next_stage(pilot: bool, remainder: bool, gate_passed: bool | None) -> str:
+    """What a run does next: the pilot, the gate, the remainder if the gate passed, or nothing."""
+    if not pilot:
+        return "pilot"
+    if gate_passed is None:
+        return "gate"
+    return "stopped" if not gate_passed else "done" if remainder else "remainder"

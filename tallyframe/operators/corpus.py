@@ -180,3 +180,20 @@ def disagreement_sample(decisions: DataFrame, deltas: DataFrame, first: str, sec
     rows = decisions.filter(F.col("model").isin(first, second)).join(F.broadcast(chosen), "task", "left_semi")
     apart = rows.groupBy("task", "id").agg(of(first).alias("first_right"), of(second).alias("second_right")).filter("first_right <> second_right")
     return top_per_key(apart, ["task"], [digest_order(seed, "task", "id"), F.col("id")], per_task)
+
+
+def active_tasks(tasks: DataFrame, named: Sequence[str] = ()) -> DataFrame:
+    """Tasks whose ``status`` isn't excluded, and those that are named."""
+    return tasks.filter((F.coalesce("status", F.lit("active")) != "excluded") | F.col("task").isin(*named))
+
+
+def after_baseline(rows: DataFrame, by: Sequence[str], order: str, n: int) -> DataFrame:
+    """Items after the first n of each group by ``order`` (a whole number): those that a later version added."""
+    return numbered(rows, order, by=by, name="_at").filter(F.col("_at") >= n).select(*rows.columns)
+
+
+def most_eligible(rows: DataFrame, by: Sequence[str], group: str) -> DataFrame:
+    """Of each key the group with most rows; ties go to the lowest: the key, ``group`` and ``n``."""
+    n = rows.groupBy(*by, group).agg(F.count("*").alias("_n"))
+    best = n.groupBy(*by).agg(F.max("_n").alias("n"))
+    return n.join(best, [*by]).filter("_n = n").groupBy(*by, "n").agg(F.min(group).alias(group)).select(*by, group, "n")

@@ -80,3 +80,21 @@ def latency_summary(rows: DataFrame, by: str, latency: str, error: str) -> DataF
 def comparable_groups(rows: DataFrame, key: list[str], gpu: str) -> DataFrame:
     """Groups with the same texts and settings on one kind of hardware."""
     return rows.groupBy(*key).agg(F.countDistinct(gpu).alias("_g"), F.count("*").alias("models"), F.min(gpu).alias("gpu")).filter("_g = 1 AND models > 1").drop("_g")
+
+
+def ledger_cost_per_1000(rows: DataFrame, run: str, hour: str, usd: str, peak: tuple[int, int], factor: float) -> DataFrame:
+    """Ledger amounts of a run per 1,000 items; from the first peak hour on, up to the last, they count ``factor`` times."""
+    busy = (F.col(hour) >= peak[0]) & (F.col(hour) < peak[1])
+    return rows.groupBy(run).agg((F.sum(F.when(busy, factor).otherwise(1.0) * F.col(usd)) / F.count("*") * 1000).alias("usd_per_1000"))
+
+
+def preflight(requests: DataFrame, max_output: int, usd_in: float, usd_out: float, margin: float = 1.2, by: str = "task") -> DataFrame:
+    """Bounds on what requests (``user_content``) can use and cost, at prices per million tokens."""
+    size = F.sum(F.octet_length("user_content"))
+    out = requests.groupBy(by).agg(F.count("*").alias("requests"), size.alias("prompt_bound"), (F.count("*") * max_output).alias("output_bound"))
+    return out.withColumn("usd_bound", (F.col("prompt_bound") * usd_in + F.col("output_bound") * usd_out) / 1_000_000 * margin)
+
+
+def at_standard_rate(usd: Column, batch: Column, discount: float = 0.5) -> Column:
+    """Costs as if nothing had been sent at the discount of a batch."""
+    return F.when(batch, usd / discount).otherwise(usd)

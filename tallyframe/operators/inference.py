@@ -89,3 +89,17 @@ def newest_per_key(rows: DataFrame, key: Sequence[str], completed: str, source:
     """The newest row of each key; ties go to the last source by name."""
     pick = F.max_by(F.struct(*rows.columns), F.struct(completed, source))
     return rows.groupBy(*(F.col(k).alias(f"_g_{k}") for k in key)).agg(pick.alias("_row")).select("_row.*")
+
+
+def request_rows(rows: DataFrame) -> DataFrame:
+    """Requests with what tells them apart and how long they are: ``custom_id`` of model, task and item, and ``prompt_bytes``."""
+    return rows.withColumns({"custom_id": F.sha2(F.concat_ws("|", "model", "task", "item_id"), 256), "prompt_bytes": F.octet_length("user_content")})
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Adds ``content``, ``tokens`` and ``failure`` from a provider's ``status`` and JSON ``body``."""
+    kind = "struct<choices: array<struct<message: struct<content: string>>>, usage: struct<completion_tokens: long>>"
+    rows = rows.withColumn("_b", F.from_json("body", kind))
+    content = F.get("_b.choices", F.lit(0))["message"]["content"]
+    failure = F.when(F.col("status") != 200, F.concat(F.lit("http "), F.col("status").cast("string"))).when(F.col("_b").isNull(), "no JSON").when(content.isNull(), "no content")
+    return rows.withColumns({"content": content, "tokens": F.col("_b.usage.completion_tokens"), "failure": failure}).drop("_b")

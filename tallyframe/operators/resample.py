@@ -65,20 +65,25 @@ def pattern_weights(items: DataFrame, iterations: int, seed: str = "boot") -> Da
     return slots(sizes, iterations, seed).join(places, ["task", "pos"]).groupBy("task", "b", "pattern").agg(F.count("*").alias("w"))
 
 
-def f1_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
-    """Headline F1 of every replicate: ``task, model, b, f1``. Labels are those with support in the full data."""
+def label_replicates(decisions: DataFrame, labels: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """F1 of each label (``task, label``) in every replicate: ``task, model, b, label, f1``; labels that a replicate lacks have no row."""
     items, known = answer_patterns(decisions)
     weights = pattern_weights(items, iterations, seed)
-    seen = decisions.select("task", F.col("gold").alias("label")).distinct()
-    labels = label_def.select("task", "label").distinct().join(F.broadcast(seen), ["task", "label"], "left_semi")
     right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
     side = lambda label, g, p, tp: F.struct(label.alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), tp.cast("int").alias("tp"))
     rows = known.select("task", "pattern", "model", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
     rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"]).join(weights, ["task", "pattern"])
     sums = rows.groupBy("task", "model", "b", "label").agg(F.sum(F.col("w") * F.col("tp")).alias("tp"), F.sum(F.col("w") * (F.col("g") + F.col("p"))).alias("gp"))
-    per_label = sums.groupBy("task", "model", "b").agg(F.sum(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gp")), F.lit(0.0))).alias("_s"))
+    return sums.select("task", "model", "b", "label", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gp")), F.lit(0.0)).alias("f1"))
+
+
+def f1_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """Headline F1 of every replicate: ``task, model, b, f1``. Labels are those with support in the full data."""
+    seen = decisions.select("task", F.col("gold").alias("label")).distinct()
+    labels = label_def.select("task", "label").distinct().join(F.broadcast(seen), ["task", "label"], "left_semi")
+    per_model = label_replicates(decisions, labels, iterations, seed).groupBy("task", "model", "b").agg(F.sum("f1").alias("_s"))
     n = labels.groupBy("task").agg(F.count("*").alias("_k"))
-    return per_label.join(F.broadcast(n), "task").select("task", "model", "b", (F.col("_s") / F.col("_k")).alias("f1"))
+    return per_model.join(F.broadcast(n), "task").select("task", "model", "b", (F.col("_s") / F.col("_k")).alias("f1"))
 
 
 def interval(value: Column, name: str = "") -> list[Column]:
@@ -167,3 +172,87 @@ def permutation_eta(rows: DataFrame, key: str, group: str, value: str, draws: in
     drawn = shares(permuted(rows, key, value, draws, seed).join(rows.select(key, group), key), ["draw"])
     over = F.count_if(F.round("eta", 9) >= F.round("real", 9))
     return drawn.crossJoin(F.broadcast(real)).agg(F.max("real").alias("eta_squared"), ((1 + over) / (F.count("*") + 1)).alias("p_value"))
+
+
+def symmetric_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """Headline F1 over declared labels and symmetric F1 over all labels in gold, from the same draws: ``task, model, b, f1, symmetric``."""
+    declared = label_def.select("task", "label").distinct().withColumn("_head", F.lit(1))
+    labels = decisions.select("task", F.col("gold").alias("label")).distinct().join(F.broadcast(declared), ["task", "label"], "left").fillna(0, ["_head"])
+    n = labels.groupBy("task").agg(F.count("*").alias("_all"), F.sum("_head").alias("_heads"))
+    each = label_replicates(decisions, labels.select("task", "label"), iterations, seed).join(F.broadcast(labels), ["task", "label"])
+    sums = each.groupBy("task", "model", "b").agg(F.sum("f1").alias("_s"), F.sum(F.col("f1") * F.col("_head")).alias("_h"))
+    return sums.join(F.broadcast(n), "task").select("task", "model", "b", F.try_divide("_h", "_heads").alias("f1"), (F.col("_s") / F.col("_all")).alias("symmetric"))
+
+
+def cluster_interval(rows: DataFrame, cluster: str, value: str, iterations: int, by: list[str], seed: str = "mean") -> DataFrame:
+    """Interval of a mean when whole clusters are drawn with all their rows; a cluster's sums stand for its rows."""
+    sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    places, weights = _units(rows, cluster, iterations, seed)
+    w = F.col("w")
+    reps = sums.join(places, cluster).join(weights, "pos").groupBy(*by, "b").agg(F.try_divide(F.sum(w * F.col("_s")), F.sum(w * F.col("_n"))).alias("_m"))
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(reps.groupBy(*by).agg(*interval(F.col("_m"))), by)
+
+
+def _drawn_within(rows: DataFrame, unit: str, group: str, iterations: int, seed: str) -> DataFrame:
+    """Rows with their weight in each replicate of their own group. ``unit`` is a whole number and unique in a group."""
+    places = numbered(rows, unit, by=[group], name="pos")
+    sizes = rows.groupBy(F.col(group).alias("task")).agg(F.count("*").alias("n"))
+    weights = item_weights(sizes, iterations, seed).withColumnRenamed("task", "_t")
+    return places.join(weights, (places[group] == F.col("_t")) & (places["pos"] == weights["pos"])).drop("_t", "pos")
+
+
+def mean_interval_within(rows: DataFrame, unit: str, value: str, group: str, iterations: int, seed: str = "mean") -> DataFrame:
+    """Mean, interval and size of each group, whose own units are drawn."""
+    reps = _drawn_within(rows, unit, group, iterations, seed).groupBy(group, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m"))
+    out = reps.groupBy(group).agg(*interval(F.col("_m")))
+    return rows.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(out, group)
+
+
+def pooled_slope(rows: DataFrame, unit: str, x: str, y: str, group: str, iterations: int, seed: str = "mean") -> DataFrame:
+    """Standardised slope, averaged over groups that count alike, with the interval of its draws."""
+
+    def slope(w: Column) -> Column:
+        a, b, n = F.col(x).cast("double"), F.col(y).cast("double"), F.sum(w)
+        va, vb = n * F.sum(w * a * a) - F.sum(w * a) ** 2, n * F.sum(w * b * b) - F.sum(w * b) ** 2
+        return F.when((va > 1e-9) & (vb > 1e-9), F.try_divide(n * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b), F.sqrt(va) * F.sqrt(vb)))
+
+    drawn = _drawn_within(rows, unit, group, iterations, seed)
+    reps = drawn.groupBy(group, "b").agg(slope(F.col("w").cast("double")).alias("_s")).groupBy("b").agg(F.avg("_s").alias("_s"))
+    real = rows.groupBy(group).agg(slope(F.lit(1.0)).alias("_s")).agg(F.avg("_s").alias("slope"), F.count("*").alias("groups"))
+    return real.crossJoin(F.broadcast(reps.agg(*interval(F.col("_s")))))
+
+
+def fixed_effect_interval(rows: DataFrame, cluster: str, x: str, y: str, iterations: int, seed: str = "mean") -> DataFrame:
+    """Slope with one effect for each cluster, and its interval when clusters are drawn; a cluster drawn twice is two clusters.
+
+    The slope is a ratio of sums of each cluster's centred moments, so a weight stands for copies with effects of their own.
+    """
+    a, b, n = F.col(x).cast("double"), F.col(y).cast("double"), F.count("*")
+    moments = rows.groupBy(cluster).agg((F.sum(a * b) - F.sum(a) * F.sum(b) / n).alias("_xy"), (F.sum(a * a) - F.sum(a) ** 2 / n).alias("_xx"))
+    places, weights = _units(rows, cluster, iterations, seed)
+    ratio = lambda w: F.try_divide(F.sum(w * F.col("_xy")), F.sum(w * F.col("_xx")))
+    reps = moments.join(places, cluster).join(weights, "pos").groupBy("b").agg(ratio(F.col("w")).alias("_s"))
+    return moments.agg(ratio(F.lit(1.0)).alias("slope"), F.count("*").alias("clusters")).crossJoin(F.broadcast(reps.agg(*interval(F.col("_s")))))
+
+
+def task_sensitivity(tasks: DataFrame, reps: DataFrame, model: str, reference: str, iterations: int) -> DataFrame:
+    """How a mean difference of two models holds: one row with the interval over items, the share of draws above 0,
+    the interval over tasks, and the range when each task is left out. ``tasks`` has task, model, f1; ``reps`` also b."""
+    def gap(df: DataFrame, keys: list[str]) -> DataFrame:
+        of = lambda m: F.max(F.when(F.col("model") == m, F.col("f1")))
+        return df.filter(F.col("model").isin(model, reference)).groupBy(*keys).agg((of(model) - of(reference)).alias("d"))
+
+    real = gap(tasks, ["task"])
+    total = real.agg(F.sum("d").alias("_s"), F.count("*").alias("_n"))
+    without = real.crossJoin(F.broadcast(total)).select(((F.col("_s") - F.col("d")) / (F.col("_n") - 1)).alias("_d"))
+    items = gap(reps, ["task", "b"]).groupBy("b").agg(F.avg("d").alias("_m"))
+    items = items.agg(*interval(F.col("_m"), "item_"), F.avg((F.col("_m") > 0).cast("double")).alias("share_positive"))
+    over = mean_interval(real.withColumn("_one", F.lit(1)), "task", "d", iterations, ["_one"]).select(F.col("mean").alias("difference"), F.col("low").alias("task_low"), F.col("high").alias("task_high"))
+    return over.crossJoin(F.broadcast(items)).crossJoin(F.broadcast(without.agg(F.min("_d").alias("without_low"), F.max("_d").alias("without_high"))))
+
+
+def group_change(group: str, groups: tuple[str, str], condition: str, conditions: tuple[str, str], value: str) -> Column:
+    """Mean of the first condition less that of the second, in the first group less in the second, as an aggregate."""
+    cell = lambda g, c: F.avg(F.when((F.col(group) == g) & (F.col(condition) == c), F.col(value)))
+    first, second = (cell(g, conditions[0]) - cell(g, conditions[1]) for g in groups)
+    return first - second

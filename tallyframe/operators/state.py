@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,3 +46,28 @@ def merge_into(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     as_text = lambda df: df.withColumns({k: F.col(k).cast("string") for k in key})
     old, new = as_text(old), as_text(new)
     return old.join(new.select(*key).distinct(), list(key), "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
+
+
+def run_summary(rows: DataFrame, by: Sequence[str], neutral: Sequence[str] = ()) -> DataFrame:
+    """Items, distinct gold labels, share of malformed answers, tokens, and the share of neutral labels among answers."""
+    plain = F.when(F.col("pred").isNotNull(), F.lower("pred").isin(*neutral).cast("double"))
+    return rows.groupBy(*by).agg(F.count("*").alias("items"), F.countDistinct("gold").alias("labels"), F.avg(F.col("parse_error").isNotNull().cast("double")).alias("malformed"), F.sum("tokens").alias("tokens"), F.avg(plain).alias("neutral"))
+
+
+def stages(rows: DataFrame, by: Sequence[str], pilot: str, done: str, limit: float) -> DataFrame:
+    """What each cell does next: its pilot, nothing because the gate stopped it, nothing because it is done, or its remainder."""
+    is_pilot = F.col(pilot)
+    bad = F.avg(F.when(is_pilot, F.col("parse_error").isNotNull().cast("double")))
+    stage = F.when(F.count_if(is_pilot) == 0, "pilot").when(bad > limit, "stopped").when(F.count_if(F.col(done)) > 0, "done").otherwise("remainder")
+    return rows.groupBy(*by).agg(stage.alias("stage"))
+
+
+def fingerprint(settings: Mapping[str, Column]) -> Column:
+    """A digest of named settings, whatever their order."""
+    return F.sha2(F.concat_ws("|", *(F.concat(F.lit(f"{k}="), settings[k].cast("string")) for k in sorted(settings))), 256)
+
+
+def pool_and_test(rows: DataFrame, test_keys: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows split into those that may train and those of the test, by key."""
+    keys = test_keys.select(*key).distinct()
+    return rows.join(keys, list(key), "left_anti"), rows.join(keys, list(key), "left_semi")

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",", encoding: str = "UTF-8", quote: str | None = '"') -> DataFrame:
-    """CSV or TSV, also gzipped, with line breaks in quoted fields. ``quote=None`` takes quotes as text."""
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", False)
+def csv(spark: SparkSession, path: str, schema: str | T.StructType | None, sep: str = ",", encoding: str = "UTF-8", quote: str | None = '"') -> DataFrame:
+    """CSV or TSV, also gzipped, with line breaks in quoted fields. ``quote=None`` takes quotes as text.
+
+    Without a schema, types are inferred from all values.
+    """
+    reader = (spark.read.schema(schema).option("enforceSchema", False) if schema else spark.read.option("inferSchema", True)).option("header", True).option("sep", sep).option("encoding", encoding)
     reader = reader.option("quote", quote or "").option("escape", quote or "\\")
-    return reader.option("multiLine", quote is not None and encoding == "UTF-8").csv(path)
+    return reader.option("multiLine", quote is not None).csv(path)
 
 
 def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

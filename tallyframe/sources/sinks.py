@@ -12,11 +12,13 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def write_csv(df: DataFrame, path: str, digits: int | None = None, overwrite: bool = False) -> None:
-    """Null as empty; with ``digits``, doubles with so many places."""
+def write_csv(df: DataFrame, path: str, digits: int | None = None, overwrite: bool = False, sep: str = ",", encoding: str = "UTF-8", quote: str | None = '"') -> None:
+    """Null as empty; with ``digits``, doubles with so many places. ``quote=None`` writes quotes as text."""
     if digits is not None:
         df = df.withColumns({c: F.format_string(f"%.{digits}f", F.col(c)) for c, kind in df.dtypes if kind == "double"})
-    df.write.mode(_mode(overwrite)).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    writer = df.write.mode(_mode(overwrite)).option("header", True).option("nullValue", "").option("emptyValue", "").option("sep", sep).option("encoding", encoding)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.option("quote", quote or "").option("escape", quote or "\\").csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), overwrite: bool = False) -> None:
@@ -73,12 +75,14 @@ def markdown(df: DataFrame, most: int = 100) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
-def merged_shards(shards: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
-    """Shards as one table; a key in two of them is an error."""
-    from ..operators.contracts import repeated_keys, require
+def merged_shards(shards: Sequence[DataFrame], key: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
+    """Shards as one table; a key in two of them is an error, and so is one that ``expected`` lacks or has alone."""
+    from ..operators.contracts import repeated_keys, require, uncovered
 
     out = shards[0]
     for s in shards[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     require(repeated_keys(out, key), "shards overlap")
+    if expected is not None:
+        require(uncovered(out, expected, key), "shards don't cover what is expected")
     return out
