@@ -48,10 +48,11 @@ def item_weights(sizes: DataFrame, iterations: int, seed: str = "boot") -> DataF
 def answer_patterns(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items by what was asked and answered: ``task, id, pattern``, and each pattern's ``task, pattern, model, gold, pred``.
 
-    A pattern is the list of an item's decisions, at most one for each model and label field.
+    A pattern is the list of an item's decisions, at most one for each model and label field, and known by a 64-bit hash:
+    two of a million patterns share one with a probability below 1e-7.
     """
     rows = F.array_sort(F.collect_list(F.struct("model", "gold", "pred")))
-    items = decisions.groupBy("task", "id").agg(rows.alias("_rows")).withColumn("pattern", F.md5(F.to_json("_rows", {"ignoreNullFields": "false"})))
+    items = decisions.groupBy("task", "id").agg(rows.alias("_rows")).withColumn("pattern", F.xxhash64(F.to_json("_rows", {"ignoreNullFields": "false"})))
     known = items.groupBy("task", "pattern").agg(F.first("_rows").alias("_rows"))
     return items.select("task", "id", "pattern"), known.select("task", "pattern", F.inline("_rows"))
 
@@ -69,10 +70,11 @@ def label_replicates(decisions: DataFrame, labels: DataFrame, iterations: int, s
     """F1 of each label (``task, label``) in every replicate: ``task, model, b, label, f1``; labels that a replicate lacks have no row."""
     items, known = answer_patterns(decisions)
     weights = pattern_weights(items, iterations, seed)
+    cells = known.join(weights, ["task", "pattern"]).groupBy("task", "model", "b", "gold", "pred").agg(F.sum("w").alias("w"))
     right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
     side = lambda label, g, p, tp: F.struct(label.alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), tp.cast("int").alias("tp"))
-    rows = known.select("task", "pattern", "model", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
-    rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"]).join(weights, ["task", "pattern"])
+    rows = cells.select("task", "model", "b", "w", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
+    rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"])
     sums = rows.groupBy("task", "model", "b", "label").agg(F.sum(F.col("w") * F.col("tp")).alias("tp"), F.sum(F.col("w") * (F.col("g") + F.col("p"))).alias("gp"))
     return sums.select("task", "model", "b", "label", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gp")), F.lit(0.0)).alias("f1"))
 
