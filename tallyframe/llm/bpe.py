@@ -258,14 +258,16 @@ class SegmentTreeBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, SegmentTreeBPE] = {}
+#: Words and chunks that an encoder remembers between calls.
+CACHE = 700_000
+_encoders: dict[tuple[str, int], SegmentTreeBPE] = {}
 
 
-def encoder(path: str) -> SegmentTreeBPE:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = SegmentTreeBPE(path)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE) -> SegmentTreeBPE:
+    """One encoder for each file, size of cache and Python worker."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = SegmentTreeBPE(path, cache)
+    return _encoders[path, cache]
 
 
 def slices(texts: list[str | None], most: int = 1_000_000) -> Iterable[tuple[int, int]]:

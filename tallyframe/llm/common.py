@@ -76,5 +76,12 @@ def scratch() -> Iterator[None]:
         discard(*block)
 
 
+def with_text(docs: DataFrame, names: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The named columns and the text, which goes once if it is among them, and the text's place."""
+    if text_col in names and dict(docs.dtypes)[text_col] == "string":
+        return docs.select(*names), names.index(text_col)
+    return docs.select(*names, F.col(text_col).cast("string").alias("_text")), len(names)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

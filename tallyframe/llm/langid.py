@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import with_text
+
 #: Buckets of the trigram table.
 BUCKETS = 1 << 14
 #: At most about so many training texts of each language, chosen by a hash of the text.
@@ -154,13 +156,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     are dropped. ``keep`` may name the text too; a kept column must not be named as one of the results.
     """
     names = [id_col, *keep]
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double, languages array<struct<lang string, share double>>").fields])
+    rows, at = with_text(docs, names, text_col)
+    schema = StructType([*rows.schema.fields[: len(names)], *StructType.fromDDL("lang_pred string, score double, languages array<struct<lang string, share double>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(t.as_py(), model) for t in batch.column(len(names))]
+            found = [infer(t.as_py(), model) for t in batch.column(at)]
             mixed = pa.array([[{"lang": a, "share": s} for a, s in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), mixed], [*names, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), mixed], [*names, "lang_pred", "score", "languages"])
 
     return rows.mapInArrow(run, schema)

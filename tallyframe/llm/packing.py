@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import CACHE
 from .common import discard, written
 from .tokens import token_pieces
 
@@ -128,10 +129,10 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTI
     return out.select(*columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION, cache: int = CACHE) -> DataFrame:
     """Encode whole documents, end each with ``end_id``, and pack them into sequences of ``capacity``.
 
     Only documents longer than a sequence are cut. Null texts count as empty; other columns are dropped.
     """
-    pieces = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    pieces = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, cache), "pieces")
     return pack_pieces(pieces, capacity, per_partition)

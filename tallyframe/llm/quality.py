@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import with_text
+
 #: At most about so many training rows of each kind reach the driver, chosen by a hash of the id.
 TRAINING_ROWS = 8_000
 FEATURES = 24
@@ -181,13 +183,13 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     kept column must not be named as one of the results.
     """
     names = [id_col, *keep]
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double, predicted int").fields])
+    rows, at = with_text(docs, names, text_col)
+    schema = StructType([*rows.schema.fields[: len(names)], *StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = model.score(np.array([features(t.as_py()) for t in batch.column(len(names))]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+                found = model.score(np.array([features(t.as_py()) for t in batch.column(at)]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices
+from .bpe import CACHE, encoder, slices
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,17 +58,19 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, whole
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Cut each document's ids and ``end_id`` into pieces of at most ``capacity`` tokens.
 
     Returns ``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32``. Where the ids don't fill all
-    pieces, the first one is shorter. A null or empty text gives one piece, the end id.
+    pieces, the first one is shorter. A null or empty text gives one piece, the end id. Rows are independent:
+    null ids and repeated rows need no special case, an empty table gives no pieces, and other columns are
+    dropped. ``cache`` bounds what each worker remembers; it changes speed and memory, never results.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(vocabulary, cache)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
