@@ -55,3 +55,9 @@ def test_release_pairs_take_2000_replicates(spark):
     for r in found.itertuples():
         d = np.mean([f1[r.model][t] - f1[r.reference][t] for t in f1[r.model]], axis=0)
         assert np.allclose([r.item_ci_low, r.item_ci_high], np.quantile(d, [0.025, 0.975]), atol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["date_arithmetic", "batched_answers"])
+def test_no_window_over_a_whole_table(spark, name):
+    windows = [line for line in plan(spark, name).splitlines() if "Window [" in line]
+    assert all("_range" in line for line in windows)
