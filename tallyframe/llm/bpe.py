@@ -268,15 +268,3 @@ def encoder(path: str, cache: int = CACHE) -> SegmentTreeBPE:
     if (path, cache) not in _encoders:
         _encoders[path, cache] = SegmentTreeBPE(path, cache)
     return _encoders[path, cache]
-
-
-def slices(texts: list[str | None], most: int = 1_000_000) -> Iterable[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters, so that a batch's pieces need little memory at once."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

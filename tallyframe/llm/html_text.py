@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_turn
 from .html_pages import MARK, labelled_page
 
 #: Generated pages that train the model.
@@ -255,7 +256,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             texts = [main_text(t.as_py(), model) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "text"])
 

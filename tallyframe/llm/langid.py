@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .batches import in_turn
 from .common import with_text
 
 #: Buckets of the trigram table.
@@ -63,10 +64,10 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in in_turn(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                got += np.bincount(trigrams(text), minlength=BUCKETS)
+                got += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
         for lang, got in totals.items():
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(got[at])], ["lang", "bucket", "n"])
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     schema = StructType([*rows.schema.fields[: len(names)], *StructType.fromDDL("lang_pred string, score double, languages array<struct<lang string, share double>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             found = [infer(t.as_py(), model) for t in batch.column(at)]
             mixed = pa.array([[{"lang": a, "share": s} for a, s in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), mixed], [*names, "lang_pred", "score", "languages"])

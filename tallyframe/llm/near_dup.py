@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_turn, slices
 from .common import written
 from .components import components
 from .shingles import SetSketch, shingle_set
-from .tokens import slices
 
 #: Registers of a band, and bands: a pair at similarity 0.8 shares no band once in 10 million pairs.
 BAND, BANDS = 6, 54
@@ -44,14 +44,13 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = SetSketch(BAND * BANDS)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = [shingle_set(t, words) for t in texts[a:b]]
+        for batch in in_turn(batches):
+            for a, texts in slices(batch.column(1)):
+                sets = [shingle_set(t, words) for t in texts]
                 levels = sketch.registers(sets)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(ids[a:b], pa.int64()),
+                        "doc_id": batch.column(0).slice(a, len(texts)),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "digest": pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                         "registers": pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, levels, strict=True)], pa.binary()),
@@ -77,7 +76,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = SetSketch(BAND * BANDS)
-        for batch in batches:
+        for batch in in_turn(batches):
             if batch.num_rows:
                 x, y = _levels(batch.column(4)), _levels(batch.column(5))
                 sizes = [batch.column(c).to_numpy().astype(np.float64) for c in (2, 3)]
@@ -118,13 +117,13 @@ def _verified(wanted: DataFrame, docs: DataFrame, words: int, least: int) -> Dat
             columns = list(zip(*out, strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-        for batch in batches:
-            for task, doc, partners, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in in_turn(batches):
+            for task, doc, partners, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 if task != now:
                     if asked:
                         yield links()
                     now, held, asked = task, {}, []
-                found = shingle_set(text, words)
+                found = shingle_set(text.as_py(), words)
                 if not len(found):  # a row without shingles has no sketch either
                     continue
                 if doc not in held or _digest(found) < _digest(held[doc]):  # of a repeated id, the same text as its sketch
@@ -160,7 +159,7 @@ def _rest_of_buckets(members: DataFrame, reps: DataFrame, least: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = SetSketch(BAND * BANDS)
-        for batch in batches:
+        for batch in in_turn(batches):
             for row in range(batch.num_rows):
                 task, band, same = (batch.column(c)[row].as_py() for c in range(3))
                 (ids, comps, ns, regs, leads), (ids2, comps2, ns2, regs2, leads2) = (batch.column(c)[row].values.flatten() for c in (3, 4))

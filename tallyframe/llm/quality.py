@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .batches import in_turn
 from .common import with_text
 
 #: At most about so many training rows of each kind reach the driver, chosen by a hash of the id.
@@ -149,7 +150,7 @@ def _featured(rows: DataFrame, schema: str, keep: int) -> DataFrame:
     """``rows`` with its last column, the text, replaced by the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             x = [features(t.as_py()) for t in batch.column(keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names[:keep], "x"])
 
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     schema = StructType([*rows.schema.fields[: len(names)], *StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             if batch.num_rows:
                 found = model.score(np.array([features(t.as_py()) for t in batch.column(at)]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, encoder, slices
+from .batches import in_turn, slices
+from .bpe import CACHE, encoder
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,13 +35,12 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                packed = bpe.encode(texts[a:b])
+        for batch in in_turn(batches):
+            for a, texts in slices(batch.column(1)):
+                ids, packed = batch.column(0).slice(a, len(texts)), bpe.encode(texts)
                 back = [bpe.decode(p) for p in packed]
                 out = {
-                    "doc_id": pa.array(ids[a:b], pa.int64()),
+                    "doc_id": ids,
                     "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
                     "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
                     "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
@@ -71,11 +71,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary, cache)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+        for batch in in_turn(batches):
+            for a, texts in slices(batch.column(1)):
                 out: list[tuple] = []
-                for doc, packed in zip(ids[a:b], bpe.encode(texts[a:b]), strict=True):
+                for doc, packed in zip(batch.column(0).slice(a, len(texts)).to_pylist(), bpe.encode(texts), strict=True):
                     packed += end
                     n = len(packed) // 4
                     start = 0
