@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
-from .common import held_out, table
+from .common import held_out, lower_ascii, table
 from .exact_dedup import exact_dedup
 from .html_text import extract
 from .line_dedup import line_dedup
+from .merkle import fold, leaf_digest, manifest
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .tokens import token_digests
@@ -109,6 +110,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    leaf = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    rows = rows.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(held_out(), leaf(lower_ascii(F.col("text")))).alias("altered"))
+    found = manifest(rows, keep=("altered",)).withColumn("folded_root", fold(F.coalesce("altered", "leaf"), F.col("proof")))
+    siblings = F.array_join(F.transform("proof", lambda level: F.concat(level["left"], level["right"])), "")
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", verified)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dup,
         op9_packing,
         op10_quality,
+        op11_merkle,
     )
 }
 
@@ -137,6 +149,25 @@ _CANONICAL = r"""
         lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)'))), '&'), ''), '')
 """
 
+#: Whether 5 divides the CRC-32 of ``doc_id``'s decimal text.
+_FIFTH = """
+    xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+        lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8))) % 5 = 0
+"""
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: Siblings on the left and right of each node below a root.
+_SIBLINGS = """
+    SELECT key, level, i, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM (SELECT *, count(*) OVER (PARTITION BY key, level) AS n FROM {0}) WHERE n > 1
+    WINDOW run AS (PARTITION BY key, level, i // 16 ORDER BY i)
+"""
+_PARENTS = """
+    SELECT key, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {0}) WHERE n > 1
+    GROUP BY key, level, i // 16
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_revisits": f"""
         WITH u AS (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 'http://hot.example.com/' ELSE url END AS url FROM pages),
@@ -179,4 +210,22 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE c AS (SELECT list(list_reduce([c] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY c) AS crc FROM range(256) t(c)),
+        d AS (SELECT doc_id, coalesce('=' || source, '-') AS key, {_LEAF.format("text")} AS leaf, CASE WHEN {_FIFTH} THEN {_LEAF.format(_LOWER.format("text"))} END AS altered FROM documents CROSS JOIN c),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+        nodes AS (SELECT key, 0 AS level, i, leaf AS h FROM leaves UNION ALL {_PARENTS.format("nodes")}),
+        subroots AS (SELECT key, max_by(h, level) AS subroot, row_number() OVER (ORDER BY key) - 1 AS place FROM nodes GROUP BY key),
+        upper_nodes AS (SELECT '' AS key, 0 AS level, place AS i, subroot AS h FROM subroots UNION ALL {_PARENTS.format("upper_nodes")}),
+        top AS (SELECT max_by(h, level) AS root FROM upper_nodes),
+        s AS MATERIALIZED ({_SIBLINGS.format("nodes")}), u AS MATERIALIZED ({_SIBLINGS.format("upper_nodes")}),
+        up AS (SELECT key, i AS leaf_at, 0 AS level, i, coalesce(altered, leaf) AS h, '' AS p FROM leaves
+            UNION ALL SELECT up.key, leaf_at, up.level + 1, up.i // 16, sha256(l || h || r), p || l || r FROM up JOIN s ON s.key = up.key AND s.level = up.level AND s.i = up.i),
+        there AS (SELECT key, leaf_at, max_by(h, level) AS h, max_by(p, level) AS p FROM up GROUP BY key, leaf_at),
+        further AS (SELECT t.key, leaf_at, 0 AS level, place AS i, h, p FROM there t JOIN subroots USING (key)
+            UNION ALL SELECT f.key, leaf_at, f.level + 1, f.i // 16, sha256(l || h || r), p || l || r FROM further f JOIN u ON u.level = f.level AND u.i = f.i),
+        folded AS (SELECT key, leaf_at, max_by(h, level) AS folded_root, sha256(max_by(p, level)) AS proof_sha256 FROM further GROUP BY key, leaf_at)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves l JOIN folded f ON f.key = l.key AND f.leaf_at = l.i JOIN subroots s ON s.key = l.key CROSS JOIN top
+    """,
 }
