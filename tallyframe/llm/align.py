@@ -66,6 +66,7 @@ class Aligner:
         self.a_size, self.b_size = len(self.a_bytes), len(self.b_bytes)
         self.a_lengths = np.fromiter(map(len, self.a_bytes), np.int64, self.a_size)
         self.b_lengths = np.fromiter(map(len, self.b_bytes), np.int64, self.b_size)
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.b_size)])
         self.sizes = _Sizes()
         self.written_ids = [f"{i}{mark}" for i in range(max(self.a_size, self.b_size)) for mark in ",|;"]
 

@@ -12,6 +12,7 @@ from . import langid, quality
 from .align import alignment
 from .common import held_out, lower_ascii, table
 from .exact_dedup import exact_dedup
+from .fertility import quality_rules
 from .html_text import extract
 from .line_dedup import line_dedup
 from .merkle import fold, leaf_digest, manifest
@@ -122,6 +123,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", verified)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
 
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_quality,
         op11_merkle,
+        op12_quality_rules,
         op13_alignment,
     )
 }
