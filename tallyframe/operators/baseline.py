@@ -1,49 +1,12 @@
-"""Supervised baselines: text features with a linear model, and nearest centroids of embeddings."""
+"""Nearest centroids of embeddings; ``learning`` has the text baselines."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight``: every class counts the same."""
-    n = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    total = n.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k"))
-    weight = n.crossJoin(F.broadcast(total)).select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return rows.join(F.broadcast(weight), label)
-
-
-def text_pipeline(text: str = "text", label: str = "gold", features: int = 1 << 14, c: float = 1.0) -> Pipeline:
-    """Words and word pairs, inverse document frequencies, class-balanced logistic regression."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"),
-            RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"\W+"),
-            NGram(n=2, inputCol="_one", outputCol="_two"),
-            SQLTransformer(statement="SELECT *, concat(_one, _two) AS _terms FROM __THIS__"),
-            HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features),
-            IDF(inputCol="_tf", outputCol="_x", minDocFreq=2),
-            LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", regParam=1.0 / c / 1000, maxIter=30),
-        ]
-    )
-
-
-def fit_text(rows: DataFrame, text: str = "text", label: str = "gold", **options: float) -> PipelineModel:
-    return text_pipeline(text, label, **options).fit(class_weights(rows, label))
-
-
-def predict_text(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
-    labels = model.stages[0].labels
-    out = model.transform(rows.withColumn("weight", F.lit(1.0)))
-    names = F.array(*map(F.lit, labels))
-    return out.select(key, F.get(names, F.col("prediction").cast("int")).alias("pred"))
-
-
 def nearest_centroid(train: DataFrame, test: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     """The label whose mean vector has the largest cosine with the row's; ties go to the smallest label.
 
@@ -55,9 +18,3 @@ def nearest_centroid(train: DataFrame, test: DataFrame, vector: str, label: str,
     centroid = mean.select(label, "i", (F.col("m") / norm).alias("m"))
     dots = test.select(key, F.posexplode(vector).alias("i", "v")).join(F.broadcast(centroid), "i").groupBy(key, label).agg(F.sum(F.col("v") * F.col("m")).alias("dot"))
     return dots.groupBy(key).agg(F.min_by(label, F.struct(-F.round("dot", 9), F.col(label))).alias("pred"))
-
-
-def crossover(curve: DataFrame, size: str, score: str, reference: str, by: str) -> DataFrame:
-    """The smallest training size whose mean score reaches the reference."""
-    means = curve.groupBy(by, size).agg(F.avg(score).alias("_m"), F.max(reference).alias("_r"))
-    return means.groupBy(by).agg(F.min(F.when(F.col("_m") >= F.col("_r"), F.col(size))).alias("crossover"))

@@ -274,16 +274,6 @@ def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.nearest_centroid(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), "embedding", "label", "vec_id")
 
 
-def text_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and word pairs with a linear model, trained on four fifths of the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("gold"))
-    model = u.fit_text(docs.filter("doc_id % 5 <> 0"))
-    return u.predict_text(model, docs.filter("doc_id % 5 = 0"), "doc_id")
-
-
-query()(text_baseline)
-
-
 @query("SELECT item, label FROM (VALUES ('2x A100', '2'), ('H100', '1'), ('8 x B200 ', '8')) v(item, label)")
 def hardware_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("2x A100",), ("H100",), ("8 x B200 ",)], "item string")
