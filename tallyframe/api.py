@@ -10,6 +10,7 @@ from .operators import metrics as m
 from .operators import ranking as k
 from .operators import resample as b
 from .operators.reshape import coverage as _coverage
+from .sources.shared import written
 
 CELL = ["task", "kind", "model"]
 
@@ -49,21 +50,34 @@ def batch_agreement(decisions: DataFrame) -> DataFrame:
 
 
 def release(decisions: DataFrame, label_def: DataFrame, categories: DataFrame, iterations: int = 200) -> dict[str, DataFrame]:
-    """Five tables: models, tasks, classes, categories and pairs. Malformed answers are wrong."""
-    scored = m.with_policy(decisions.filter("kind <> 'score'"), "wrong")
+    """Five tables: models, tasks, classes, categories and pairs. Malformed answers are wrong.
+
+    Means and differences have two intervals: over items drawn within tasks (``item_ci_``), and over tasks drawn for all
+    models alike (``task_ci_``), in a category over its own tasks. Replicates of items are written once for all tables.
+    """
+    decisions = decisions.filter("kind <> 'score'")
+    scored = m.with_policy(decisions, "wrong")
     tasks = m.headline_f1(scored, label_def).withColumnRenamed("headline_f1", "f1")
-    reps = b.f1_replicates(scored, label_def, iterations)
+    reps = written(b.f1_replicates(scored, label_def, iterations), "replicates")
     cat = F.broadcast(categories.select("task", "category"))
-    task_table = tasks.join(reps.groupBy("task", "model").agg(*b.interval(F.col("f1"), "item_ci_")), ["task", "model"])
+    over_tasks = lambda rows, value, by, within=None: b.mean_interval(rows, "task", value, iterations, by, within=within).select(*by, F.col("low").alias("task_ci_low"), F.col("high").alias("task_ci_high"))
+    bad = m.malformed(F.col("parse_error")) | F.col("pred").isNull()
+    items = decisions.groupBy("task", "model", "item_id").agg(F.max(bad.cast("int")).alias("_bad"))
+    rates = [F.count("*").alias("n"), F.sum("_bad").alias("malformed"), F.avg("_bad").alias("malformed_rate")]
+    shares = m.decision_accuracy(scored).join(m.mcc(scored, undefined=None).select("task", "model", "mcc"), ["task", "model"], "left")
+    task_table = tasks.join(shares, ["task", "model"]).join(items.groupBy("task", "model").agg(*rates), ["task", "model"])
+    task_table = task_table.join(cat, "task", "left").join(reps.groupBy("task", "model").agg(*b.interval(F.col("f1"), "item_ci_")), ["task", "model"])
     over_items = reps.groupBy("model", "b").agg(F.avg("f1").alias("mean")).groupBy("model").agg(*b.interval(F.col("mean"), "item_ci_"))
-    over_tasks = b.mean_interval(tasks, "task", "f1", iterations, ["model"]).select("model", F.col("low").alias("task_ci_low"), F.col("high").alias("task_ci_high"))
-    models = k.model_means(tasks).join(over_items, "model").join(over_tasks, "model")
-    by_category = tasks.join(cat, "task").groupBy("model", "category").agg(F.avg("f1").alias("mean_task_f1"), F.count("*").alias("tasks"))
+    models = k.model_means(tasks).join(items.groupBy("model").agg(*rates), "model").join(over_items, "model").join(over_tasks(tasks, "f1", ["model"]), "model")
+    in_category = tasks.join(cat, "task")
+    by_category = in_category.groupBy("model", "category").agg(F.avg("f1").alias("mean_task_f1"), F.count("*").alias("tasks"))
     cat_reps = reps.join(cat, "task").groupBy("model", "category", "b").agg(F.avg("f1").alias("mean")).groupBy("model", "category").agg(*b.interval(F.col("mean"), "item_ci_"))
-    other = reps.select("task", "b", F.col("model").alias("reference"), F.col("f1").alias("_f"))
-    d = reps.join(other, ["task", "b"]).filter("model <> reference").groupBy("model", "reference", "b").agg(F.avg(F.col("f1") - F.col("_f")).alias("d"))
-    pairs = k.ordered_pairs(tasks).join(d.groupBy("model", "reference").agg(*b.interval(F.col("d"), "item_ci_")), ["model", "reference"])
-    return {"models": models, "tasks": task_table, "classes": m.class_mcc(scored, label_def), "categories": by_category.join(cat_reps, ["model", "category"]), "pairs": pairs}
+    by_category = by_category.join(cat_reps, ["model", "category"]).join(over_tasks(in_category, "f1", ["model", "category"], "category"), ["model", "category"])
+    pair = ["model", "reference"]
+    d = b.paired_replicates(reps).groupBy(*pair).agg(*b.interval(F.col("d"), "item_ci_"))
+    gaps = b.paired_replicates(tasks.select("task", F.lit(0).alias("b"), "model", "f1"), by_task=True)
+    pairs = k.ordered_pairs(tasks).join(d, pair).join(over_tasks(gaps, "d", pair), pair)
+    return {"models": models, "tasks": task_table, "classes": m.class_mcc(scored, label_def), "categories": by_category, "pairs": pairs}
 
 
 def compare(decisions: DataFrame, label_def: DataFrame, baseline: str, iterations: int = 200) -> DataFrame:

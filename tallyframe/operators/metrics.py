@@ -96,6 +96,12 @@ def accuracy(decisions: DataFrame) -> DataFrame:
     return decisions.filter("kind IN ('binary', 'categorical')").groupBy(*CELL).agg(F.avg(F.when(both, (F.col("gold") == F.col("pred")).cast("double"))).alias("accuracy"))
 
 
+def decision_accuracy(decisions: DataFrame) -> DataFrame:
+    """Share of right answers among all label decisions, an item of several binary fields giving one for each."""
+    right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).cast("double")
+    return decisions.filter("kind <> 'score' AND gold IS NOT NULL").groupBy("task", "model").agg(F.avg(right).alias("accuracy"))
+
+
 def mcc(decisions: DataFrame, undefined: float | None = 0.0) -> DataFrame:
     """Matthews correlation of any number of classes, from label counts."""
     rows = decisions.filter("gold IS NOT NULL AND pred IS NOT NULL")

@@ -1,4 +1,8 @@
-"""Dense numbers in a global order without a global sort in one task."""
+"""Dense numbers in a global order without a global sort in one task.
+
+``placed`` takes keys of any kind. ``numbered`` and ``running_sum`` need no written table, but their ranges are of equal
+width, so they suit whole numbers that lie close together: few rows to a range mean many ranges.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Values of the order column that share a window.
 WIDTH = 65_536
 
@@ -34,3 +40,22 @@ def running_sum(rows: DataFrame, order: str, value: str, name: str, width: int =
     earlier = W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
     return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def placed(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """Adds the 0-based place of each row in its group ``by``, ordered by ``order``, columns of any sortable kind.
+
+    Rows are dealt out by sampled bounds of group and order, so that a large group spreads over many tasks, and are
+    numbered inside their task. What is added up to offsets is one count for each group and task. Rows that tie are placed
+    in any order, which is kept: the sorted rows are written once. Null groups and null keys come first.
+    """
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    row = F.monotonically_increasing_id()
+    ranged = written(ranged.withColumn("_row", row).withColumn("_part", F.shiftright("_row", 33)), "placed")
+    counts = ranged.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*(by or [F.lit(1)])).orderBy("_part"))
+    shifts = counts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_in"), (upto - F.col("_n") - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_in")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return ranged.join(shifts, same).withColumn(name, F.col("_row") + F.col("_shift")).select(*rows.columns, name)

@@ -1,9 +1,8 @@
 """Resampling with draws that a hash decides, so that any engine repeats them.
 
 Replicate b of a task with n items takes, in slot j, the item that a hash of (seed, task, b, j) names; one SHA-256
-serves eight slots. Draws are shared by all models of a task, which pairs the comparisons. Items with the same gold
-label and the same answers of all models are one pattern: draws are counted by pattern, and only patterns meet the
-models and labels, so no replicate is ever scored row by row.
+serves eight slots. Draws are shared by all models of a task, which pairs the comparisons. ``draws.weighted_sums`` brings
+draws and items together, so no replicate is ever scored row by row.
 """
 
 from __future__ import annotations
@@ -12,13 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .draws import SLOTS, weighted_sums
+from .numbering import placed
 
 LEVELS = (0.025, 0.975)
-#: Positions that may be broadcast to the draws; more are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
-#: Slots that one digest serves.
-SLOTS = 8
 
 
 def hash_draw(n: Column, *parts: Column | str) -> Column:
@@ -45,38 +41,24 @@ def item_weights(sizes: DataFrame, iterations: int, seed: str = "boot") -> DataF
     return slots(sizes, iterations, seed).groupBy("task", "b", "pos").agg(F.count("*").alias("w"))
 
 
-def answer_patterns(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items by what was asked and answered: ``task, id, pattern``, and each pattern's ``task, pattern, model, gold, pred``.
+def label_replicates(decisions: DataFrame, labels: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
+    """F1 of each label (``task, label``) in every replicate: ``task, model, b, label, f1``; labels that a replicate lacks have no row.
 
-    A pattern is the list of an item's decisions, at most one for each model and label field, and known by a 64-bit hash:
-    two of a million patterns share one with a probability below 1e-7.
+    Items have a place in their task by id. Labels that don't count are one, so there are no more sums than pairs of labels.
     """
-    rows = F.array_sort(F.collect_list(F.struct("model", "gold", "pred")))
-    items = decisions.groupBy("task", "id").agg(rows.alias("_rows")).withColumn("pattern", F.xxhash64(F.to_json("_rows", {"ignoreNullFields": "false"})))
-    known = items.groupBy("task", "pattern").agg(F.first("_rows").alias("_rows"))
-    return items.select("task", "id", "pattern"), known.select("task", "pattern", F.inline("_rows"))
-
-
-def pattern_weights(items: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
-    """How often each replicate draws a pattern: ``task, b, pattern, w``. Items have a place in their task by id."""
-    sizes = items.groupBy("task").agg(F.count("*").alias("n"))
-    places = numbered(items, "id", by=["task"]).select("task", "pos", "pattern")
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= MOST_BROADCAST:
-        places = F.broadcast(places)
-    return slots(sizes, iterations, seed).join(places, ["task", "pos"]).groupBy("task", "b", "pattern").agg(F.count("*").alias("w"))
-
-
-def label_replicates(decisions: DataFrame, labels: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
-    """F1 of each label (``task, label``) in every replicate: ``task, model, b, label, f1``; labels that a replicate lacks have no row."""
-    items, known = answer_patterns(decisions)
-    weights = pattern_weights(items, iterations, seed)
-    cells = known.join(weights, ["task", "pattern"]).groupBy("task", "model", "b", "gold", "pred").agg(F.sum("w").alias("w"))
+    places = placed(decisions.select("task", "id").distinct(), ["id"], by=["task"])
+    names = F.broadcast(labels.select("task", "label").distinct().withColumn("_known", F.col("label")))
+    rows = decisions.select("task", "id", "model", "gold", "pred").join(places, ["task", "id"])
+    for side in ("gold", "pred"):
+        rows = rows.join(names.withColumnRenamed("label", side), ["task", side], "left").drop(side).withColumnRenamed("_known", side)
+    sizes = places.groupBy("task").agg(F.count("*").alias("n"))
+    cells = weighted_sums(rows, sizes, iterations, seed, "task", "pos", ["model", "gold", "pred"], {"w": F.lit(1.0)})
     right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
     side = lambda label, g, p, tp: F.struct(label.alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), tp.cast("int").alias("tp"))
     rows = cells.select("task", "model", "b", "w", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
-    rows = rows.filter("g + p > 0").join(F.broadcast(labels), ["task", "label"])
+    rows = rows.filter("g + p > 0 AND label IS NOT NULL")
     sums = rows.groupBy("task", "model", "b", "label").agg(F.sum(F.col("w") * F.col("tp")).alias("tp"), F.sum(F.col("w") * (F.col("g") + F.col("p"))).alias("gp"))
-    return sums.select("task", "model", "b", "label", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gp")), F.lit(0.0)).alias("f1"))
+    return sums.filter("gp > 0").select("task", "model", "b", "label", (2 * F.col("tp") / F.col("gp")).alias("f1"))
 
 
 def f1_replicates(decisions: DataFrame, label_def: DataFrame, iterations: int, seed: str = "boot") -> DataFrame:
@@ -94,29 +76,31 @@ def interval(value: Column, name: str = "") -> list[Column]:
     return [p[0].alias(f"{name}low"), p[1].alias(f"{name}high")]
 
 
-def _units(rows: DataFrame, unit: str, iterations: int, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Places of resampled units such as tasks, models or clusters by name, and the weights of the places.
+def _unit_sums(rows: DataFrame, unit: str, iterations: int, by: list[str], values: dict[str, Column], seed: str, within: str | None = None) -> DataFrame:
+    """Sums of ``values`` in every replicate of resampled units such as tasks, models or clusters: ``by, b`` and the sums.
 
-    Places come from a window over the distinct units, of which there are as many as the table of results has.
+    Units are placed by name, in each group ``within`` if given, and draws are shared by the groups ``by``.
     """
-    units = rows.select(unit).distinct()
-    places = units.select(unit, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unit)) - 1).cast("long").alias("pos"))
-    return places, item_weights(units.groupBy(F.lit("u").alias("task")).agg(F.count("*").alias("n")), iterations, seed).drop("task")
+    group = F.lit("u") if within is None else F.col(within).cast("string")
+    named = rows.withColumn("_group", group)
+    places = placed(named.select("_group", unit).distinct(), [unit], by=["_group"], name="_pos")
+    sizes = places.groupBy(F.col("_group").alias("task")).agg(F.count("*").alias("n"))
+    return weighted_sums(named.join(places, ["_group", unit]), sizes, iterations, seed, "_group", "_pos", by, values)
 
 
-def mean_replicates(rows: DataFrame, unit: str, value: str, iterations: int, by: list[str], seed: str = "mean") -> DataFrame:
+def mean_replicates(rows: DataFrame, unit: str, value: str, iterations: int, by: list[str], seed: str = "mean", within: str | None = None) -> DataFrame:
     """Replicate means over resampled units: ``by, b, mean``. Units are placed by name; draws are shared by groups.
 
-    Each group must have each unit at most once.
+    With ``within``, the units of each such group are drawn by themselves. A replicate that draws none of a group's units has no row.
     """
-    places, weights = _units(rows, unit, iterations, seed)
-    drawn = rows.join(places, unit).join(weights, "pos")
-    return drawn.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    v = F.col(value).cast("double")
+    sums = _unit_sums(rows, unit, iterations, by, {"_s": F.coalesce(v, F.lit(0.0)), "_w": v.isNotNull().cast("double")}, seed, within)
+    return sums.filter("_w > 0").select(*by, "b", (F.col("_s") / F.col("_w")).alias("mean"))
 
 
-def mean_interval(rows: DataFrame, unit: str, value: str, iterations: int, by: list[str], seed: str = "mean") -> DataFrame:
+def mean_interval(rows: DataFrame, unit: str, value: str, iterations: int, by: list[str], seed: str = "mean", within: str | None = None) -> DataFrame:
     """The plain mean and the interval of its replicates; also the share of replicates above 0."""
-    reps = mean_replicates(rows, unit, value, iterations, by, seed)
+    reps = mean_replicates(rows, unit, value, iterations, by, seed, within)
     out = reps.groupBy(*by).agg(*interval(F.col("mean")), F.avg((F.col("mean") > 0).cast("double")).alias("share_positive"))
     return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(out, by)
 
@@ -138,14 +122,24 @@ def binomial_tail(k: Column, n: Column) -> Column:
     return F.when(k <= n, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
 
+def moments(x: Column, y: Column) -> dict[str, Column]:
+    """What sums of a slope and a correlation need, of rows with both values."""
+    x, y = x.cast("double"), y.cast("double")
+    known = x.isNotNull() & y.isNotNull()
+    return {name: F.when(known, v).otherwise(0.0) for name, v in {"_n": F.lit(1.0), "_x": x, "_y": y, "_xy": x * y, "_xx": x * x, "_yy": y * y}.items()}
+
+
+def slope_of(n: Column, x: Column, y: Column, xy: Column, xx: Column) -> Column:
+    return F.try_divide(n * xy - x * y, n * xx - x * x)
+
+
 def slope_interval(rows: DataFrame, unit: str, x: str, y: str, iterations: int, seed: str = "mean") -> DataFrame:
     """Least-squares slope and the interval of its replicates over resampled units; weighted moments give each one."""
-    places, weights = _units(rows, unit, iterations, seed)
-    drawn = rows.join(places, unit).join(weights, "pos")
-    moment = lambda w: F.try_divide(F.sum(w) * F.sum(w * F.col(x) * F.col(y)) - F.sum(w * F.col(x)) * F.sum(w * F.col(y)), F.sum(w) * F.sum(w * F.col(x) ** 2) - F.sum(w * F.col(x)) ** 2)
-    low, high = interval(F.col("s"))
-    reps = drawn.groupBy("b").agg(moment(F.col("w").cast("double")).alias("s")).agg(low, high)
-    return rows.agg(moment(F.lit(1.0)).alias("slope")).crossJoin(F.broadcast(reps))
+    parts = moments(F.col(x), F.col(y))
+    of = slope_of(*map(F.col, ("_n", "_x", "_y", "_xy", "_xx")))
+    reps = _unit_sums(rows, unit, iterations, [], parts, seed).select(of.alias("s")).agg(*interval(F.col("s")))
+    real = rows.agg(*(F.sum(v).alias(c) for c, v in parts.items())).select(of.alias("slope"))
+    return real.crossJoin(F.broadcast(reps))
 
 
 def calibrated_interval(rows: DataFrame, unit: str, value: str, iterations: int, by: str, intercept: float, slope: float, residuals: DataFrame, seed: str = "mean") -> DataFrame:
@@ -188,40 +182,30 @@ def symmetric_replicates(decisions: DataFrame, label_def: DataFrame, iterations:
 
 def cluster_interval(rows: DataFrame, cluster: str, value: str, iterations: int, by: list[str], seed: str = "mean") -> DataFrame:
     """Interval of a mean when whole clusters are drawn with all their rows; a cluster's sums stand for its rows."""
-    sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    places, weights = _units(rows, cluster, iterations, seed)
-    w = F.col("w")
-    reps = sums.join(places, cluster).join(weights, "pos").groupBy(*by, "b").agg(F.try_divide(F.sum(w * F.col("_s")), F.sum(w * F.col("_n"))).alias("_m"))
+    sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("_sum"), F.count(value).alias("_rows"))
+    reps = _unit_sums(sums, cluster, iterations, by, {"_s": F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)), "_n": F.col("_rows").cast("double")}, seed)
+    reps = reps.select(*by, F.try_divide("_s", "_n").alias("_m"))
     return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(reps.groupBy(*by).agg(*interval(F.col("_m"))), by)
 
 
-def _drawn_within(rows: DataFrame, unit: str, group: str, iterations: int, seed: str) -> DataFrame:
-    """Rows with their weight in each replicate of their own group. ``unit`` is a whole number and unique in a group."""
-    places = numbered(rows, unit, by=[group], name="pos")
-    sizes = rows.groupBy(F.col(group).alias("task")).agg(F.count("*").alias("n"))
-    weights = item_weights(sizes, iterations, seed).withColumnRenamed("task", "_t")
-    return places.join(weights, (places[group] == F.col("_t")) & (places["pos"] == weights["pos"])).drop("_t", "pos")
-
-
 def mean_interval_within(rows: DataFrame, unit: str, value: str, group: str, iterations: int, seed: str = "mean") -> DataFrame:
     """Mean, interval and size of each group, whose own units are drawn."""
-    reps = _drawn_within(rows, unit, group, iterations, seed).groupBy(group, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m"))
-    out = reps.groupBy(group).agg(*interval(F.col("_m")))
+    reps = mean_replicates(rows, unit, value, iterations, [group], seed, within=group)
+    out = reps.groupBy(group).agg(*interval(F.col("mean")))
     return rows.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(out, group)
 
 
 def pooled_slope(rows: DataFrame, unit: str, x: str, y: str, group: str, iterations: int, seed: str = "mean") -> DataFrame:
     """Standardised slope, averaged over groups that count alike, with the interval of its draws."""
-
-    def slope(w: Column) -> Column:
-        a, b, n = F.col(x).cast("double"), F.col(y).cast("double"), F.sum(w)
-        va, vb = n * F.sum(w * a * a) - F.sum(w * a) ** 2, n * F.sum(w * b * b) - F.sum(w * b) ** 2
-        return F.when((va > 1e-9) & (vb > 1e-9), F.try_divide(n * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b), F.sqrt(va) * F.sqrt(vb)))
-
-    drawn = _drawn_within(rows, unit, group, iterations, seed)
-    reps = drawn.groupBy(group, "b").agg(slope(F.col("w").cast("double")).alias("_s")).groupBy("b").agg(F.avg("_s").alias("_s"))
-    real = rows.groupBy(group).agg(slope(F.lit(1.0)).alias("_s")).agg(F.avg("_s").alias("slope"), F.count("*").alias("groups"))
-    return real.crossJoin(F.broadcast(reps.agg(*interval(F.col("_s")))))
+    parts = moments(F.col(x), F.col(y))
+    n, sx, sy, xy, xx, yy = map(F.col, parts)
+    va, vb = n * xx - sx * sx, n * yy - sy * sy
+    slope = F.when((va > 1e-9) & (vb > 1e-9), F.try_divide(n * xy - sx * sy, F.sqrt(va) * F.sqrt(vb))).alias("_slope")
+    drawn = _unit_sums(rows, unit, iterations, [group], parts, seed, within=group)
+    reps = drawn.select("b", slope).groupBy("b").agg(F.avg("_slope").alias("_slope"))
+    real = rows.groupBy(group).agg(*(F.sum(v).alias(c) for c, v in parts.items())).select(slope)
+    real = real.agg(F.avg("_slope").alias("slope"), F.count("*").alias("groups"))
+    return real.crossJoin(F.broadcast(reps.agg(*interval(F.col("_slope")))))
 
 
 def fixed_effect_interval(rows: DataFrame, cluster: str, x: str, y: str, iterations: int, seed: str = "mean") -> DataFrame:
@@ -230,11 +214,24 @@ def fixed_effect_interval(rows: DataFrame, cluster: str, x: str, y: str, iterati
     The slope is a ratio of sums of each cluster's centred moments, so a weight stands for copies with effects of their own.
     """
     a, b, n = F.col(x).cast("double"), F.col(y).cast("double"), F.count("*")
-    moments = rows.groupBy(cluster).agg((F.sum(a * b) - F.sum(a) * F.sum(b) / n).alias("_xy"), (F.sum(a * a) - F.sum(a) ** 2 / n).alias("_xx"))
-    places, weights = _units(rows, cluster, iterations, seed)
-    ratio = lambda w: F.try_divide(F.sum(w * F.col("_xy")), F.sum(w * F.col("_xx")))
-    reps = moments.join(places, cluster).join(weights, "pos").groupBy("b").agg(ratio(F.col("w")).alias("_s"))
-    return moments.agg(ratio(F.lit(1.0)).alias("slope"), F.count("*").alias("clusters")).crossJoin(F.broadcast(reps.agg(*interval(F.col("_s")))))
+    own = rows.groupBy(cluster).agg((F.sum(a * b) - F.sum(a) * F.sum(b) / n).alias("_xy"), (F.sum(a * a) - F.sum(a) ** 2 / n).alias("_xx"))
+    ratio = F.try_divide("_xy", "_xx")
+    reps = _unit_sums(own, cluster, iterations, [], {c: F.coalesce(c, F.lit(0.0)) for c in ("_xy", "_xx")}, seed).select(ratio.alias("_r"))
+    real = own.agg(F.sum("_xy").alias("_xy"), F.sum("_xx").alias("_xx"), F.count("*").alias("clusters")).select(ratio.alias("slope"), "clusters")
+    return real.crossJoin(F.broadcast(reps.agg(*interval(F.col("_r")))))
+
+
+def paired_replicates(reps: DataFrame, ordered: bool = True, by_task: bool = False) -> DataFrame:
+    """Mean difference over tasks, or the one of each task, of each pair of models in each replicate: ``model, reference, b, d``.
+
+    A replicate's models meet in one list of a task, as many as there are models, and not in a join of all replicates. With
+    ``ordered`` both directions of a pair come out, else the one whose model is first by name.
+    """
+    lists = reps.groupBy("task", "b").agg(F.collect_list(F.struct("model", "f1")).alias("_m"))
+    ways = lists.select("task", "b", F.explode("_m").alias("_l"), "_m").select("task", "b", "_l", F.explode("_m").alias("_r"))
+    wanted = F.col("_l.model") != F.col("_r.model") if ordered else F.col("_l.model") < F.col("_r.model")
+    rows = ways.filter(wanted).select("task", F.col("_l.model").alias("model"), F.col("_r.model").alias("reference"), "b", (F.col("_l.f1") - F.col("_r.f1")).alias("d"))
+    return rows if by_task else rows.groupBy("model", "reference", "b").agg(F.avg("d").alias("d"))
 
 
 def task_sensitivity(tasks: DataFrame, reps: DataFrame, model: str, reference: str, iterations: int) -> DataFrame:

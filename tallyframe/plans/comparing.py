@@ -177,9 +177,7 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT model, reference, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM d GROUP BY ALL""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of every pair's mean difference over tasks, from the same draws."""
-    reps = replicates(spark, sf_dir)
-    other = reps.select("task", "b", F.col("model").alias("reference"), F.col("f1").alias("_f"))
-    d = reps.join(other, ["task", "b"]).filter("model < reference").groupBy("model", "reference", "b").agg(F.avg(F.col("f1") - F.col("_f")).alias("d"))
+    d = b.paired_replicates(replicates(spark, sf_dir), ordered=False)
     return rounded(d.groupBy("model", "reference").agg(F.avg("d").alias("difference"), *b.interval(F.col("d"))))
 
 
