@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,20 +42,32 @@ def running_sum(rows: DataFrame, order: str, value: str, name: str, width: int =
     return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
-def placed(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
-    """Adds the 0-based place of each row in its group ``by``, ordered by ``order``, columns of any sortable kind.
+def _ranged(rows: DataFrame, order: Sequence[str], by: Sequence[str], weight: Column, name: str) -> DataFrame:
+    """Adds the sum of ``weight`` up to each row of its group in order, that row included.
 
-    Rows are dealt out by sampled bounds of group and order, so that a large group spreads over many tasks, and are
-    numbered inside their task. What is added up to offsets is one count for each group and task. Rows that tie are placed
-    in any order, which is kept: the sorted rows are written once. Null groups and null keys come first.
+    Rows are dealt out by sampled bounds of group and order, so that a large group spreads over many tasks, and summed up
+    inside their task. What is added up to offsets is one sum for each group and task. The sorted rows are written once.
     """
-    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    row = F.monotonically_increasing_id()
-    ranged = written(ranged.withColumn("_row", row).withColumn("_part", F.shiftright("_row", 33)), "placed")
-    counts = ranged.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*(by or [F.lit(1)])).orderBy("_part"))
-    shifts = counts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_in"), (upto - F.col("_n") - F.col("_first")).alias("_shift"))
+    ranged = rows.withColumn("_weight", weight).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    ranged = written(ranged.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)), "ranged")
+    inside = F.sum("_weight").over(W.partitionBy(*by, "_part").orderBy("_row").rowsBetween(W.unboundedPreceding, 0))
+    counts = ranged.groupBy(*by, "_part").agg(F.sum("_weight").alias("_sum"))
+    upto = F.sum("_sum").over(W.partitionBy(*(by or [F.lit(1)])).orderBy("_part"))
+    before = counts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_in"), (upto - F.col("_sum")).alias("_before"))
     same = F.col("_part") == F.col("_in")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return ranged.join(shifts, same).withColumn(name, F.col("_row") + F.col("_shift")).select(*rows.columns, name)
+    return ranged.withColumn("_inside", inside).join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).select(*rows.columns, name)
+
+
+def placed(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """Adds the 0-based place of each row in its group ``by``, ordered by ``order``, columns of any sortable kind.
+
+    Rows that tie are placed in any order, which is kept. Null groups and null keys come first.
+    """
+    return _ranged(rows, order, by, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
+
+
+def counted_up(rows: DataFrame, order: Sequence[str], by: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Adds the sum of a whole number ``weight`` over the rows of the group up to and with each one."""
+    return _ranged(rows, order, by, F.col(weight).cast("long"), name)

@@ -5,9 +5,11 @@ Frames here have a row for each (task, model), or a row for each model: far fewe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,20 +65,50 @@ def ordered_pairs(scores: DataFrame, value: str = "f1") -> DataFrame:
     return rows.groupBy("model", "reference").agg(F.avg("_d").alias("difference"), F.count_if(F.col("_d") > 0).alias("better"), F.count_if(F.col("_d") == 0).alias("tied"), F.count_if(F.col("_d") < 0).alias("worse"))
 
 
-def pareto_front(rows: DataFrame, maximise: Sequence[str] = (), minimise: Sequence[str] = (), key: str = "model") -> DataFrame:
-    """Rows that no other row dominates. A criterion with any null is ignored for every row."""
+def _skyline(points: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Places of the points that no other has in all places at least and in one place more."""
+    order = np.lexsort([*points.T, points.sum(1)])[::-1]  # a point can only be dominated by one before it
+    kept = np.empty(0, np.int64)
+    for start in range(0, len(order), chunk):
+        some = order[start : start + chunk]
+        rival = points[np.concatenate([kept, some])]
+        mine = points[some][:, None]
+        beaten = ((rival >= mine).all(2) & (rival > mine).any(2)).any(1)
+        kept = np.concatenate([kept, some[~beaten]])
+    return np.sort(kept)
+
+
+def pareto_front(rows: DataFrame, maximise: Sequence[str] = (), minimise: Sequence[str] = (), key: str = "model", fan: int = 8) -> DataFrame:
+    """Rows that no other row dominates. A criterion with any null is ignored for every row.
+
+    Each task keeps its own front as rows stream by, then the fronts of ``fan`` tasks at a time are merged until one is left. What
+    a dropped row dominates, the row that dropped it dominates too, so no row is compared with the whole table. The front itself must fit a task.
+    """
     names = [*maximise, *minimise]
     nulls = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in names)).first()
     used = [c for c in names if not nulls[c]]
     if not used:
         return rows
-    other = rows.select(F.col(key).alias("_other"), *(F.col(c).alias(f"_o_{c}") for c in used))
-    at_least, beyond = F.lit(True), F.lit(False)
-    for c in used:
-        own, its = F.col(c), F.col(f"_o_{c}")
-        at_least &= its >= own if c in maximise else its <= own
-        beyond |= its > own if c in maximise else its < own
-    return rows.join(F.broadcast(other), (F.col(key) != F.col("_other")) & at_least & beyond, "left_anti")
+    # ties of sums that rounding hides are settled by the order of the places themselves
+    signs = [F.col(c).cast("double") * (1.0 if c in maximise else -1.0) for c in used]
+    marked = rows.select("*", F.array(*signs).alias("_point"))
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if found is None else pa.concat_tables([found, table])
+            points = table["_point"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(used))
+            found = table.take(pa.array(_skyline(points)))
+        if found is not None:
+            yield from found.combine_chunks().to_batches()
+
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    out = marked.mapInArrow(front, marked.schema)
+    while parts > 1:
+        parts = -(-parts // fan)
+        out = out.repartition(parts).mapInArrow(front, marked.schema)
+    return out.drop("_point")
 
 
 def running_frontier(rows: DataFrame, series: str, date: str, value: str, eligible: Column | None = None) -> DataFrame:
@@ -103,13 +135,26 @@ def promotion(rows: DataFrame, series: str, date: str, value: str, limit: float
     return out.withColumn("promoted", F.col("sets_frontier")).withColumn("reason", F.array_join(F.filter(reasons, lambda r: r.isNotNull()), "; "))
 
 
-def lag_behind(rows: DataFrame, follower: Column, leader: Column, date: str, value: str) -> DataFrame:
-    """For each follower, the earliest leader dated on or before it with at least its score, and the months between."""
-    f = rows.filter(follower).select(F.col("model"), F.col(date).alias("date"), F.col(value).alias("value"))
-    a = rows.filter(leader).select(F.col("model").alias("leader"), F.col(date).alias("_d"), F.col(value).alias("_v"))
-    hit = f.join(F.broadcast(a), (F.col("_d") <= F.col("date")) & (F.col("_v") >= F.col("value")), "left")
-    first = hit.groupBy("model", "date", "value").agg(F.min(F.when(F.col("leader").isNotNull(), F.struct("_d", "leader"))).alias("_h"))
-    return first.select("model", F.col("_h.leader").alias("leader"), (F.datediff("date", F.col("_h._d")) / 30.4375).alias("lag_months"))
+def lag_behind(rows: DataFrame, follower: Column, leader: Column, date: str, value: str, spread: int = 32) -> DataFrame:
+    """For each follower, the earliest leader dated on or before it with at least its score, and the months between.
+
+    In order of date and name, that leader is always one whose score is above all before it, so these records alone are looked up: their
+    scores rise with their dates. Followers and records, the latter once for each of ``spread`` parts, are put in one order by score, and each follower
+    takes the last record that it passes. The only window over all leaders is one row a day.
+    """
+    a = rows.filter(leader).select(F.col("model").alias("leader"), F.col(date).alias("_d"), F.col(value).alias("_v")).filter("_d IS NOT NULL AND _v IS NOT NULL")
+    days = a.groupBy("_d").agg(F.max("_v").alias("_top"))
+    days = days.select("_d", F.max("_top").over(W.orderBy("_d").rowsBetween(W.unboundedPreceding, -1)).alias("_past"))
+    earlier = F.max("_v").over(W.partitionBy("_d").orderBy("leader").rowsBetween(W.unboundedPreceding, -1))
+    records = a.withColumn("_same", earlier).join(days, "_d").filter("(_past IS NULL OR _v > _past) AND (_same IS NULL OR _v > _same)")
+    hit = F.struct("_d", "leader").alias("_h")
+    records = records.select(F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_part"), F.col("_v").alias("value"), hit, F.lit(0).alias("_order"))
+    own = rows.filter(follower).select("model", F.col(date).alias("date"), F.col(value).alias("value"))
+    both = own.withColumn("_part", F.pmod(F.xxhash64("model"), F.lit(spread)).cast("int")).withColumn("_order", F.lit(1)).unionByName(records, allowMissingColumns=True)
+    passed = F.last("_h", ignorenulls=True).over(W.partitionBy("_part").orderBy(F.desc("value"), "_order").rowsBetween(W.unboundedPreceding, 0))
+    out = both.withColumn("_h", passed).filter("_order = 1")
+    known = F.col("value").isNotNull() & (F.col("_h._d") <= F.col("date"))
+    return out.select("model", F.when(known, F.col("_h.leader")).alias("leader"), F.when(known, F.datediff("date", F.col("_h._d")) / 30.4375).alias("lag_months"))
 
 
 def best_by_date(rows: DataFrame, dates: DataFrame, group: str, date: str, value: str) -> DataFrame:
