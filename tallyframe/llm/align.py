@@ -8,8 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from .common import written
 BLOCK = 1_500_000
 #: Groups of more links than this are enumerated one by one, by distinct ids.
 LARGE = 4_096
-#: Words that a worker's encoder remembers.
-CACHE = 250_000
+#: Runs of white space of this length overflow the stack of the tiktoken library; texts with one go to the encoder of ``bpe``.
+_long_white = re.compile(r"\s{2000}").search
 
 #: A group of tokens: up to the next byte at which tokens of both sides end.
 _span = re.compile(rb"[^\x03]*\x03").findall
@@ -57,16 +59,18 @@ class Aligned:
 class Aligner:
     """Two vocabularies: byte-level BPE (A, which gets a space before the text) and pieces with byte fallback (B, which adds one)."""
 
-    def __init__(self, bytes_path: str, pieces_path: str, cache: int = CACHE):
-        self.bpe = SegmentTreeBPE(bytes_path, cache)
+    def __init__(self, bytes_path: str, pieces_path: str):
+        self.bpe = SegmentTreeBPE(bytes_path, cache=10_000)
+        ranks = {t: i for i, t in enumerate(self.bpe.tokens) if t and i not in self.bpe.special.values()}
         self.bpe.special, self.bpe.cut = {}, None  # their strings in texts are plain
+        self.ranked = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.a_bytes = self.bpe.tokens
         self.b_bytes = [self._piece(i) for i in range(self.pieces.get_piece_size())]
         self.a_size, self.b_size = len(self.a_bytes), len(self.b_bytes)
         self.a_lengths = np.fromiter(map(len, self.a_bytes), np.int64, self.a_size)
         self.b_lengths = np.fromiter(map(len, self.b_bytes), np.int64, self.b_size)
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.b_size)])
+        self.fallback_bytes = self._fallback()
         self.sizes = _Sizes()
         self.written_ids = [f"{i}{mark}" for i in range(max(self.a_size, self.b_size)) for mark in ",|;"]
 
@@ -74,12 +78,26 @@ class Aligner:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _fallback(self) -> np.ndarray:
+        """For each code point, the byte pieces that stand for it: none if it is a piece itself, as all pieces are made of such."""
+        point = np.arange(0x110000)
+        out = (1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)).astype(np.uint8)
+        out[[ord(p) for i in range(self.b_size) if len(p := self.pieces.id_to_piece(i)) == 1]] = 0
+        out[ord(" ")] = 0
+        return out
+
+    def encode_bytes(self, text: str) -> np.ndarray:
+        """The ids of side A of a text as it is."""
+        if _long_white(text):
+            return np.frombuffer(self.bpe.encode([text])[0], "<u4")
+        return np.array(self.ranked.encode_ordinary(text), np.uint32)
+
     def align(self, texts: list[str | None]) -> Aligned:
         """Tokens and groups of each text; none for texts that are null, empty or not what its tokens' bytes say."""
         given = [t or "" for t in texts]
-        a_found = [np.frombuffer(p, "<u4") for p in self.bpe.encode([" " + t if t else "" for t in given])]
-        b_found = self.pieces.encode(given, num_threads=1)
         none, a_all, b_all, size = np.empty(0, np.uint32), [], [], []
+        a_found = [self.encode_bytes(" " + t) if t else none for t in given]
+        b_found = self.pieces.encode(given, num_threads=1)
         for text, a, b in zip(given, a_found, b_found, strict=True):
             raw = b" " + text.encode() if text else b""
             same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b))
@@ -143,12 +161,12 @@ class Aligner:
         return out
 
 
-_aligners: dict[tuple[str, str, int], Aligner] = {}
+_aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def aligner(bytes_path: str, pieces_path: str, cache: int = CACHE) -> Aligner:
+def aligner(bytes_path: str, pieces_path: str) -> Aligner:
     """One for each pair of files and Python worker."""
-    key = (bytes_path, pieces_path, cache)
+    key = (bytes_path, pieces_path)
     if key not in _aligners:
         _aligners[key] = Aligner(*key)
     return _aligners[key]

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,12 @@ class _Codes(dict):
         return self[word]
 
 
-def script_of(text: str) -> str | None:
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def script_of(points: np.ndarray) -> str | None:
     """The script of most letters; of several, the first by name. None without a letter of a known script."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     at = np.searchsorted(_starts, points, "right") - 1
     counts = np.bincount(_script[at[(at >= 0) & (points <= _stops[at])]], minlength=len(_names))
     return _names[int(counts.argmax())] if counts.any() else None
@@ -83,10 +87,10 @@ def repeated_words(words: list[list[str]]) -> np.ndarray:
     text = np.repeat(np.arange(len(words)), n)
     first = np.flatnonzero(text[:-2] == text[2:]) if len(word) > 2 else np.empty(0, np.int64)
     k = len(codes) + 1
-    _, pair = np.unique(word[first] * k + word[first + 1], return_inverse=True)
-    _, window = np.unique(pair * k + word[first + 2], return_inverse=True)
-    _, window, count = np.unique(text[first] * (len(window) + 1) + window, return_inverse=True, return_counts=True)
-    twice = first[count[window] >= 2]
+    pair = pd.factorize(word[first] * k + word[first + 1])[0]
+    window = pd.factorize(pair * k + word[first + 2])[0]
+    window = pd.factorize(text[first] * (len(window) + 1) + window)[0]
+    twice = first[np.bincount(window)[window] >= 2] if len(window) else first
     hit = np.zeros(len(word), bool)
     for step in range(3):
         hit[twice + step] = True
@@ -121,14 +125,15 @@ _TYPE = ", ".join(["doc_id long, lang string, script string", *(f"{c} long" for
 
 def _measured(work: Aligner, texts: list[str]) -> list[list]:
     words = [_words(t) for t in texts]
-    packed = work.bpe.encode(texts)
-    n = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
-    ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
-    is_byte = work.is_byte
-    fallback = [float(is_byte[p].mean()) if p else 0.0 for p in work.pieces.encode(texts, num_threads=1)]
+    found = [work.encode_bytes(t) for t in texts]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.concatenate([np.empty(0, np.uint32), *found]).astype(np.int64)
+    points = [code_points(t) for t in texts]
+    n_bytes = [len(t.encode()) for t in texts]
+    fallback = [float(work.fallback_bytes[p].sum()) / max(1, b) for p, b in zip(points, n_bytes, strict=True)]
     chars = np.fromiter(map(len, texts), np.int64, len(texts))
     return [
-        [script_of(t) for t in texts],
+        [script_of(p) for p in points],
         [len(w) for w in words],
         [sum(map(len, w)) for w in words],
         [sum(map(t.count, SYMBOLS)) for t in texts],
@@ -146,7 +151,7 @@ def measures(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "
 
     Returns ``doc_id``, ``lang``, ``script`` (of most letters, or null), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``n_tokens``, ``chars_per_token`` and ``token_entropy`` (byte-level vocabulary) and ``fallback_share`` (bytes
-    among the pieces). A null text counts as empty, without words or tokens. Rows are independent; other columns are dropped.
+    of the text that become byte pieces, as the piece vocabulary lacks their character). A null text counts as empty, without words or tokens. Rows are independent; other columns are dropped.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.common import table
-from tallyframe.llm.fertility import LEAST_TEXTS, MEASURES, NORMAL, TYPICAL, WIDTH, WINDOW, bands, entropies, quality_rules, repeated_lines, repeated_words, script_of
+from tallyframe.llm.fertility import LEAST_TEXTS, MEASURES, NORMAL, TYPICAL, WIDTH, WINDOW, bands, code_points, entropies, quality_rules, repeated_lines, repeated_words, script_of
 from tallyframe.llm.queries import QUERIES
 
 from ..compare import SF
@@ -48,8 +48,8 @@ def by_force(docs):
         text = text or ""
         n = counts(text)
         a, b = LEFT.encode(text, add_special_tokens=False).ids, RIGHT.encode(text)
-        x = {"chars_per_token": len(text) / max(1, len(a)), "fallback_share": sum(map(RIGHT.is_byte, b)) / max(1, len(b)), "token_entropy": entropy(a)}
-        found.append((i, lang, script_of(text), n, n[0] < 50 or 100 * n[4] > 50 * n[0], x, len(a)))
+        x = {"chars_per_token": len(text) / max(1, len(a)), "fallback_share": sum(map(RIGHT.is_byte, b)) / max(1, len(text.encode())), "token_entropy": entropy(a)}
+        found.append((i, lang, script_of(code_points(text)), n, n[0] < 50 or 100 * n[4] > 50 * n[0], x, len(a)))
     band = {}
     for kind in (1, 2):
         for name in {r[kind] for r in found} - {None}:
@@ -97,7 +97,7 @@ def test_repeated_lines(lines):
 
 @pytest.mark.parametrize("text,script", [("", None), ("12 !?", None), ("Äbc", "Latin"), ("привет мир a", "Cyrillic"), ("日本語", "Han"), ("ab κλ", "Greek")])
 def test_script(text, script):
-    assert script_of(text) == script
+    assert script_of(code_points(text)) == script
 
 
 def test_odd_rows_by_force(spark):
