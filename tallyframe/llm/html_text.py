@@ -23,6 +23,8 @@ from .html_pages import MARK, labelled_page
 
 #: Generated pages that train the model.
 TRAINING_PAGES = 400
+#: The power of each look's likelihood.
+OVERLAP = 0.4
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
@@ -34,22 +36,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 NEVER = RAW | frozenset("head select button svg canvas audio video object math".split())
-#: Words of class and id attributes that say what an element is for.
-HINTS = {
-    "boiler": frozenset("ad ads advert advertisement banner promo sponsor sponsored cookie cookies notice consent newsletter popup modal alert menu nav navbar navigation breadcrumb breadcrumbs share social related sidebar widget footer header masthead comment comments reply disqus pagination pager login subscribe toolbar".split()),
-    "content": frozenset("article content post entry story body main text prose".split()),
-}
+#: What hides an element from a reader.
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Characters of a block that is a paragraph and not a label.
+LONG = 80
+#: Potentials of looks that a worker remembers.
+REMEMBERED = 100_000
 
 
 @dataclass
 class Node:
     tag: str
     parent: int
-    hint: str = ""
+    words: tuple[str, ...] = ()  # of class, id and role
+    hidden: bool = False
     marked: bool = False
     parts: list = field(default_factory=list)  # text, or the index of a child
     chars: int = 0
     link_chars: int = 0
+    own_chars: int = 0  # its text and that of its inline children
+    paragraphs: int = 0  # children of LONG characters or more, few of them in links
+    depth: int = 0
+    before: int = 0  # characters of the page before its own
 
 
 def parse(page: str) -> list[Node]:
@@ -98,8 +106,9 @@ def parse(page: str) -> list[Node]:
         if m[3]:
             found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])}
             node.marked = MARK in found
-            said = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()))
-            node.hint = next((k for k, names in HINTS.items() if said & names), "other" if said else "")
+            node.words = tuple(sorted(set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()))))
+            node.hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "").lower()))
+        node.depth = nodes[stack[-1]].depth + 1
         nodes.append(node)
         nodes[stack[-1]].parts.append(len(nodes) - 1)
         if tag in VOID or m[0].endswith("/>"):
@@ -112,21 +121,61 @@ def parse(page: str) -> list[Node]:
         stack.append(len(nodes) - 1)
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
-        if node.tag not in NEVER:
-            node.chars += sum(len(x) for x in node.parts if isinstance(x, str))
+        if never(node):
+            node.chars = node.link_chars = node.own_chars = 0
+        else:
+            text = sum(len(x) for x in node.parts if isinstance(x, str) and not x.isspace())
+            node.chars += text
+            node.own_chars += text
             if node.tag == "a":
                 node.link_chars = node.chars
         if i:
-            nodes[node.parent].chars += node.chars
-            nodes[node.parent].link_chars += node.link_chars
+            above = nodes[node.parent]
+            above.chars += node.chars
+            above.link_chars += node.link_chars
+            if node.tag in INLINE:
+                above.own_chars += node.own_chars
+            above.paragraphs += long_text(node)
+    total = 0
+    todo: list = [0]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            total += not x.isspace() and len(x)
+            continue
+        nodes[x].before = total
+        if not never(nodes[x]):
+            todo += reversed(nodes[x].parts)
     return nodes
 
 
-def looks(node: Node) -> list[tuple[str, object]]:
-    """What the unary potential sees."""
+def never(node: Node) -> bool:
+    """Whether a reader sees nothing of it as text."""
+    return node.hidden or node.tag in NEVER
+
+
+def long_text(node: Node) -> bool:
+    """A block with a paragraph's text, most of it outside links."""
+    return node.own_chars >= LONG and 2 * node.link_chars < node.chars
+
+
+def looks(node: Node, page: Node) -> list[tuple[str, object]]:
+    """What the unary potential sees of a node of a page: its tag, text, links, place and neighbours, and the words of its class,
+    id and role, which mean what they meant on the training pages, or nothing."""
     share = node.link_chars / node.chars if node.chars else 0
-    size = min(4, len(str(node.chars)) if node.chars else 0)
-    return [("tag", node.tag), ("hint", node.hint), ("links", 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3), ("size", size)]
+    size = lambda n: 0 if not n else 1 if n < 25 else 2 if n < LONG else 3 if n < 250 else 4
+    part = node.chars / max(page.chars, 1)
+    seen = [
+        ("tag", node.tag),
+        ("links", 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3),
+        ("size", size(node.chars)),
+        ("text", (kind(node.tag), size(node.own_chars))),
+        ("part", 0 if part < 0.05 else 1 if part < 0.3 else 2 if part < 0.6 else 3),
+        ("paragraphs", min(3, node.paragraphs)),
+        ("place", (min(2, int(3 * node.before / max(page.chars, 1))), size(node.own_chars) > 2)),
+        ("depth", min(6, node.depth)),
+    ]
+    return seen + [("word", w) for w in node.words]
 
 
 def kind(tag: str) -> str:
@@ -135,29 +184,41 @@ def kind(tag: str) -> str:
         return "inline"
     if tag in ("article", "main"):
         return "article"
+    if tag in ("p", "li", "td"):
+        return tag
+    if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return "heading"
     if tag in ("nav", "header", "footer", "aside", "form") or tag in NEVER:
         return "apart"
-    return "group" if tag in ("div", "section", "body", "html", "#page", "table", "tbody", "td", "tr", "ul", "ol") else "block"
+    return "group" if tag in ("div", "section", "body", "html", "#page", "table", "tbody", "tr", "ul", "ol") else "block"
+
+
+def edge(node: Node, parent: Node) -> tuple[str, bool, bool]:
+    """What a parent-child potential depends on."""
+    return kind(node.tag), long_text(node), parent.tag in ("body", "html", "#page")
 
 
 @dataclass(frozen=True)
 class ContentModel:
     unary: dict[tuple, np.ndarray]  # what a node looks like -> (boilerplate, content)
-    pair: dict[tuple[str, str], tuple]  # kind of child, its hint -> parent state x child state
+    pair: dict[tuple[str, bool, bool], tuple]  # kind of child, whether it has a paragraph's text, whether it is in the body itself -> parent state x child state
     _own: dict = field(default_factory=dict, compare=False)
 
-    def own(self, node: Node) -> tuple[float, float]:
+    def own(self, node: Node, page: Node) -> tuple[float, float]:
         """The unary potential of a node, kept away from 0 and 1."""
-        seen = tuple(looks(node))
+        if never(node):
+            return (1 - 1e-9, 1e-9)
+        seen = tuple(x for x in looks(node, page) if x in self.unary)
         if seen not in self._own:
-            u = np.prod([self.unary.get(x, np.ones(2)) for x in seen], 0)
-            c = 1e-9 if node.tag in NEVER else float(np.clip(u[1] / u.sum(), 1e-6, 1 - 1e-6))
+            if len(self._own) >= REMEMBERED:
+                self._own.clear()
+            u = np.prod([self.unary[x] for x in seen], 0) if seen else np.ones(2)
+            c = float(np.clip(u[1] / u.sum(), 1e-6, 1 - 1e-6))
             self._own[seen] = (1 - c, c)
         return self._own[seen]
 
-    def between(self, node: Node) -> tuple[tuple[float, float], tuple[float, float]]:
-        k = kind(node.tag)
-        return self.pair.get((k, node.hint)) or self.pair.get((k, "")) or ((0.9, 0.1), (0.1, 0.9))
+    def between(self, node: Node, parent: Node) -> tuple[tuple[float, float], tuple[float, float]]:
+        return self.pair.get(edge(node, parent)) or ((0.9, 0.1), (0.1, 0.9))
 
 
 def train(pages: Iterable[str]) -> ContentModel:
@@ -168,13 +229,15 @@ def train(pages: Iterable[str]) -> ContentModel:
         for i, node in enumerate(nodes):
             y = int(node.marked)
             states[y] += 1
-            for look in looks(node):
+            if never(node):
+                continue
+            for look in looks(node, nodes[0]):
                 seen[look][y] += 1
             if i:
-                moves[kind(node.tag), node.hint][int(nodes[node.parent].marked), y] += 1
+                moves[edge(node, nodes[node.parent])][int(nodes[node.parent].marked), y] += 1
     total = np.array([states[0] + 1.0, states[1] + 1.0])
     # the looks of a node overlap, so each counts for less
-    unary = {k: (v / total) ** 0.6 for k, v in seen.items()}
+    unary = {k: (v / total) ** OVERLAP for k, v in seen.items()}
     pair = {k: tuple(map(tuple, (v / v.sum(1, keepdims=True)).tolist())) for k, v in moves.items()}
     return ContentModel(unary, pair)
 
@@ -185,9 +248,9 @@ def marginals(nodes: list[Node], model: ContentModel) -> list[float]:
     All pairs are (boilerplate, content) and sum to 1. Children come after their parent.
     """
     n = len(nodes)
-    below = [model.own(x) for x in nodes]
+    below = [model.own(x, nodes[0]) for x in nodes]
     below[0] = (1 - 1e-6, 1e-6)
-    pair = [model.between(x) for x in nodes]
+    pair = [model.between(x, nodes[x.parent]) for x in nodes]
     up = [(1.0, 1.0)] * n
     for i in range(n - 1, 0, -1):
         b, c = below[i]
@@ -210,13 +273,17 @@ def marginals(nodes: list[Node], model: ContentModel) -> list[float]:
 def main_text(page: str | None, model: ContentModel, least: float = 0.5) -> str:
     """The text of the nodes whose marginal is ``least`` or more; blocks are joined by a line feed.
 
-    Character references are decoded, white space in a block becomes one space. A null page, and one
+    Character references are decoded, white space in a block becomes one space. A header inside the article, which holds its
+    headline, belongs to it; headers of the page do not. Hidden elements are left out. Where nothing reaches ``least``, but
+    there is a paragraph, the bound is half the highest marginal of any, so a page does not lose its only text. A null page, and one
     without content, give an empty text.
     """
     if not page:
         return ""
     nodes = parse(page)
     p = marginals(nodes, model)
+    if not any(q >= least and x.own_chars for x, q in zip(nodes, p, strict=True)):
+        least = min(least, max((q for x, q in zip(nodes, p, strict=True) if long_text(x)), default=1.0) / 2)
     blocks: list[list[str]] = [[]]
     todo: list = [0]
     while todo:
@@ -228,7 +295,7 @@ def main_text(page: str | None, model: ContentModel, least: float = 0.5) -> str:
                 blocks.append([])
             continue
         node = nodes[x]
-        if node.tag in NEVER:
+        if never(node):
             continue
         if node.tag == "br":
             blocks[-1].append(" ")

@@ -81,7 +81,7 @@ def test_generated_pages_held_out():
 def test_marginals_equal_enumeration():
     nodes = parse('<div class="content"><p>some words here</p><div class="ad">buy</div></div>')
     n = len(nodes)
-    own, pair = [MODEL.own(x) for x in nodes], [MODEL.between(x) for x in nodes]
+    own, pair = [MODEL.own(x, nodes[0]) for x in nodes], [MODEL.between(x, nodes[x.parent]) for x in nodes]
     own[0] = (1 - 1e-6, 1e-6)
     total, on = 0.0, np.zeros(n)
     for state in np.ndindex(*[2] * n):
@@ -109,6 +109,33 @@ def test_references_are_decoded_in_their_own_text():
     assert main_text(page, MODEL) == "a &amp; cd < e < f".replace("&amp;", "&amp;")
 
 
+LONG = "plain words of an article that goes on for a while, " * 6
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        (f"<p>{LONG}</p><p>{LONG}</p>", [LONG, LONG]),
+        (f'<div class="nav"><ul><li><a href="/x">menu</a></li></ul></div><div class="lower"><p>{LONG}</p><p>{LONG}</p></div><div>c 2020</div>', [LONG, LONG]),
+        (f'<div class="content-header main"><h1>Title here</h1><p>{LONG}</p></div>', ["Title here", LONG]),
+        (f"<article><header><h1>My title</h1></header><p>{LONG}</p></article><footer>foot</footer>", ["My title", LONG]),
+        (f'<header><h1>Site</h1></header><article><p>{LONG}</p><p hidden>{LONG}secret</p><div style="display: none">{LONG}none</div></article>', [LONG]),
+        (f'<div class="sidebar"><p>{LONG}</p></div><div class="widget"><p>short</p></div>', [LONG]),
+        (f'<table><tr><td><a href="/">home</a></td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table>', [LONG, LONG]),
+    ],
+)
+def test_articles_without_hints_or_with_several(body, text):
+    page = f"<html><head><title>t</title></head><body>{body}</body></html>"
+    assert main_text(page, MODEL) == "\n".join(t.strip() for t in text)
+
+
+def test_a_page_with_a_paragraph_has_a_text():
+    for seed in range(6000, 6150):
+        page = re.sub(" data-content", "", labelled_page(seed))
+        page = re.sub(r"</?(?:article|main)\b[^>]*>", "", page)
+        assert main_text(page, MODEL)
+
+
 def test_page_details(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href=/>menu</a></nav><article><h1>A &amp; B</h1><p>one\n  <b>two</b><p>three &lt;b&gt;<script>no()</script><p> </p></article><footer>f</footer></body>"
     rows = [(1, page), (2, None), (3, ""), (4, "<"), (None, page), (5, "<article>" + "<div>" * 5000 + "deep"), (6, "&#xD800;<p>" * 10)]
