@@ -218,3 +218,20 @@ def prose_list(c: Column | str) -> Column:
     c = col(c)
     head = F.array_join(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), ", ")
     return F.when(F.size(c) > 1, F.concat(head, F.lit(" and "), F.element_at(c, -1))).otherwise(F.array_join(c, ""))
+
+
+def number(c: Column | str, kind: str = "double", on_bad: str = "null") -> Column:
+    """A text as a number of ``kind``; blank is null. Other texts that are no number are null, or stop the job with ``on_bad`` 'raise'."""
+    text = F.nullif(F.btrim(col(c).cast("string")), F.lit(""))
+    value = text.try_cast(kind)
+    if on_bad == "null":
+        return value
+    if on_bad != "raise":
+        raise ValueError(f"on_bad must be null or raise, not {on_bad}")
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("no number: "), F.substring(text, 1, 40))).cast(kind)).otherwise(value)
+
+
+def natural_key(c: Column | str) -> Column:
+    """A sort key that puts texts with a number first, by its value, and then by the text."""
+    value = F.regexp_extract(col(c), "[0-9]+", 0).try_cast("decimal(38,0)")
+    return F.struct(value.isNull().alias("none"), value.alias("value"), col(c).alias("text"))

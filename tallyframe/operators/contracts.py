@@ -153,3 +153,36 @@ def next_stage(pilot: bool, remainder: bool, gate_passed: bool | None) -> str:
     if gate_passed is None:
         return "gate"
     return "stopped" if not gate_passed else "done" if remainder else "remainder"
+
+
+def answer_findings(answers: DataFrame, expected: DataFrame, limits: DataFrame, key: Sequence[str] = ("task", "item_id")) -> DataFrame:
+    """What is wrong with the answers of a stage, by key: ``stage, key, finding``.
+
+    ``answers`` has ``stage``, the key, ``prompt_tokens``, ``output_tokens`` and ``finish_reason``; ``expected`` the stage and key of every due answer;
+    ``limits`` by stage ``context`` and ``max_output``. Findings: ``missing``, ``not expected``, ``repeated``, ``no usage``, ``output over limit``,
+    ``over context``, ``truncated`` (stopped by length, or as many tokens as the limit allows).
+    """
+    names = ["stage", *key]
+    have = answers.groupBy(*names).agg(F.count("*").alias("_n"), F.max("prompt_tokens").alias("_in"), F.max("output_tokens").alias("_out"), F.max((F.col("finish_reason") == "length").cast("int")).alias("_cut"), F.count_if(F.col("prompt_tokens").isNull() | F.col("output_tokens").isNull()).alias("_void"))
+    both = expected.select(*names).distinct().withColumn("_due", F.lit(True)).join(have, names, "full").join(F.broadcast(limits.select("stage", "context", "max_output")), "stage", "left")
+    found = {
+        "missing": F.col("_n").isNull(),
+        "not expected": F.col("_due").isNull(),
+        "repeated": F.col("_n") > 1,
+        "no usage": F.col("_void") > 0,
+        "output over limit": F.col("_out") > F.col("max_output"),
+        "over context": F.col("_in") + F.col("_out") > F.col("context"),
+        "truncated": (F.col("_cut") == 1) | (F.col("_out") == F.col("max_output")),
+    }
+    marks = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in found.items())))
+    return both.select(*names, F.explode(marks).alias("finding"))
+
+
+def stage_coverage(answers: DataFrame, expected: DataFrame, limits: DataFrame, key: Sequence[str] = ("task", "item_id")) -> DataFrame:
+    """By stage: ``due``, ``answered``, findings of each kind as a map, and whether the stage ``passed`` without any."""
+    findings = answer_findings(answers, expected, limits, key).groupBy("stage", "finding").agg(F.count("*").alias("_n"))
+    kinds = findings.groupBy("stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("finding", "_n")))).alias("findings"))
+    due = expected.select("stage", *key).distinct().groupBy("stage").agg(F.count("*").alias("due"))
+    got = answers.select("stage", *key).distinct().groupBy("stage").agg(F.count("*").alias("answered"))
+    out = due.join(got, "stage", "full").join(kinds, "stage", "left").fillna(0, ["due", "answered"])
+    return out.withColumn("passed", F.col("findings").isNull())

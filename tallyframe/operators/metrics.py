@@ -214,6 +214,19 @@ def binary_behaviour(decisions: DataFrame) -> DataFrame:
     )
 
 
+def multi_binary_behaviour(decisions: DataFrame) -> DataFrame:
+    """The behaviour of each binary field, averaged over the fields of a task; a field without a value doesn't count in that mean."""
+    each = binary_behaviour(decisions.withColumn("kind", F.lit("binary")))
+    values = [c for c, kind in each.dtypes if kind == "double"]
+    return each.groupBy("task", "model").agg(F.count("*").alias("fields"), *(F.avg(c).alias(c) for c in values))
+
+
+def effective_tuples(items: DataFrame, by: str = "task", key: str = "item_id", field: str = "label_field", label: str = "gold") -> DataFrame:
+    """Effective number of label tuples, the fields of an item taken together: exp of the entropy, and how many tuples there are."""
+    tuples = items.groupBy(by, key).agg(F.array_sort(F.collect_list(F.struct(field, label))).alias("_t")).withColumn("_t", F.to_json("_t"))
+    return effective_labels(tuples, "_t", by)
+
+
 def categorical_behaviour(decisions: DataFrame, label_def: DataFrame) -> DataFrame:
     """Accuracy, macro F1, the share of labels used, entropy of the answers over log(labels), recall of the rarest."""
     rows = with_policy(decisions.filter("kind = 'categorical'"), "wrong")

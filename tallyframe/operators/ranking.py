@@ -235,3 +235,22 @@ def standardised_mean(rows: DataFrame, columns: Sequence[str], name: str = "prox
     for c, x in logs.items():
         out = out + F.coalesce(F.try_divide(x - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0))
     return rows.crossJoin(F.broadcast(facts)).withColumn(name, out / len(columns)).select(*rows.columns, name)  # one row of facts
+
+
+def speed_up(rows: DataFrame, by: Sequence[str], batch_size: str, seconds: str) -> DataFrame:
+    """Adds ``speed_up`` and ``delta`` of each batch size against single calls of its group; null without any."""
+    one = F.max(F.when(F.col(batch_size) == 1, F.col(seconds))).over(W.partitionBy(*by))
+    return rows.withColumns({"speed_up": F.try_divide(one, F.col(seconds)), "delta": F.col(seconds) - one})
+
+
+def stacked(rows: DataFrame, dimensions: Sequence[Sequence[str]], value: str) -> DataFrame:
+    """Mean and size of ``value`` in every cell of every list of dimensions, in one pass: ``dimension, cell, mean, n``."""
+    every = list(dict.fromkeys(c for d in dimensions for c in d))
+    found = rows.groupingSets([list(map(F.col, d)) for d in dimensions], *every).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.grouping_id().alias("_set"))
+    number = {sum((c not in d) << (len(every) - 1 - i) for i, c in enumerate(every)): d for d in dimensions}
+    name, cell = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for mark, d in number.items():
+        name = F.when(F.col("_set") == mark, F.lit("+".join(d) or "all")).otherwise(name)
+        parts = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in d)) if d else F.lit("all")
+        cell = F.when(F.col("_set") == mark, parts).otherwise(cell)
+    return found.select(name.alias("dimension"), cell.alias("cell"), "mean", "n")

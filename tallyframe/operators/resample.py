@@ -234,6 +234,19 @@ def paired_replicates(reps: DataFrame, ordered: bool = True, by_task: bool = Fal
     return rows if by_task else rows.groupBy("model", "reference", "b").agg(F.avg("d").alias("d"))
 
 
+def model_delta(scores: DataFrame, reps: DataFrame, model: str, reference: str, points: float = 100.0) -> DataFrame:
+    """By task, how far a model is above another in points, with the interval of paired draws and the share of draws above 0.
+
+    ``scores`` has task, model and f1, ``reps`` also b. Returns ``task, model_f1, reference_f1, delta, low, high, share_better``.
+    """
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("f1")))
+    gap = reps.groupBy("task", "b").agg((of(model) - of(reference)).alias("_d")).filter("_d IS NOT NULL")
+    low, high = interval(points * F.col("_d"))
+    spread = gap.groupBy("task").agg(low, high, F.avg((F.col("_d") > 0).cast("double")).alias("share_better"))
+    plain = scores.groupBy("task").agg(of(model).alias("model_f1"), of(reference).alias("reference_f1"))
+    return plain.withColumn("delta", points * (F.col("model_f1") - F.col("reference_f1"))).join(spread, "task")
+
+
 def task_sensitivity(tasks: DataFrame, reps: DataFrame, model: str, reference: str, iterations: int) -> DataFrame:
     """How a mean difference of two models holds: one row with the interval over items, the share of draws above 0,
     the interval over tasks, and the range when each task is left out. ``tasks`` has task, model, f1; ``reps`` also b."""

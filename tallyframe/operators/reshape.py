@@ -38,3 +38,10 @@ def coverage(rows: DataFrame, models: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def one_hot(rows: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     return rows.withColumns({f"{column}_{n}": (F.col(column) == n).cast("int") for n in names})
+
+
+def columns_in_order(df: DataFrame, first: Sequence[str], prefixes: Sequence[str], rest: bool = True) -> DataFrame:
+    """The named columns, then those of each prefix in the frame's order, then the others unless ``rest`` is false. Each comes once."""
+    groups = [[c for c in df.columns if c.startswith(p)] for p in prefixes]
+    names = dict.fromkeys([*first, *(c for g in groups for c in g), *(df.columns if rest else ())])
+    return df.select(*(F.col(f"`{c}`") for c in names))

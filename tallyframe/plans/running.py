@@ -259,7 +259,7 @@ def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def release_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The release's table of pairs, with the 2,000 replicates of a release; ``paired_bootstrap`` has the first 1,000 of them."""
-    return api.release(decisions(spark, sf_dir), label_def(spark), tasks(spark), 2000)["pairs"]
+    return rounded(api.release(decisions(spark, sf_dir), label_def(spark), tasks(spark), 2000)["pairs"])
 
 
 query()(summary_report)

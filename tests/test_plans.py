@@ -54,7 +54,7 @@ def test_release_pairs_take_2000_replicates(spark):
     assert len(found) == len(f1) * (len(f1) - 1)
     for r in found.itertuples():
         d = np.mean([f1[r.model][t] - f1[r.reference][t] for t in f1[r.model]], axis=0)
-        assert np.allclose([r.item_ci_low, r.item_ci_high], np.quantile(d, [0.025, 0.975]), atol=1e-9)
+        assert np.allclose([r.item_ci_low, r.item_ci_high], np.quantile(d, [0.025, 0.975]), atol=1e-6)
 
 
 @pytest.mark.parametrize("name", ["date_arithmetic", "batched_answers"])
