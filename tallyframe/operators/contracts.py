@@ -122,13 +122,19 @@ def audited(raw: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.join(b, list(key), "full").select(*key, found.alias("finding")).filter("finding IS NOT NULL")
 
 
-def broken_cells(rows: DataFrame, panel: DataFrame, panel_hash: str) -> DataFrame:
-    """Cells of a checkpoint (``task, model, item_id, panel_hash``) that don't hold exactly the panel's items (``task, item_id``)."""
+def broken_cells(rows: DataFrame, panel: DataFrame, panel_hash: str, models: DataFrame | None = None) -> DataFrame:
+    """Cells of a checkpoint (``task, model, item_id, panel_hash``) that don't hold exactly the panel's items (``task, item_id``).
+
+    With ``models``, a cell of a model and a task of the panel that has no row at all is broken too.
+    """
     cells = rows.groupBy("task", "model").agg(F.count("*").alias("rows"), F.bool_and(F.col("panel_hash") == panel_hash).alias("same_panel"))
-    wanted = cells.select("task", "model").join(panel.select("task", "item_id"), "task")
-    matched = rows.select("task", "model", "item_id").distinct().join(wanted, ["task", "model", "item_id"], "left_semi").groupBy("task", "model").agg(F.count("*").alias("matched"))
     sizes = panel.groupBy("task").agg(F.count("*").alias("panel"))
-    out = cells.join(matched, ["task", "model"], "left").join(F.broadcast(sizes), "task", "left").fillna(0, ["matched", "panel"])
+    if models is not None:
+        due = sizes.select("task").crossJoin(F.broadcast(models.select("model").distinct()))  # tasks by models
+        cells = due.join(cells, ["task", "model"], "full")
+    known = rows.join(panel.select("task", "item_id"), ["task", "item_id"], "left_semi")
+    matched = known.select("task", "model", "item_id").distinct().groupBy("task", "model").agg(F.count("*").alias("matched"))
+    out = cells.join(matched, ["task", "model"], "left").join(F.broadcast(sizes), "task", "left").fillna(0, ["rows", "matched", "panel"]).fillna(False, ["same_panel"])
     return out.filter("NOT same_panel OR rows <> panel OR matched <> panel").select("task", "model", "rows", "matched", "panel", "same_panel")
 
 

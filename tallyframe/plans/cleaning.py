@@ -188,9 +188,11 @@ def stacked_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.agg(F.avg("n_chars").alias("mean_chars"), F.count("*").alias("n")).withColumns({x: F.coalesce(x, F.lit("all")) for x in ("lang", "source")}))
 
 
-@query("SELECT label, round(avg(x0), 6) AS c0, round(avg(x1), 6) AS c1 FROM (SELECT label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1 FROM embeddings) GROUP BY label")
+@query("SELECT label, i - 1 AS place, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY label, i")
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "embeddings").groupBy("label").agg(F.avg(F.get("embedding", F.lit(0)).cast("double")).alias("c0"), F.avg(F.get("embedding", F.lit(1)).cast("double")).alias("c1")))
+    """The mean vector of each label, a row for each place."""
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "_v"))
+    return rounded(long.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.avg(F.col("_v").cast("double")).alias("mean")))
 
 
 @query("""SELECT source, lang, n, round(n / sum(n) OVER (PARTITION BY source), 6) AS share, n = max(n) OVER (PARTITION BY source) AS is_top, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang)::INT AS place FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)""")

@@ -17,7 +17,7 @@ from ..operators import state as s
 from ..operators import trends as g
 from ..operators import votes as v
 from .comparing import _UNIT, DRAWS, META, SCORES, scores
-from .fixtures import SQL_DECISIONS, SQL_MODELS, SQL_TASKS, decisions, items, models, table, tasks
+from .fixtures import SQL_DECISIONS, items, models, table, tasks
 from .registry import query, rounded
 
 
@@ -134,16 +134,6 @@ def coding_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eff.select("task", t.label_structure(F.col("n_labels")).alias("structure"), t.coding_complexity(F.col("kind"), F.col("effective_labels"), F.col("n_labels") * 20).alias("complexity"))
 
 
-@query(f"""WITH {SQL_MODELS}, {SQL_TASKS}, x AS (SELECT m.model, t.task, b, (k * 10 + task_order) / (b * 1.0::DOUBLE + 3) AS s FROM models m, tasks t, (VALUES (1), (10), (20)) v(b))
-    SELECT model, task, b AS batch_size, round(max(s) FILTER (b = 1) OVER (PARTITION BY model, task) / s, 6) AS speed_up, round(s - max(s) FILTER (b = 1) OVER (PARTITION BY model, task), 6) AS delta FROM x""")
-def batch_speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against single calls, by a window and not a join."""
-    rows = models(spark).crossJoin(F.broadcast(tasks(spark))).withColumn("batch_size", F.explode(F.array(*map(F.lit, (1, 10, 20)))))
-    rows = rows.withColumn("_s", (F.col("k") * 10 + F.col("task_order")) / (F.col("batch_size") + 3.0))
-    one = F.max(F.when(F.col("batch_size") == 1, F.col("_s"))).over(W.partitionBy("model", "task"))
-    return rounded(rows.select("model", "task", "batch_size", (one / F.col("_s")).alias("speed_up"), (F.col("_s") - one).alias("delta")))
-
-
 @query("""SELECT p_brand, round(avg(p_retailprice), 6) AS mean_price, max((p_brand = 'Brand#11')::INT) AS p_brand_one, row_number() OVER (ORDER BY try_cast(regexp_extract(p_brand, '[0-9]+') AS INT), p_brand)::INT AS natural_order FROM part GROUP BY p_brand""")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers before text, by value."""

@@ -80,10 +80,10 @@ def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_DECISIONS}, {SQL_MODELS} SELECT task, model, item_id, sha256(model || '|' || task || '|' || item_id) AS custom_id, octet_length(encode(gold)) AS prompt_bytes,
-    CASE WHEN id % 9 = 0 THEN 'http 500' WHEN id % 9 = 1 THEN 'no content' END AS failure, CASE WHEN id % 9 > 1 THEN pred END AS content, CASE WHEN id % 9 > 1 THEN id % 100 END AS tokens FROM dec WHERE task IN ('toxic', 'quality')""")
+    CASE WHEN id % 9 = 0 THEN 'http 500' WHEN id % 9 = 1 THEN 'no content' END AS failure, CASE WHEN id % 9 > 1 THEN pred END AS content, CASE WHEN id % 9 > 1 THEN id % 100 END AS tokens FROM dec""")
 def decoded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with ids of their own, and provider answers decoded to rows; failures are rows too."""
-    dec = decisions(spark, sf_dir).filter("task IN ('toxic', 'quality')").withColumn("user_content", F.col("gold"))
+    dec = decisions(spark, sf_dir).withColumn("user_content", F.col("gold"))
     asked = i.request_rows(dec)
     at = F.col("id") % 9
     message = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("pred").alias("content")).alias("message"))).alias("choices"), F.struct((F.col("id") % 100).alias("completion_tokens")).alias("usage")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import parse as p
-from ..functions import text as t
 from ..operators import baseline as u
 from ..operators import contracts as q
 from ..operators import cost as h
@@ -266,15 +265,11 @@ query()(summary_report)
 query()(release_pairs)
 
 
-@query("""WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), c AS (SELECT label, i, avg(x) AS m FROM v WHERE vec_id % 5 <> 0 GROUP BY ALL),
-    n AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM c), d AS (SELECT v.vec_id, n.label, round(sum(v.x * n.m), 9) AS dot FROM v JOIN n USING (i) WHERE v.vec_id % 5 = 0 GROUP BY ALL)
+@query("""WITH v AS (SELECT vec_id, vec_id % 5 AS fold, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), s AS (SELECT label, i, fold, sum(x) AS s, count(*) AS n FROM v GROUP BY ALL),
+    c AS (SELECT f.fold, label, i, sum(s) / sum(n) AS m FROM s JOIN (SELECT DISTINCT fold FROM v) f ON s.fold <> f.fold GROUP BY ALL),
+    n AS (SELECT fold, label, i, m / sqrt(sum(m * m) OVER (PARTITION BY fold, label)) AS m FROM c), d AS (SELECT v.vec_id, n.label, round(sum(v.x * n.m), 9) AS dot FROM v JOIN n USING (fold, i) GROUP BY ALL)
     SELECT vec_id, arg_min(label, (-dot, label)) AS pred FROM d GROUP BY vec_id""")
 def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return u.nearest_centroid(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), "embedding", "label", "vec_id")
-
-
-@query("SELECT item, label FROM (VALUES ('2x A100', '2'), ('H100', '1'), ('8 x B200 ', '8')) v(item, label)")
-def hardware_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("2x A100",), ("H100",), ("8 x B200 ",)], "item string")
-    return rows.select("item", t.gpu_count("item").cast("string").alias("label"))
+    """Every vector by the centroids of the folds that it isn't in."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("fold", F.col("vec_id") % 5)
+    return u.nearest_centroid_out_of_fold(rows, "embedding", "label", "vec_id", "fold")
