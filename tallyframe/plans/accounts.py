@@ -16,7 +16,7 @@ from ..operators import ranking as k
 from ..operators import resample as b
 from ..operators import reshape as r
 from .comparing import _UNIT, DRAWS, SQL_BOOT, SQL_DRAW, replicates, scores
-from .fixtures import SQL_DECISIONS, SQL_TASKS, decisions, items, label_def, table, tasks
+from .fixtures import SQL_DECISIONS, SQL_LATENCY, SQL_MODELS, SQL_TASKS, decisions, items, label_def, table, tasks
 from .registry import ORACLE_SQL, query, rounded
 
 #: As ``SQL_BOOT`` with the draws of a release.
@@ -142,6 +142,14 @@ def decoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["unescaped_titles"] = ORACLE_SQL["decoded_titles"]
+ORACLE_SQL["summary_report"] = f"""WITH {SQL_DECISIONS}, {SQL_MODELS},
+    b AS (SELECT task, kind, model, count(*) AS n, count(*) - count(parse_error) AS parse_ok, avg((parse_error IS NOT NULL)::INT) AS parse_err_rate, avg({SQL_LATENCY}) AS mean_latency_s, median({SQL_LATENCY}) AS median_latency_s,
+        CASE WHEN kind <> 'score' THEN avg((gold = pred)::INT) FILTER (pred IS NOT NULL) END AS accuracy FROM dec GROUP BY task, kind, model),
+    h AS ({ORACLE_SQL["headline_drop_malformed"]}), c AS ({ORACLE_SQL["matthews"]}), o AS (SELECT task, model, weighted_kappa, mae_steps FROM ({ORACLE_SQL["ordinal_task"]})), p AS (SELECT task, model, pearson_r, spearman_r, mae FROM ({ORACLE_SQL["score_task"]}))
+    SELECT task, kind, model, n, parse_ok, round(parse_err_rate, 6) AS parse_err_rate, round(mean_latency_s, 6) AS mean_latency_s, round(median_latency_s, 6) AS median_latency_s, headline_f1, round(accuracy, 6) AS accuracy, CASE WHEN kind <> 'score' THEN mcc END AS mcc,
+        weighted_kappa, mae_steps, pearson_r, spearman_r, mae, compute_class, cost_per_call_usd, round(CASE WHEN compute_class = 'local' THEN median_latency_s * 1000 / 3600 END, 6) AS gpu_hours_per_1000,
+        round(cost_per_call_usd * 1000, 6) AS usd_per_1000, round(cost_per_call_usd * 1000 / accuracy, 6) AS usd_per_1000_correct
+    FROM b JOIN models USING (model) LEFT JOIN h USING (task, kind, model) LEFT JOIN c USING (task, kind, model) LEFT JOIN o USING (task, model) LEFT JOIN p USING (task, model)"""
 
 
 @query("""SELECT p_partkey, coalesce(nullif(regexp_extract(hw, '^\\s*(\\d+)\\s*[xX]\\s', 1), ''), '1')::INT AS gpus, hw AS item FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_size || (CASE WHEN p_partkey % 3 = 1 THEN 'x ' ELSE ' X ' END) || p_type END AS hw FROM part)""")

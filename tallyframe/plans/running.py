@@ -253,7 +253,7 @@ def batch_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole summary; its columns are checked one by one by the scoring queries."""
     dec = decisions(spark, sf_dir).withColumn("latency_s", latency(F.col("k"), F.col("id")))
-    return api.summarize(dec, label_def(spark), models(spark), score_range=(1.0, 50.0))
+    return rounded(api.summarize(dec, label_def(spark), models(spark), score_range=(1.0, 50.0)))
 
 
 def release_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
