@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import average_rank, pearson, spearman
+from .metrics import average_rank, pearson
+from .numbering import counted_up
 
 
 def slope(x: Column, y: Column) -> Column:
@@ -44,11 +45,20 @@ def leave_one_out_correlations(rows: DataFrame, key: str, x: str, y: str) -> Dat
     return each.agg(F.min("_r").alias("low"), F.max("_r").alias("high"))
 
 
+def with_ranks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``rank_`` and the name for each column: the average rank among all rows, by counts of equal values and their running sums over ranges."""
+    for c in columns:
+        counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
+        ranks = counted_up(counts, [c], [], "_n", "_upto").select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
+        rows = rows.join(ranks, c)
+    return rows
+
+
 def partial_rank_correlation(rows: DataFrame, x: str, y: str, control: str) -> DataFrame:
     """Correlation of ranks with a third rank held fixed, from the three plain ones."""
-    full = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(control).isNotNull()).withColumn("_g", F.lit(1))
-    xy, xz, yz = (spearman(full, *pair, ["_g"], name) for *pair, name in ((x, y, "xy"), (x, control, "xz"), (y, control, "yz")))
-    r = xy.join(xz, "_g").join(yz, "_g")
+    full = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(control).isNotNull())
+    ranked = with_ranks(full.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(control).alias("z")), ["x", "y", "z"])
+    r = ranked.agg(*(pearson(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias(a + b) for a, b in ("xy", "xz", "yz")))
     xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
     return r.select(xy.alias("rank_correlation"), F.try_divide(xy - xz * yz, F.sqrt((1 - xz**2) * (1 - yz**2))).alias("partial"))
 
