@@ -112,6 +112,11 @@ def require_usable(df: DataFrame) -> None:
         raise ContractError("no usable answer")
 
 
+def usable_cells(rows: DataFrame, by: Sequence[str], error: str = "parse_error") -> DataFrame:
+    """``by`` and whether the cell is ``usable``: it has a clean answer."""
+    return rows.groupBy(*by).agg((F.count_if(F.col(error).isNull()) > 0).alias("usable"))
+
+
 def audited(raw: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Stored predictions against those parsed again from the raw answers (``pred`` on both sides).
 

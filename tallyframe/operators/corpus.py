@@ -197,3 +197,18 @@ def most_eligible(rows: DataFrame, by: Sequence[str], group: str) -> DataFrame:
     n = rows.groupBy(*by, group).agg(F.count("*").alias("_n"))
     best = n.groupBy(*by).agg(F.max("_n").alias("n"))
     return n.join(best, [*by]).filter("_n = n").groupBy(*by, "n").agg(F.min(group).alias(group)).select(*by, group, "n")
+
+
+def smallest(rows: DataFrame, where: Column, order: Sequence[str], n: int) -> DataFrame:
+    """The n first rows that a condition leaves, by several columns with nulls last; each task keeps n before any row moves."""
+    return rows.filter(where).orderBy(*(F.asc_nulls_last(c) for c in order)).limit(n)
+
+
+def keys_of_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct keys that both frames have; columns are matched by place, and nulls match."""
+    return left.intersect(right)
+
+
+def with_item_texts(sample: DataFrame, items: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """The rows to read with their item's text; a row whose item has none keeps a null."""
+    return sample.join(items.select(*key, text), list(key), "left")

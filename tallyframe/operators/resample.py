@@ -142,6 +142,21 @@ def slope_interval(rows: DataFrame, unit: str, x: str, y: str, iterations: int,
     return real.crossJoin(F.broadcast(reps))
 
 
+def slope_against(rows: DataFrame, unit: str, x: str, y: str, iterations: int, null: float = 0.0, seed: str = "mean") -> DataFrame:
+    """How far a slope is from the one expected: ``slope, difference``, the interval of the replicates' differences, and ``p_value``.
+
+    The p-value is twice the lesser share of replicates on either side of ``null``, one replicate added to each.
+    """
+    parts = moments(F.col(x), F.col(y))
+    of = slope_of(*map(F.col, ("_n", "_x", "_y", "_xy", "_xx")))
+    apart = (F.col("_slope") - null).alias("_d")
+    reps = _unit_sums(rows, unit, iterations, [], parts, seed).select(of.alias("_slope")).filter("_slope IS NOT NULL").select(apart)
+    side = F.least(F.count_if(F.col("_d") <= 0), F.count_if(F.col("_d") >= 0))
+    spread = reps.agg(*interval(F.col("_d")), F.least(F.lit(1.0), 2 * (1 + side) / (F.count("*") + 1)).alias("p_value"))
+    real = rows.agg(*(F.sum(v).alias(c) for c, v in parts.items())).select(of.alias("slope")).withColumn("difference", F.col("slope") - null)
+    return real.crossJoin(F.broadcast(spread))  # one row each
+
+
 def calibrated_interval(rows: DataFrame, unit: str, value: str, iterations: int, by: str, intercept: float, slope: float, residuals: DataFrame, seed: str = "mean") -> DataFrame:
     """Interval of a calibrated mean: replicate means go through the line and get a drawn residual (``pos, residual``)."""
     n = residuals.count()

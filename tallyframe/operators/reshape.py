@@ -45,3 +45,8 @@ def columns_in_order(df: DataFrame, first: Sequence[str], prefixes: Sequence[str
     groups = [[c for c in df.columns if c.startswith(p)] for p in prefixes]
     names = dict.fromkeys([*first, *(c for g in groups for c in g), *(df.columns if rest else ())])
     return df.select(*(F.col(f"`{c}`") for c in names))
+
+
+def pivot_mean(rows: DataFrame, index: Sequence[str], columns: str, value: str, names: Sequence[str]) -> DataFrame:
+    """A wide table of means: one row for each index, one column for each name, null where there is no row."""
+    return rows.groupBy(*index).pivot(columns, list(names)).agg(F.avg(value))

@@ -33,6 +33,13 @@ def unfinished(expected: DataFrame, done: DataFrame, key: Sequence[str]) -> Data
     return expected.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def split_reusable(expected: DataFrame, done: DataFrame, key: Sequence[str], usable: Column) -> tuple[DataFrame, DataFrame]:
+    """What is done already and may be used again, and the keys that must still be made; together they are ``expected``, each key once."""
+    keys = expected.select(*key).distinct()
+    kept = done.filter(usable).dropDuplicates(list(key)).join(keys, list(key), "left_semi")
+    return kept, keys.join(kept.select(*key), list(key), "left_anti")
+
+
 def complete_cells(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Cells whose rows, distinct items and fingerprint are those of the manifest."""
     n = rows.groupBy("task", "model").agg(F.count("*").alias("rows"), F.countDistinct("item_id").alias("items"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))

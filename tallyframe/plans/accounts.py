@@ -9,14 +9,18 @@ from .. import api
 from ..functions import parse as p
 from ..functions import text as t
 from ..operators import contracts as q
+from ..operators import corpus as c
 from ..operators import cost as h
 from ..operators import inference as i
 from ..operators import metrics as m
 from ..operators import ranking as k
 from ..operators import resample as b
 from ..operators import reshape as r
-from .comparing import _UNIT, DRAWS, SQL_BOOT, SQL_DRAW, replicates, scores
-from .fixtures import SQL_DECISIONS, SQL_LATENCY, SQL_MODELS, SQL_TASKS, decisions, items, label_def, table, tasks
+from ..operators import state
+from ..sources import sinks
+from .audits import disagreement_sample
+from .comparing import _UNIT, DRAWS, META, SQL_BOOT, SQL_DRAW, replicates, scores
+from .fixtures import SQL_DECISIONS, SQL_LATENCY, SQL_MODELS, SQL_TASKS, decisions, items, label_def, models, table, tasks
 from .registry import ORACLE_SQL, query, rounded
 
 #: As ``SQL_BOOT`` with the draws of a release.
@@ -225,3 +229,44 @@ def _stages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     answers = rows.filter(key % 53 != 1).select("stage", "task", "item_id", F.when(key % 97 != 5, F.round(F.col("o_totalprice") / 100).cast("long")).alias("prompt_tokens"), F.least(key % 70, F.lit(64)).alias("output_tokens"), F.when(key % 41 == 3, "length").otherwise("stop").alias("finish_reason"))
     limits = spark.createDataFrame([("pilot", 4500, 64), ("remainder", 4500, 64)], "stage string, context int, max_output int")
     return answers, rows.filter(key % 59 != 2).select("stage", "task", "item_id"), limits
+
+
+@query("""SELECT c_custkey, '| ' || c_custkey || ' | ' || c_name || ' | ' || printf('%.2f', c_acctbal) || ' |' AS markdown, c_custkey || ' & ' || replace(c_name, '#', '\\#') || ' & ' || printf('%.2f', c_acctbal) || ' \\\\' AS latex,
+    '<tr><td>' || c_custkey || '</td><td>' || c_name || '</td><td>' || printf('%.2f', c_acctbal) || '</td></tr>' AS html FROM customer""")
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a line of three kinds of table."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    out = rows.select("c_custkey")
+    for style in sinks.STYLES:
+        out = out.join(sinks.table_lines(rows, style, 2).select("c_custkey", F.col("line").alias(style)), "c_custkey")
+    return out
+
+
+@query(f"""WITH {SQL_DECISIONS}, d AS (SELECT task, model, item_id, id % 6 <> 0 AS made, parse_error IS NULL AS clean FROM dec)
+    SELECT task, model, count(*) FILTER (made AND clean) AS reusable, count(*) FILTER (NOT (made AND clean)) AS missing FROM d GROUP BY ALL""")
+def reusable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all cells' items, those with a clean answer from an earlier run, and those to ask again."""
+    key = ["task", "model", "item_id"]
+    dec = decisions(spark, sf_dir)
+    kept, missing = state.split_reusable(dec, dec.filter("id % 6 <> 0"), key, F.col("parse_error").isNull())
+    both = kept.select(*key, F.lit(1).alias("r")).unionByName(missing.select(*key, F.lit(0).alias("r")))
+    return both.groupBy("task", "model").agg(F.sum("r").alias("reusable"), F.sum(1 - F.col("r")).alias("missing"))
+
+
+@query(f"""WITH s AS ({ORACLE_SQL["disagreement_sample"]}) SELECT task, s.id, first_right, second_right, length(text) AS n_chars, md5(text) AS text_md5 FROM s LEFT JOIN documents ON doc_id = s.id AND task IN ('lang', 'quality', 'toxic')""")
+def disagreement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample to read by eye, with the whole texts of its documents."""
+    docs = table(spark, sf_dir, "documents").select(F.explode(F.array(*map(F.lit, ("lang", "quality", "toxic")))).alias("task"), F.col("doc_id").alias("id"), "text")
+    rows = c.with_item_texts(disagreement_sample(spark, sf_dir), docs, ["task", "id"])
+    return rows.select("task", "id", "first_right", "second_right", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""{META}, x AS (SELECT model, avg(f1) AS y, any_value(k)::DOUBLE AS a FROM scores JOIN models USING (model) GROUP BY model), {_UNIT.format(unit="model", rows="x")},
+    reps AS (SELECT b, (sum(w) * sum(w * a * y) - sum(w * a) * sum(w * y)) / nullif(sum(w) * sum(w * a * a) - sum(w * a) ** 2, 0) - 0.02::DOUBLE AS d FROM x JOIN u ON model = unit JOIN dr USING (pos) GROUP BY b),
+    s AS (SELECT * FROM reps WHERE d IS NOT NULL)
+    SELECT (SELECT round(regr_slope(y, a), 6) FROM x) AS slope, (SELECT round(regr_slope(y, a) - 0.02::DOUBLE, 6) FROM x) AS difference, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high,
+        round(least(1.0::DOUBLE, 2 * (1 + least(count(*) FILTER (d <= 0), count(*) FILTER (d >= 0))) / (count(*) + 1)), 6) AS p_value FROM s""")
+def slope_against_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gain in score from one model to the next against two points."""
+    rows = scores(spark, sf_dir).join(F.broadcast(models(spark)), "model").groupBy("model").agg(F.avg("f1").alias("y"), F.max("k").cast("double").alias("x"))
+    return rounded(b.slope_against(rows, "model", "x", "y", DRAWS, 0.02))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as b
 from ..operators import corpus as c
+from ..operators import reshape as r
 from ..operators.builders import Recipe, build
 from .fixtures import PRIORITIES, table
 from .registry import query, rounded
@@ -142,14 +143,14 @@ def new_items_of_active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 7")
 def smallest_after_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven smallest of what a filter leaves, sorted by several keys with nulls last."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return rows.orderBy(F.asc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")).limit(7)
+    rows = c.smallest(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", ["o_totalprice", "o_orderkey"], 7)
+    return rows.select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 12")
 def tasks_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys that both sides have."""
-    return table(spark, sf_dir, "orders").select("o_custkey").intersect(table(spark, sf_dir, "customer").filter("c_nationkey < 12").select("c_custkey"))
+    return c.keys_of_both(table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "customer").filter("c_nationkey < 12").select("c_custkey"))
 
 
 @query("""WITH n AS (SELECT l_returnflag, l_linestatus, l_suppkey % 10 AS grp, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY ALL)
@@ -166,4 +167,4 @@ _PIVOT = ", ".join(f"round(avg(o_totalprice) FILTER (o_orderpriority = '{x}'), 6
 @query(f"SELECT o_orderstatus, {_PIVOT} FROM orders GROUP BY o_orderstatus")
 def mean_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide table of means."""
-    return rounded(table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", list(PRIORITIES)).agg(F.avg("o_totalprice")))
+    return rounded(r.pivot_mean(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice", PRIORITIES))

@@ -90,7 +90,7 @@ def computed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_DECISIONS} SELECT task, model, count(*) FILTER (parse_error IS NULL) > 0 AS usable FROM dec GROUP BY task, model")
 def usable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with at least one clean answer."""
-    return decisions(spark, sf_dir).groupBy("task", "model").agg((F.count_if(F.col("parse_error").isNull()) > 0).alias("usable"))
+    return q.usable_cells(decisions(spark, sf_dir), ["task", "model"])
 
 
 @query("SELECT p_partkey, 'p_retailprice' AS \"column\" FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT p_partkey, 'p_name' FROM part WHERE p_partkey % 60 = 0")

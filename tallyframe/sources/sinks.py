@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,45 @@ def forbidden_columns(df: DataFrame, words: Sequence[str]) -> list[str]:
     return found
 
 
+#: What stands before, between and after cells, the escapes of their texts, and the lines around the rows.
+STYLES = {
+    "markdown": ("| ", " | ", " |", (("\\", "\\\\"), ("|", "\\|"), ("\n", " ")), ("", "| {head} |\n| {rule} |", "")),
+    "latex": ("", " & ", " \\\\", (("\\", "\\textbackslash "), ("&", "\\&"), ("%", "\\%"), ("_", "\\_"), ("#", "\\#"), ("$", "\\$"), ("\n", " ")), ("\\begin{tabular}", "{head} \\\\ \\hline", "\\end{tabular}")),
+    "html": ("<tr><td>", "</td><td>", "</td></tr>", (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>")), ("<table>", "<tr><th>{head}</th></tr>", "</table>")),
+}
+
+
+def table_lines(df: DataFrame, style: str, digits: int = 3) -> DataFrame:
+    """Adds ``line``, the row as a line of a Markdown, LaTeX or HTML table: doubles with so many places, null as nothing, marks of the style escaped."""
+    left, between, right, escapes, _ = STYLES[style]
+
+    def cell(name: str, kind: str) -> Column:
+        text = F.format_string(f"%.{digits}f", F.col(f"`{name}`").cast("double")) if kind in ("double", "float") else F.col(f"`{name}`").cast("string")
+        text = F.when(F.col(f"`{name}`").isNotNull(), text).otherwise("")
+        for old, new in escapes:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
+
+    return df.withColumn("line", F.concat(F.lit(left), F.concat_ws(between, *(cell(c, k) for c, k in df.dtypes)), F.lit(right)))
+
+
+def rendered(df: DataFrame, style: str, digits: int = 3, most: int = 1_000) -> str:
+    """A small sorted result as a whole table; a larger one than ``most`` rows is refused."""
+    columns = df.columns
+    lines = [r[0] for r in table_lines(df, style, digits).select("line").limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rows are no table to read")
+    _, between, _, escapes, (first, head, last) = STYLES[style]
+    names = []
+    for c in columns:
+        for old, new in escapes:
+            c = c.replace(old, new)
+        names.append(c)
+    top = head.replace("{head}", between.join(names) if style != "html" else "</th><th>".join(names)).replace("{rule}", " | ".join(["---"] * len(columns)))
+    first = first + "{" + "l" * len(columns) + "}" if style == "latex" else first
+    return "\n".join(x for x in (first, top, *lines, last) if x)
+
+
 def markdown(df: DataFrame, most: int = 100) -> str:
     """A small result as a Markdown table."""
     rows = df.limit(most).collect()
