@@ -24,9 +24,9 @@ BLOCK = 1 << 13
 CHUNK = 1 << 15
 
 
-def _draw(seed: str, task: str, b: int, first: int, n: int) -> np.ndarray:
+def _draw(seed: str, task: str, b: int, first: int, n: int, chunk: int) -> np.ndarray:
     """The places that a run of slots draws, in order of place."""
-    last = min(first + CHUNK, -(-n // SLOTS))
+    last = min(first + chunk, -(-n // SLOTS))
     start = f"{seed}|{task}|{b}|"
     raw = b"".join([hashlib.sha256(f"{start}{c}".encode()).digest() for c in range(first, last)])
     places = np.frombuffer(raw, ">u4")[: n - first * SLOTS].astype(np.int64) % n
@@ -34,17 +34,17 @@ def _draw(seed: str, task: str, b: int, first: int, n: int) -> np.ndarray:
     return places
 
 
-def block_draws(sizes: DataFrame, iterations: int, seed: str) -> DataFrame:
+def block_draws(sizes: DataFrame, iterations: int, seed: str, chunk: int = CHUNK) -> DataFrame:
     """The draws of each replicate by block: ``task, block, b, offsets``, the places in the block as two bytes each."""
     parts = sizes.sparkSession.sparkContext.defaultParallelism
     rows = sizes.select(F.col("task").cast("string").alias("task"), F.col("n").cast("long").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
-    rows = rows.select("task", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(CHUNK * SLOTS).cast("long"))).alias("slot")).repartition(parts, "task", "b", "slot")
+    rows = rows.select("task", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(chunk * SLOTS).cast("long"))).alias("slot")).repartition(parts, "task", "b", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for task, n, b, slot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                places = _draw(seed, task, b, slot // SLOTS, n)
+                places = _draw(seed, task, b, slot // SLOTS, n, chunk)
                 block, offset = places // BLOCK, (places % BLOCK).astype("<u2")
                 cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(places)]
                 out += [(task, int(block[x]), b, offset[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
@@ -77,7 +77,7 @@ class _Sums:
         return np.array([self.cells[k] for k in keys])
 
 
-def weighted_sums(rows: DataFrame, sizes: DataFrame, iterations: int, seed: str, task: str, pos: str, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+def weighted_sums(rows: DataFrame, sizes: DataFrame, iterations: int, seed: str, task: str, pos: str, by: Sequence[str], values: Mapping[str, Column], chunk: int = CHUNK) -> DataFrame:
     """Sums of ``values`` by task, ``by`` and replicate, each row as often as its place is drawn: ``task, by, b`` and the sums.
 
     ``rows`` has a ``task`` and a place ``pos`` from 0 to the task's ``n`` less 1 in ``sizes`` (task, n); several rows may share a place, such as the
@@ -92,7 +92,7 @@ def weighted_sums(rows: DataFrame, sizes: DataFrame, iterations: int, seed: str,
         *(F.col(c).alias(f"_c{i}") for i, c in enumerate(by)),
         *(v.cast("double").alias(f"_v{i}") for i, v in enumerate(values.values())),
     )
-    drawn = block_draws(sizes, iterations, seed).toDF("_task", "_block", "_b", "_offsets")
+    drawn = block_draws(sizes, iterations, seed, chunk).toDF("_task", "_block", "_b", "_offsets")
     both = items.unionByName(drawn, allowMissingColumns=True).repartition("_task", "_block").sortWithinPartitions("_task", "_block", "_b")
     both = both.select("_task", "_block", "_b", "_offsets", "_at", *(f"_c{i}" for i in range(len(by))), *(f"_v{i}" for i in range(len(values))))
     width, k = len(values), len(by)

@@ -246,11 +246,14 @@ def speed_up(rows: DataFrame, by: Sequence[str], batch_size: str, seconds: str)
 def stacked(rows: DataFrame, dimensions: Sequence[Sequence[str]], value: str) -> DataFrame:
     """Mean and size of ``value`` in every cell of every list of dimensions, in one pass: ``dimension, cell, mean, n``."""
     every = list(dict.fromkeys(c for d in dimensions for c in d))
-    found = rows.groupingSets([list(map(F.col, d)) for d in dimensions], *every).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.grouping_id().alias("_set"))
+    own = {c: f"_d{i}" for i, c in enumerate(every)}
+    rows = rows.select(*(F.col(c).alias(n) for c, n in own.items()), F.col(value).alias("_value"))
+    sets = [[F.col(own[c]) for c in d] for d in dimensions]
+    found = rows.groupingSets(sets, *own.values()).agg(F.avg("_value").alias("mean"), F.count("_value").alias("n"), F.grouping_id().alias("_set"))
     number = {sum((c not in d) << (len(every) - 1 - i) for i, c in enumerate(every)): d for d in dimensions}
     name, cell = F.lit(None).cast("string"), F.lit(None).cast("string")
     for mark, d in number.items():
         name = F.when(F.col("_set") == mark, F.lit("+".join(d) or "all")).otherwise(name)
-        parts = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in d)) if d else F.lit("all")
+        parts = F.concat_ws("/", *(F.coalesce(F.col(own[c]).cast("string"), F.lit("null")) for c in d)) if d else F.lit("all")
         cell = F.when(F.col("_set") == mark, parts).otherwise(cell)
     return found.select(name.alias("dimension"), cell.alias("cell"), "mean", "n")
