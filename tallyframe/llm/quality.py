@@ -4,7 +4,8 @@ Texts that labels trust as good are the positives, texts without a label are the
 logistic model minimises the non-negative unbiased risk: the positives' risk weighted with the class
 prior, plus the unlabelled texts' risk as negatives less the positives' share of it, which is kept from
 falling below zero. The prior itself is estimated from how rarely the positives score as low as the
-unlabelled do, on rows that the scoring model has not seen.
+unlabelled do, on rows that the scoring model has not seen. The model sees a text's words and byte trigrams,
+hashed into bins, and its shape.
 """
 
 from __future__ import annotations
@@ -26,18 +27,42 @@ from .common import with_text
 
 #: At most about so many training rows of each kind reach the driver, chosen by a hash of the id.
 TRAINING_ROWS = 8_000
-FEATURES = 24
+#: Numbers of a text's shape, bins of its words and of its byte trigrams.
+SHAPE, WORD_BINS, GRAM_BINS = 24, 128, 256
+FEATURES = SHAPE + WORD_BINS + GRAM_BINS
+#: The scale of a bin beside that of a number of the shape.
+BIN_SCALE = 0.3
+#: Texts whose features a task holds at once.
+SLICE = 500
 LETTERS = re.compile(r"[^\W\d_]")
 UPPER_LETTERS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 MARKS = re.compile(r"[^\w\s]")
 ENDS = re.compile(r"[.!?…]['\")\]]*(?=\s|$)")
 
 
+def bins(text: str, words: Counter) -> np.ndarray:
+    """Square roots of how often the words and the byte trigrams of a whole text fall into their bins, each half of unit length."""
+    out = np.zeros(WORD_BINS + GRAM_BINS, np.float32)
+    if words:
+        place = np.fromiter((zlib.crc32(w.lower().encode()) % WORD_BINS for w in words), np.int64, len(words))
+        out[:WORD_BINS] = np.sqrt(np.bincount(place, np.fromiter(words.values(), float, len(words)), WORD_BINS) / words.total())
+    raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
+    if len(raw) > 2:
+        place = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(24)
+        out[WORD_BINS:] = np.sqrt(np.bincount(place, minlength=GRAM_BINS) / len(place))
+    return out
+
+
 def features(text: str | None) -> np.ndarray:
-    """Shape of a whole text: words, marks, capitals, lines, repetition and compressibility."""
-    out = np.zeros(FEATURES)
+    """A whole text's shape and its bins of words and byte trigrams."""
     text = text or ""
     words = text.split()
+    return np.concatenate([shape(text, words), bins(text, Counter(words))])
+
+
+def shape(text: str, words: list[str]) -> np.ndarray:
+    """Words, marks, capitals, lines, repetition and compressibility of a whole text."""
+    out = np.zeros(SHAPE, np.float32)
     n, chars = len(words), len(text)
     if not n:
         out[0] = 1
@@ -77,10 +102,20 @@ def features(text: str | None) -> np.ndarray:
 
 
 def expanded(x: np.ndarray) -> np.ndarray:
-    """The features, and the square roots of the shares, which tell none from a few."""
+    """The features, and the square roots of the shape's shares, which tell none from a few."""
     return np.concatenate([x, np.sqrt(np.maximum(x[:, 3:21], 0))], 1)
 
 
+WIDTH = FEATURES + 18
+
+
+def weighed(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Expanded features as the model takes them: standardised, without outliers, bins scaled down."""
+    z = np.clip((x - mean) / scale, -8, 8)
+    z[:, SHAPE:FEATURES] *= BIN_SCALE
+    return z
+
+
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray
@@ -90,7 +125,7 @@ class QualityModel:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((expanded(x) - self.mean) / self.scale, -8, 8) @ self.weight + self.bias
+        z = (weighed(expanded(x), self.mean, self.scale) @ self.weight).astype(float) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -103,12 +138,14 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, decay: floa
     """Adam on the non-negative risk; where the unlabelled part is negative, that part is climbed back."""
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    p, u = (np.concatenate([x, np.ones((len(x), 1))], 1) for x in (p, u))
+    p, u = (np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1) for x in (p, u))
+    # products in the features' own precision, sums and steps in double
+    slope = lambda x, r: (x.T @ r.astype(x.dtype)).astype(float) / len(x)
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
+        zp, zu = ((x @ w.astype(x.dtype)).astype(float) for x in (p, u))
         unlabelled = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        part = u.T @ _risk_gradient(zu, 0) / len(u) - prior * (p.T @ _risk_gradient(zp, 0)) / len(p)
-        g = prior * (p.T @ _risk_gradient(zp, 1)) / len(p) + part if unlabelled >= 0 else -part
+        part = slope(u, _risk_gradient(zu, 0)) - prior * slope(p, _risk_gradient(zp, 0))
+        g = prior * slope(p, _risk_gradient(zp, 1)) + part if unlabelled >= 0 else -part
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -129,13 +166,13 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> QualityModel:
     """Fit from rows of ``features``; with no rows of a kind, a model that calls everything good."""
-    width = FEATURES + 18
     if not len(positive) or not len(unlabelled):
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 2.0, 1.0)
+        return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 2.0, 1.0)
     p, u = expanded(positive), expanded(unlabelled)
     both = np.concatenate([p, u])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
+    mean, scale = both.mean(0, dtype=float).astype(both.dtype), both.std(0, dtype=float).astype(both.dtype) + np.float32(1e-3)
+    del both
+    p, u = (weighed(x, mean, scale) for x in (p, u))
     decay = 1e-3 + 4 / min(len(p), len(u))  # few rows bear a plain model only
     scored = []
     for side in (0, 1) if min(len(p), len(u)) > 1 else ():  # each half is scored by a model of the other
@@ -147,12 +184,12 @@ def train_model(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400)
 
 
 def _featured(rows: DataFrame, schema: str, keep: int) -> DataFrame:
-    """``rows`` with its last column, the text, replaced by the features."""
+    """``rows`` with its last column, the text, replaced by the features as 32-bit numbers, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_turn(batches):
-            x = [features(t.as_py()) for t in batch.column(keep)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names[:keep], "x"])
+            x = [features(t.as_py()).astype("<f4").tobytes() for t in batch.column(keep)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(x, pa.binary())], [*batch.schema.names[:keep], "x"])
 
     return rows.mapInArrow(run, schema)
 
@@ -171,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     keys = ids.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).select(F.col("_id").alias("_key"), F.col("_label").isNotNull().alias("good"))
     # about 2 * rows keys, so they go to the texts and not the texts to them
     chosen = drawn.join(F.broadcast(keys.distinct()), F.col("_id") == F.col("_key")).select("good", "_text")
-    got = _featured(chosen, "good boolean, x array<double>", 1).collect()
-    part = lambda kind: np.array([r["x"] for r in got if r["good"] is kind]).reshape(-1, FEATURES)
+    got = _featured(chosen, "good boolean, x binary", 1).collect()
+    part = lambda kind: np.frombuffer(b"".join(r["x"] for r in got if r["good"] is kind), "<f4").reshape(-1, FEATURES)
     return train_model(part(True), part(False))
 
 
@@ -190,7 +227,8 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_turn(batches):
             if batch.num_rows:
-                found = model.score(np.array([features(t.as_py()) for t in batch.column(at)]))
+                texts = batch.column(at)
+                found = np.concatenate([model.score(np.array([features(t.as_py()) for t in texts.slice(a, SLICE)])) for a in range(0, len(texts), SLICE)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
