@@ -15,7 +15,7 @@ from tallyframe.llm.packing import pack_documents
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker's encoder remembers: fewer than alone, as the workers of all stages share an executor's memory.
-TOKEN_CACHE = 150_000
+TOKEN_CACHE = 80_000
 #: A main language that explains less than this of a text is no decision. A mixture of the four languages has one of 0.25 or more.
 LEAST_LANGUAGE_SCORE = 0.2
 
