@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +76,30 @@ def test_chosen_languages_have_the_best_penalised_likelihood():
         assert best[tuple(sorted(got))] >= max(best.values()) - 0.5 and abs(share.sum() - 1) < 1e-6
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab", "Das Wort das wort %%% é日", "x " * 300])
+def test_bins_of_words_and_trigrams(text):
+    words, grams = np.zeros(quality.WORD_BINS), np.zeros(quality.GRAM_BINS)
+    for w in text.split():
+        words[zlib.crc32(w.lower().encode()) % quality.WORD_BINS] += 1
+    raw = text.encode()
+    for i in range(len(raw) - 2):
+        grams[(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32) >> 24] += 1
+    want = np.concatenate([np.sqrt(x / max(1, x.sum())) for x in (words, grams)])
+    assert np.allclose(quality.features(text)[quality.SHAPE :], want, atol=1e-6)
+
+
+def test_words_tell_what_the_shape_does_not():
+    """Texts of one shape, good and bad by their words alone."""
+    r = np.random.default_rng(5)
+    make = lambda names: " ".join(r.choice(names, 60))
+    good, bad = [f"{a}olan" for a in "bcdfghjk"], [f"{a}urim" for a in "bcdfghjk"]
+    p = np.array([quality.features(make(good)) for _ in range(400)])
+    u = np.array([quality.features(make(good if r.random() < 0.5 else bad)) for _ in range(800)])
+    model = quality.train_model(p, u)
+    score = lambda names: model.score(np.array([quality.features(make(names)) for _ in range(100)]))
+    assert (score(good) >= 0.3).mean() > 0.97 and (score(bad) < 0.3).mean() > 0.97 and abs(model.prior - 0.5) < 0.1
+
+
 def test_quality_of_odd_texts(spark):
     docs, labels = table(spark, SF2, "documents"), table(spark, SF2, "labels")
     model = quality.fit(docs, labels, ~held_out())
