@@ -83,7 +83,8 @@ def proportions(counts: np.ndarray, probability: np.ndarray, close: float = 0.25
     """Mixture proportions by expectation-maximisation, and the log-likelihood.
 
     The likelihood is concave in the proportions, so its steepest slope towards a column bounds what is left to
-    gain; rounds end when that is at most ``close``.
+    gain; rounds end when that is at most ``close``, or after ``rounds``: then the proportions are those of the last
+    round, whose likelihood is no lower than any before.
     """
     k = probability.shape[1]
     pi, total = np.full(k, 1 / k), counts.sum()

@@ -132,7 +132,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTI
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION, cache: int = CACHE) -> DataFrame:
     """Encode whole documents, end each with ``end_id``, and pack them into sequences of ``capacity``.
 
-    Only documents longer than a sequence are cut. Null texts count as empty; other columns are dropped.
+    Only documents longer than a sequence are cut. Null texts count as empty and give the end id alone. Rows with a
+    null id and repeated rows are packed like others; an empty table gives no pieces; other columns are dropped.
     """
     pieces = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, cache), "pieces")
     return pack_pieces(pieces, capacity, per_partition)

@@ -76,8 +76,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     of queries goes once to each block of candidates, and only the best k of a block pair leave it.
 
     Returns ``query_id``, ``rank`` from 1, ``id_col`` and ``score``; ties go to the smaller id. Rows with a
-    null id, a null vector, or a component that is null or not finite take no part. Missing components of
-    shorter vectors count as 0. Repeated rows of an id are one candidate each, and none of them is a
+    null id, a null vector, or a component that is null or not finite take no part, and neither do vectors without
+    components. Scores are 64-bit integers: components must be so small that no sum of products passes 2^63.
+    Missing components of shorter vectors count as 0. Repeated rows of an id are one candidate each, and none of them is a
     neighbour of its own id; a repeated query is asked once. Empty tables give an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vector_col)).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
