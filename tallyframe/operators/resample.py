@@ -1,8 +1,8 @@
 """Resampling with draws that a hash decides, so that any engine repeats them.
 
 Replicate b of a task with n items takes, in slot j, the item that a hash of (seed, task, b, j) names; one SHA-256
-serves eight slots. Draws are shared by all models of a task, which pairs the comparisons. ``draws.weighted_sums`` brings
-draws and items together, so no replicate is ever scored row by row.
+serves eight slots. Draws are shared by all models of a task, which pairs the comparisons. ``codes.replicate_counts``
+counts patterns of answers where draws are made, ``draws.weighted_sums`` brings draws and values together, so no replicate is ever scored row by row.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .codes import replicate_counts
 from .draws import SLOTS, weighted_sums
 from .numbering import placed
 
@@ -46,13 +47,11 @@ def label_replicates(decisions: DataFrame, labels: DataFrame, iterations: int, s
 
     Items have a place in their task by id. Labels that don't count are one, so there are no more sums than pairs of labels.
     """
-    places = placed(decisions.select("task", "id").distinct(), ["id"], by=["task"])
     names = F.broadcast(labels.select("task", "label").distinct().withColumn("_known", F.col("label")))
-    rows = decisions.select("task", "id", "model", "gold", "pred").join(places, ["task", "id"])
+    rows = decisions.select("task", "id", "model", "gold", "pred")
     for side in ("gold", "pred"):
         rows = rows.join(names.withColumnRenamed("label", side), ["task", side], "left").drop(side).withColumnRenamed("_known", side)
-    sizes = places.groupBy("task").agg(F.count("*").alias("n"))
-    cells = weighted_sums(rows, sizes, iterations, seed, "task", "pos", ["model", "gold", "pred"], {"w": F.lit(1.0)})
+    cells = replicate_counts(rows, iterations, seed, "task", "id", ["model", "gold", "pred"])
     right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
     side = lambda label, g, p, tp: F.struct(label.alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), tp.cast("int").alias("tp"))
     rows = cells.select("task", "model", "b", "w", F.inline(F.array(side(F.col("gold"), F.lit(1), right, right), side(F.col("pred"), F.lit(0), ~right, F.lit(0)))))
