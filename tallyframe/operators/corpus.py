@@ -162,9 +162,18 @@ def majority_of_three(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return (n >= 2).cast("int"), n.isin(0, 3)
 
 
-def pairs_under_both(rows: DataFrame, entity: str, condition: str, value: str) -> DataFrame:
-    """Entities seen under both conditions, with the mean of each (rounded half to even) and their difference."""
-    out = rows.groupBy(entity).agg(F.countDistinct(condition).alias("_c"), F.avg(F.when(F.col(condition), F.col(value))).alias("shown"), F.avg(F.when(~F.col(condition), F.col(value))).alias("hidden")).filter("_c = 2")
+def pairs_under_both(rows: DataFrame, entity: str, condition: str, value: str, order: str | None = None) -> DataFrame:
+    """Entities seen under both conditions, with the mean of each (rounded half to even) and their difference.
+
+    With ``order``, doubles are added up in that order, so that means next to a half are rounded alike however rows are dealt out.
+    """
+    side = lambda want: F.col(condition) if want else ~F.col(condition)
+    mean = lambda want: F.avg(F.when(side(want), F.col(value)))
+    if order:
+        upto = W.partitionBy(entity, condition).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("_upto", F.sum(value).over(upto))
+        mean = lambda want: F.max_by(F.when(side(want), F.col("_upto")), F.when(side(want), F.col(order))) / F.count(F.when(side(want), F.col(value)))
+    out = rows.groupBy(entity).agg(F.countDistinct(condition).alias("_c"), mean(True).alias("shown"), mean(False).alias("hidden")).filter("_c = 2")
     return out.select(entity, F.bround("shown", 0).alias("shown"), F.bround("hidden", 0).alias("hidden"), (F.col("shown") - F.col("hidden")).alias("effect"))
 
 
