@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .corpus import digest_order, top_per_key
 from .resample import hash_draw
 
@@ -276,40 +277,57 @@ def _arrow() -> pa.Schema:
 def predict_out_of_fold(texts: DataFrame, models: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every row under all models of its fold: ``key, task, label_field, fold, size, pred``. ``texts`` has ``fold``.
 
-    All models together are broadcast: at most one for each task, label field, fold and size, each of no more than ``2 ** BITS`` features,
-    however many rows there are.
+    Rows are dealt out by fold and split, and each split gets the models of its fold before its rows: at most one for each task, label field and
+    size, each of no more than ``2 ** BITS`` features, however many rows there are. No model reaches the driver.
     """
-    known: dict[int, list] = {}
-    for m in models.orderBy(*FIT).collect():
-        n = len(m.columns)
-        arrays = np.array(m.columns, np.int64), np.array(m.idf), np.array(m.weights).reshape(n, -1).astype(np.float32) if n else None, np.array(m.intercepts)
-        known.setdefault(m.fold, []).append((m.task, m.label_field, m["size"], m.classes, *arrays))
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    splits = -(-2 * texts.sparkSession.sparkContext.defaultParallelism // FOLDS)
     kind = texts.schema[key].dataType
+    parts = {"columns": F.col("columns"), "idf": F.col("idf"), "weights": F.col("weights").cast("array<float>"), "intercepts": F.col("intercepts")}
+    fits = written(models, "models").select("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_split"), F.lit(0).alias("_order"), F.struct("task", "label_field", "size", "classes", *(c.alias(n) for n, c in parts.items())).alias("_model"))
+    rows = texts.filter("fold IS NOT NULL").select("fold", F.pmod(F.xxhash64(key), F.lit(splits)).cast("int").alias("_split"), F.lit(1).alias("_order"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    both = rows.unionByName(fits, allowMissingColumns=True)
+    both = both.repartitionById(FOLDS * splits, F.pmod(F.col("fold") * splits + F.col("_split"), F.lit(FOLDS * splits))).sortWithinPartitions("fold", "_split", "_order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, found = None, []
         for batch in batches:
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            for f, found in shared.value.items():
-                mine = np.flatnonzero(fold == f)
-                for start in range(0, len(mine), 500):
-                    at = pa.array(mine[start : start + 500])
-                    counts = features(batch.column("_text").take(at).to_pylist())
-                    keys = batch.column("_key").take(at)
-                    for task, field, size, classes, columns, idf, weights, intercepts in found:
-                        score = np.tile(intercepts, (counts.rows, 1))
-                        if len(columns):
-                            row, place, x = tfidf(counts, columns, idf)
-                            score += np.stack([np.bincount(row, x * weights[place, k], counts.rows) for k in range(weights.shape[1])], 1)
-                        pred = [classes[i] for i in chosen(score)] if len(classes) > 1 else classes * counts.rows
-                        fixed = [pa.array([v] * counts.rows, t) for v, t in ((task, pa.string()), (field, pa.string()), (f, pa.int32()), (size, pa.int32()))]
-                        yield pa.RecordBatch.from_arrays([keys, *fixed, pa.array(pred, pa.string())], ["_key", *FIT, "pred"])
-
-    rows = texts.select(F.col(key).alias("_key"), "fold", F.col(text).alias("_text"))
-    out = rows.mapInArrow(run, f"_key {kind.simpleString()}, task string, label_field string, fold int, size int, pred string")
+            fold, split, order = (batch.column(c).to_numpy() for c in ("fold", "_split", "_order"))
+            cuts = [0, *(np.flatnonzero((np.diff(fold) != 0) | (np.diff(split) != 0)) + 1).tolist(), len(fold)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if place != (fold[start], split[start]):
+                    place, found = (fold[start], split[start]), []
+                first = start + int(np.searchsorted(order[start:end], 1))
+                found += [_loaded(batch.column("_model"), i) for i in range(start, first)]
+                for at in range(first, end, 500):
+                    few = slice(at, min(at + 500, end))
+                    counts = features(batch.column("_text")[few].to_pylist())
+                    for model in found:
+                        yield _predicted(batch.column("_key")[few], int(fold[start]), counts, *model)
+
+    out = both.mapInArrow(run, f"_key {kind.simpleString()}, task string, label_field string, fold int, size int, pred string")
     return out.withColumnRenamed("_key", key)
 
 
+def _loaded(models: pa.StructArray, i: int) -> tuple:
+    """A model of a batch, in arrays of its own."""
+    task, field, size, classes = (models.field(c)[i].as_py() for c in ("task", "label_field", "size", "classes"))
+    columns, idf, weights, intercepts = (np.array(models.field(c)[i].values.to_numpy(zero_copy_only=False)) for c in ("columns", "idf", "weights", "intercepts"))
+    n = len(columns)
+    return task, field, size, classes, columns.astype(np.int64), idf, weights.reshape(n, -1) if n else None, intercepts
+
+
+def _predicted(keys: pa.Array, fold: int, counts: Counts, task: str, field: str, size: int, classes: list[str], columns: np.ndarray, idf: np.ndarray, weights: np.ndarray | None, intercepts: np.ndarray) -> pa.RecordBatch:
+    score = np.tile(intercepts, (counts.rows, 1))
+    if len(columns):
+        row, place, x = tfidf(counts, columns, idf)
+        score += np.stack([np.bincount(row, x * weights[place, k], counts.rows) for k in range(weights.shape[1])], 1)
+    pred = [classes[i] for i in chosen(score)] if len(classes) > 1 else classes * counts.rows
+    fixed = [pa.array([v] * counts.rows, t) for v, t in ((task, pa.string()), (field, pa.string()), (fold, pa.int32()), (size, pa.int32()))]
+    return pa.RecordBatch.from_arrays([keys, *fixed, pa.array(pred, pa.string())], ["_key", *FIT, "pred"])
+
+
 def crossover(curve: DataFrame, size: str, score: str, reference: Column, by: Sequence[str]) -> DataFrame:
     """The smallest size whose mean score over folds reaches the reference; null where none does."""
     means = curve.groupBy(*by, size).agg(F.avg(score).alias("_m"), F.max(reference).alias("_r"))
