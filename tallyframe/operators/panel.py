@@ -25,20 +25,24 @@ def absorbed(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], kee
     """``groups``, ``keep`` and ``columns`` as doubles, less the effects of all groups: what least squares on one dummy for each level leaves.
 
     By alternating projections: each round sets the effects of one group after the other to the means of what the
-    others leave, until no effect changes by more than ``close`` times the largest effect or value. Only effects, one row for each level,
-    go from round to round. Rows with a null group or column must be filtered before. Raises if ``rounds`` don't suffice.
+    others leave, until no effect changes by more than ``close`` times the largest effect or value. Effects, one row for each level, go from
+    round to round and meet cells, one row with sizes and means for each combination of levels; the rows themselves move only at the end. Rows with a null group or column must be filtered before. Raises if ``rounds`` don't suffice.
     """
     numbered = {str(i): g for i, g in enumerate(groups)}
     rows = rows.select(*(F.col(g).alias(f"_{i}") for i, g in numbered.items()), *(F.col(k).alias(f"_k{j}") for j, k in enumerate(keep)), *(F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(columns)))
     rows = written(rows, "panel")
     names = [f"v{j}" for j in range(len(columns))]
     scale = rows.agg(F.max(F.greatest(F.lit(1e-300), *(F.abs(c) for c in names), *([F.lit(0.0)] if len(names) == 1 else [])))).first()[0] or 1.0
+    keys = [f"_{i}" for i in numbered]
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.avg(c).alias(c) for c in names))
+    cells = written(cells.repartitionByRange(*keys).sortWithinPartitions(*keys), "cells")  # a level's cells lie together, a large level's in several tasks
+    mean = lambda c: (F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(c)
     effects: dict[str, DataFrame] = {}
     for _ in range(rounds):
         change = 0.0
         for i in numbered:
             others = {k: v for k, v in effects.items() if k != i}
-            new = written(_less_effects(rows, others, names).groupBy(f"_{i}").agg(*(F.avg(c).alias(c) for c in names)), "effects")
+            new = written(_less_effects(cells, others, names).groupBy(f"_{i}").agg(*map(mean, names)), "effects")
             if i in effects:
                 old = effects[i].select(f"_{i}", *(F.col(c).alias(f"_o{c}") for c in names))
                 gap = F.greatest(*(F.abs(F.col(c) - F.col(f"_o{c}")) for c in names), F.lit(0.0))
