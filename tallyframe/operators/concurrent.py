@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from .inference import ANSWER, Client
 
 
+#: Requests of a task where the number of tasks is not given.
+SHARE = 100_000
+
+
 class Retryable(Exception):
     """Raised by a client for a failure that may pass; ``wait`` is the provider's own advice in seconds."""
 
@@ -53,14 +57,18 @@ def _call(client: Client, pace: Pace, tries: int, first_wait: float, model: str,
     return None, time.perf_counter() - began, error
 
 
-def answer_concurrently(requests: DataFrame, make_client: Callable[[], Client], system: str = "", open_calls: int = 8, tries: int = 4, first_wait: float = 0.5, calls_per_second: float | None = None, tasks: int = 8) -> DataFrame:
+def answer_concurrently(requests: DataFrame, make_client: Callable[[], Client], system: str = "", open_calls: int = 8, tries: int = 4, first_wait: float = 0.5, calls_per_second: float | None = None, tasks: int | None = None) -> DataFrame:
     """As ``inference.answer``, with up to ``open_calls`` calls of each of ``tasks`` tasks open at once.
 
+    Without ``tasks``, requests are counted, and there are as many tasks as cores, or more so that none has many more than ``SHARE`` requests.
+
     Requests are dealt to ``tasks`` tasks, and each starts calls at its share of ``calls_per_second``, repeats included: however few or many of
     them run together, all of them stay within it. A task has at most ``open_calls`` requests in memory beside its batch, and
     gives their answers in the order of the requests. A request that fails for good is a row with its error. The client must
     allow calls from several threads; a task that is run again calls again.
     """
+    if tasks is None:
+        tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // SHARE))
     rows = requests.select("task", "model", "item_id", "user_content").repartition(tasks, "task", "model", "item_id")
     names = [c.split()[0] for c in ANSWER.split(", ")]
     share = calls_per_second / tasks if calls_per_second else None

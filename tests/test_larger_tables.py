@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import corpus as c
+from tallyframe.operators import concurrent, panel
 from tallyframe.operators import learning as s
 from tallyframe.plans import catalog
 
@@ -61,3 +62,23 @@ def test_means_next_to_a_half_do_not_depend_on_partitions(spark, tmp_path):
         want.append(sums[0] / n[0] - sums[1] / n[1])
     for dealt in (events.coalesce(1), events.repartition(7), events.repartition(3, "value")):
         assert [r[3] for r in pair(dealt)] == want
+
+
+def test_tasks_of_calls_grow_with_the_requests(spark, monkeypatch):
+    monkeypatch.setattr(concurrent, "SHARE", 10)
+    requests = spark.range(95).selectExpr("'t' AS task", "'m' AS model", "cast(id AS string) AS item_id", "cast(id AS string) AS user_content")
+    found = concurrent.answer_concurrently(requests, lambda: lambda model, system, text: text)
+    assert found.rdd.getNumPartitions() == 10 and {(r.item_id, r.raw_content) for r in found.collect()} == {(str(i), str(i)) for i in range(95)}
+
+
+def test_rounds_of_effects_see_cells(spark, monkeypatch):
+    seen, plain = [], panel._less_effects
+
+    def counted(rows, effects, columns):
+        seen.append(rows.count())
+        return plain(rows, effects, columns)
+
+    monkeypatch.setattr(panel, "_less_effects", counted)
+    df = spark.range(400).selectExpr("id % 3 AS a", "id % 4 AS b", "id * 37 % 101 AS y")
+    assert panel.absorbed(df, ["a", "b"], ["y"]).count() == 400
+    assert set(seen[:-1]) == {12} and seen[-1] == 400
