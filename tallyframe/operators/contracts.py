@@ -130,16 +130,18 @@ def audited(raw: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
 def broken_cells(rows: DataFrame, panel: DataFrame, panel_hash: str, models: DataFrame | None = None) -> DataFrame:
     """Cells of a checkpoint (``task, model, item_id, panel_hash``) that don't hold exactly the panel's items (``task, item_id``).
 
-    With ``models``, a cell of a model and a task of the panel that has no row at all is broken too.
+    With ``models``, a cell of a model and a task of the panel that has no row at all is broken too. Rows and panel that are dealt by
+    ``item_id`` and ``task`` (``reshape.dealt``) aren't moved again.
     """
-    cells = rows.groupBy("task", "model").agg(F.count("*").alias("rows"), F.bool_and(F.col("panel_hash") == panel_hash).alias("same_panel"))
+    known = panel.select("task", "item_id").distinct().withColumn("_known", F.lit(True))
+    item = rows.join(known, ["item_id", "task"], "left").groupBy("task", "model", "item_id")
+    item = item.agg(F.count("*").alias("_n"), F.bool_and(F.col("panel_hash") == panel_hash).alias("_same"), F.bool_or("_known").alias("_known"))
+    cells = item.groupBy("task", "model").agg(F.sum("_n").alias("rows"), F.bool_and("_same").alias("same_panel"), F.count_if("_known").alias("matched"))
     sizes = panel.groupBy("task").agg(F.count("*").alias("panel"))
     if models is not None:
         due = sizes.select("task").crossJoin(F.broadcast(models.select("model").distinct()))  # tasks by models
         cells = due.join(cells, ["task", "model"], "full")
-    known = rows.join(panel.select("task", "item_id"), ["task", "item_id"], "left_semi")
-    matched = known.select("task", "model", "item_id").distinct().groupBy("task", "model").agg(F.count("*").alias("matched"))
-    out = cells.join(matched, ["task", "model"], "left").join(F.broadcast(sizes), "task", "left").fillna(0, ["rows", "matched", "panel"]).fillna(False, ["same_panel"])
+    out = cells.join(F.broadcast(sizes), "task", "left").fillna(0, ["rows", "matched", "panel"]).fillna(False, ["same_panel"])
     return out.filter("NOT same_panel OR rows <> panel OR matched <> panel").select("task", "model", "rows", "matched", "panel", "same_panel")
 
 

@@ -1,4 +1,4 @@
-"""Long to wide and back."""
+"""Long to wide and back; rows dealt to tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a task where rows are dealt by key.
+SHARE = 100_000
+
+
+def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of equal ``by`` in one task, in as many tasks as cores, or more so that none has many more than ``SHARE`` rows.
+
+    Joins and groupings by these columns and others need no further exchange, also after rows were added to each one.
+    Rows are counted first.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARE))
+    return rows.repartition(tasks, *by)
+
 
 def score_matrix(rows: DataFrame, index: str, columns: str, value: str, names: Sequence[str]) -> DataFrame:
     """One column for each name; naming them saves a pass over the data."""

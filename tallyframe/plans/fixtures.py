@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reshape import dealt
+
 MODELS = 5
 #: The order of each task in the rules, its kind, and its labels by position.
 TASKS = {"toxic": (1, "binary"), "quality": (2, "binary"), "lang": (3, "categorical"), "priority": (4, "categorical"), "size": (5, "score")}
@@ -66,9 +68,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def items_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items with ``item_id``, dealt by item before any model answers them."""
+    return dealt(items(spark, sf_dir).withColumn("item_id", F.col("id").cast("string")), ["item_id", "task"])
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (task, model, item): the answers of five models to every item."""
-    rows = items(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MODELS))))
+    return answers(items(spark, sf_dir).withColumn("item_id", F.col("id").cast("string")))
+
+
+def answers(items: DataFrame) -> DataFrame:
+    """The answers of five models to items; how items were dealt stays."""
+    rows = items.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MODELS))))
     k = F.col("k")
     failed = F.pmod(F.col("id") * 7 + k * 13, F.when(k == 5, 17).otherwise(29)) == 0
     void = (F.col("task") == "size") & (F.pmod(F.col("id") * 7 + k * 13, F.lit(31)) == 0)
@@ -85,7 +97,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kind",
         F.concat(F.lit("m"), k.cast("string")).alias("model"),
         F.lit(1).alias("batch_size"),
-        F.col("id").cast("string").alias("item_id"),
+        "item_id",
         F.col("task").alias("label_field"),
         "gold",
         "pred",

@@ -1,15 +1,19 @@
 """What differed from SQL or outgrew a process on larger tables."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import corpus as c
 from tallyframe.operators import concurrent, panel
+from tallyframe.operators import contracts as q
 from tallyframe.operators import learning as s
+from tallyframe.operators import reshape
 from tallyframe.plans import catalog
 
-from .compare import rows
+from .compare import SF, database, rows
 
 
 def both(spark, folder, name, **tables):
@@ -82,3 +86,26 @@ def test_rounds_of_effects_see_cells(spark, monkeypatch):
     df = spark.range(400).selectExpr("id % 3 AS a", "id % 4 AS b", "id * 37 % 101 AS y")
     assert panel.absorbed(df, ["a", "b"], ["y"]).count() == 400
     assert set(seen[:-1]) == {12} and seen[-1] == 400
+
+
+def exchanges(df):
+    """Keys and tasks of the exchanges by hash that a plan makes."""
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    return {(tuple(re.sub(r"#\d+L?", "", key).split(", ")), int(tasks)) for key, tasks in found}
+
+
+@pytest.mark.parametrize("name", ["checkpoint_cells"])
+def test_answers_are_dealt_by_item_to_tasks_that_grow(spark, monkeypatch, name):
+    monkeypatch.setattr(reshape, "SHARE", 50)
+    df, duck = catalog.QUERIES[name](spark, SF), database()
+    by_item = {(key, tasks) for key, tasks in exchanges(df) if "item_id" in key}
+    assert len(by_item) == 1 and by_item.pop()[1] > 40  # the items, and nothing for each answer
+    assert rows(df.toPandas()) == rows(duck.sql(catalog.ORACLE_SQL[name]).df())
+
+
+def test_cells_count_repeated_and_strange_rows_in_one_pass(spark):
+    panel = spark.createDataFrame([("t", "a"), ("t", "b"), (None, "c")], "task string, item_id string")
+    have = [("t", "m", "a", "h"), ("t", "m", "a", "h"), ("t", "n", "a", None), ("t", "n", "b", "h"), ("t", "o", "b", None), ("t", "o", None, "h"), (None, "m", "c", "h")]
+    df = spark.createDataFrame(have, "task string, model string, item_id string, panel_hash string")
+    got = {(r.task, r.model): (r.rows, r.matched, r.panel, r.same_panel) for r in q.broken_cells(df, panel, "h").collect()}
+    assert got == {("t", "m"): (2, 1, 2, True), ("t", "o"): (2, 1, 2, True), (None, "m"): (1, 0, 0, True)}
