@@ -10,8 +10,9 @@ from tallyframe.operators import corpus as c
 from tallyframe.operators import concurrent, panel
 from tallyframe.operators import contracts as q
 from tallyframe.operators import learning as s
+from tallyframe.operators import metrics as m
 from tallyframe.operators import reshape
-from tallyframe.plans import catalog
+from tallyframe.plans import catalog, fixtures
 
 from .compare import SF, database, rows
 
@@ -109,3 +110,23 @@ def test_cells_count_repeated_and_strange_rows_in_one_pass(spark):
     df = spark.createDataFrame(have, "task string, model string, item_id string, panel_hash string")
     got = {(r.task, r.model): (r.rows, r.matched, r.panel, r.same_panel) for r in q.broken_cells(df, panel, "h").collect()}
     assert got == {("t", "m"): (2, 1, 2, True), ("t", "o"): (2, 1, 2, True), (None, "m"): (1, 0, 0, True)}
+
+
+def test_metrics_of_counted_pairs_are_those_of_the_rows(spark):
+    dec, labels = fixtures.decisions(spark, SF), fixtures.label_def(spark)
+    pairs = m.label_pairs(dec)
+    assert pairs.count() < dec.count() / 3 and pairs.agg(F.sum("n")).first()[0] == dec.filter("kind <> 'score'").count()
+    for policy in ("drop", "wrong"):
+        one, many = m.with_policy(pairs, policy), m.with_policy(dec, policy)
+        for counted, plain in (
+            (m.headline_f1(one, labels, weight="n"), m.headline_f1(many, labels)),
+            (m.accuracy(one, "n"), m.accuracy(many)),
+            (m.mcc(one, weight="n"), m.mcc(many)),
+            (m.ordinal_metrics(one, labels, "n"), m.ordinal_metrics(many, labels)),
+        ):
+            assert rows(counted.toPandas()) == rows(plain.toPandas())
+
+
+def test_summary_reads_the_answers_a_few_times(spark):
+    scans = catalog.QUERIES["summary_report"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("/labels.parquet")
+    assert scans <= 8  # two tasks of labels, each counted, timed and listed
