@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +34,23 @@ def unfinished(expected: DataFrame, done: DataFrame, key: Sequence[str]) -> Data
     return expected.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def reusable_keys(expected: DataFrame, done: DataFrame, key: Sequence[str], usable: Column) -> DataFrame:
+    """The keys of ``expected``, each once, and whether ``done`` has a usable row of it (``reusable``); a key with a null has none.
+
+    One grouping of both, without a join. Frames that are dealt alike by some of the key (``reshape.dealt``) aren't moved again.
+    """
+    whole = functools.reduce(Column.__and__, (F.col(k).isNotNull() for k in key))
+    due = expected.select(*key, F.lit(True).alias("_due"), F.lit(False).alias("_ready"))
+    ready = done.filter(usable & whole).select(*key, F.lit(False).alias("_due"), F.lit(True).alias("_ready"))
+    both = due.unionAll(ready).groupBy(*key).agg(F.bool_or("_due").alias("_due"), F.bool_or("_ready").alias("reusable"))
+    return both.filter("_due").select(*key, "reusable")
+
+
 def split_reusable(expected: DataFrame, done: DataFrame, key: Sequence[str], usable: Column) -> tuple[DataFrame, DataFrame]:
     """What is done already and may be used again, and the keys that must still be made; together they are ``expected``, each key once."""
     keys = expected.select(*key).distinct()
     kept = done.filter(usable).dropDuplicates(list(key)).join(keys, list(key), "left_semi")
-    return kept, keys.join(kept.select(*key), list(key), "left_anti")
+    return kept, reusable_keys(expected, done, key, usable).filter("NOT reusable").select(*key)
 
 
 def complete_cells(rows: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyframe.operators import concurrent, panel
 from tallyframe.operators import contracts as q
 from tallyframe.operators import learning as s
 from tallyframe.operators import metrics as m
-from tallyframe.operators import reshape
+from tallyframe.operators import reshape, state
 from tallyframe.plans import catalog, fixtures
 
 from .compare import SF, database, rows
@@ -95,7 +95,7 @@ def exchanges(df):
     return {(tuple(re.sub(r"#\d+L?", "", key).split(", ")), int(tasks)) for key, tasks in found}
 
 
-@pytest.mark.parametrize("name", ["checkpoint_cells"])
+@pytest.mark.parametrize("name", ["checkpoint_cells", "reusable_answers"])
 def test_answers_are_dealt_by_item_to_tasks_that_grow(spark, monkeypatch, name):
     monkeypatch.setattr(reshape, "SHARE", 50)
     df, duck = catalog.QUERIES[name](spark, SF), database()
@@ -130,3 +130,10 @@ def test_metrics_of_counted_pairs_are_those_of_the_rows(spark):
 def test_summary_reads_the_answers_a_few_times(spark):
     scans = catalog.QUERIES["summary_report"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("/labels.parquet")
     assert scans <= 8  # two tasks of labels, each counted, timed and listed
+
+
+def test_reusable_keys_with_repeats_and_nulls(spark):
+    expected = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 1), (None, 1)], "k string, j int")
+    done = spark.createDataFrame([("a", 1, None), ("a", 1, "e"), ("b", 1, "e"), ("d", 1, None), (None, 1, None)], "k string, j int, e string")
+    found = state.reusable_keys(expected, done, ["k", "j"], F.col("e").isNull())
+    assert set(map(tuple, found.collect())) == {("a", 1, True), ("b", 1, False), ("c", 1, False), (None, 1, False)} and "Join" not in found._jdf.queryExecution().executedPlan().toString()
