@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .operators import cost as h
@@ -42,10 +45,16 @@ def summarize(decisions: DataFrame, label_def: DataFrame, models: DataFrame, on_
 
 
 def batch_agreement(decisions: DataFrame) -> DataFrame:
-    """Share of items on which each batch size answers as single calls do; 1 for single calls, null without pairs."""
-    one = decisions.filter("batch_size = 1").select("task", "model", "item_id", "label_field", F.col("pred").alias("_one"))
-    rows = decisions.join(one, ["task", "model", "item_id", "label_field"], "left")
-    same = F.when(F.col("pred").isNotNull() & F.col("_one").isNotNull(), (F.col("pred") == F.col("_one")).cast("double"))
+    """Share of items on which each batch size answers as single calls do; 1 for single calls, null without pairs.
+
+    Rows meet in windows of an item's few answers to a field; those dealt by item and task (``reshape.dealt``) aren't moved again.
+    """
+    key = ["item_id", "task", "model", "label_field"]
+    single, alike = F.col("batch_size") == 1, W.partitionBy(*key)
+    ones = {"_low": F.min(F.when(single, F.col("pred"))), "_high": F.max(F.when(single, F.col("pred"))), "_void": F.count_if(single & F.col("pred").isNull())}
+    rows = decisions.withColumns({name: value.over(alike) for name, value in ones.items()})
+    paired = functools.reduce(Column.__and__, (F.col(c).isNotNull() for c in [*key, "pred", "_low"])) & (F.col("_void") == 0)
+    same = F.when(paired, ((F.col("pred") == F.col("_low")) & (F.col("pred") == F.col("_high"))).cast("double"))  # as all single calls, if several
     item = rows.groupBy("task", "model", "batch_size", "item_id").agg(F.when(F.count(same) == F.count("*"), F.min(same)).alias("_s"))
     out = item.groupBy("task", "model", "batch_size").agg(F.avg("_s").alias("agreement"), F.count("_s").alias("compared"))
     return out.withColumn("agreement", F.when(F.col("batch_size") == 1, 1.0).otherwise(F.col("agreement")))

@@ -16,7 +16,7 @@ from ..operators import reshape as r
 from ..operators import state as s
 from ..operators import trends as g
 from .comparing import META, SCORES, scores
-from .fixtures import LANGS, SQL_DECISIONS, SQL_LATENCY, SQL_MODELS, SQL_TASKS, decisions, label_def, latency, models, table, tasks
+from .fixtures import LANGS, SQL_DECISIONS, SQL_LATENCY, SQL_MODELS, SQL_TASKS, answers, decisions, items_apart, label_def, latency, models, table, tasks
 from .registry import query, rounded
 
 
@@ -244,7 +244,7 @@ def task_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT task, model, b AS batch_size, round(CASE WHEN b = 1 THEN 1 ELSE avg((p = one)::INT) END, 6) AS agreement, count(*) FILTER (p IS NOT NULL AND one IS NOT NULL) AS compared FROM x GROUP BY task, model, b""")
 def batch_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batched answers against single ones."""
-    dec = decisions(spark, sf_dir).filter("kind <> 'score'").drop("batch_size").withColumn("batch_size", F.explode(F.array(*map(F.lit, (1, 10, 20)))))
+    dec = answers(items_apart(spark, sf_dir)).filter("kind <> 'score'").drop("batch_size").withColumn("batch_size", F.explode(F.array(*map(F.lit, (1, 10, 20)))))
     b, k, id_ = F.col("batch_size"), F.col("k"), F.col("id")
     other = F.when((b > 1) & ((id_ * 13 + b + k) % 11 == 0), F.lit(None)).when((b > 1) & ((id_ * 5 + b + k) % 9 == 0), "other").otherwise(F.col("pred"))
     return rounded(api.batch_agreement(dec.withColumn("pred", other)))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import api
 from tallyframe.operators import corpus as c
 from tallyframe.operators import concurrent, panel
 from tallyframe.operators import contracts as q
@@ -95,7 +96,7 @@ def exchanges(df):
     return {(tuple(re.sub(r"#\d+L?", "", key).split(", ")), int(tasks)) for key, tasks in found}
 
 
-@pytest.mark.parametrize("name", ["checkpoint_cells", "reusable_answers"])
+@pytest.mark.parametrize("name", ["checkpoint_cells", "reusable_answers", "batch_agreement"])
 def test_answers_are_dealt_by_item_to_tasks_that_grow(spark, monkeypatch, name):
     monkeypatch.setattr(reshape, "SHARE", 50)
     df, duck = catalog.QUERIES[name](spark, SF), database()
@@ -137,3 +138,11 @@ def test_reusable_keys_with_repeats_and_nulls(spark):
     done = spark.createDataFrame([("a", 1, None), ("a", 1, "e"), ("b", 1, "e"), ("d", 1, None), (None, 1, None)], "k string, j int, e string")
     found = state.reusable_keys(expected, done, ["k", "j"], F.col("e").isNull())
     assert set(map(tuple, found.collect())) == {("a", 1, True), ("b", 1, False), ("c", 1, False), (None, 1, False)} and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batched_answers_against_several_single_ones(spark):
+    have = [(1, "a", "f", "x"), (1, "a", "f", "y"), (5, "a", "f", "x"), (1, "b", "f", "x"), (5, "b", "f", "x"), (1, "c", "f", None), (5, "c", "f", "x"), (5, "d", "f", "x"), (1, None, "f", "x"), (5, None, "f", "x"), (1, "e", "f", "x"), (1, "e", "g", "y"), (5, "e", "f", "x"), (5, "e", "g", "z")]
+    df = spark.createDataFrame(have, "batch_size int, item_id string, label_field string, pred string").selectExpr("'t' AS task", "'m' AS model", "*")
+    found = api.batch_agreement(df)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.batch_size: (round(r.agreement, 6), r.compared) for r in found.collect()} == {1: (1.0, 3), 5: (round(1 / 3, 6), 3)}
