@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 SHARE = 100_000
 
 
-def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows of equal ``by`` in one task, in as many tasks as cores, or more so that none has many more than ``SHARE`` rows.
+def dealt(rows: DataFrame, by: Sequence[str], share: int | None = None) -> DataFrame:
+    """Rows of equal ``by`` in one task, in as many tasks as cores, or more so that none has many more than ``share`` (``SHARE``) rows.
 
     Joins and groupings by these columns and others need no further exchange, also after rows were added to each one.
     Rows are counted first.
     """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARE))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (share or SHARE)))
     return rows.repartition(tasks, *by)
 
 

@@ -13,7 +13,7 @@ from ..operators.concurrent import Retryable, answer_concurrently
 from ..sources.archives import write_zips, zip_csv
 from ..sources.shared import new_folder
 from ..streaming.checkpoints import cell_progress, run_in_batches, saved_rows
-from .fixtures import SQL_DECISIONS, decisions, table
+from .fixtures import SQL_DECISIONS, answers, decisions, items_apart, table
 from .registry import query
 
 
@@ -22,8 +22,9 @@ def saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All answers, put down as files and saved batch by batch by a stream; how far each cell has come."""
     folder = new_folder(spark, "answers")
     rows = decisions(spark, sf_dir).select("task", "model", "item_id", "pred", "parse_error")
-    rows.repartition(6).write.parquet(f"{folder}/in")
-    work = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    answers(items_apart(spark, sf_dir)).select(*rows.columns).write.parquet(f"{folder}/in")
+    files = len(spark.read.parquet(f"{folder}/in").inputFiles())
+    work = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{folder}/in")  # three batches
     run_in_batches(work, f"{folder}/out").awaitTermination()
     return cell_progress(saved_rows(spark, f"{folder}/out", rows.schema), rows).drop("keys_sha256")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.reshape import SHARE, dealt
+
 BATCH = "batch_id"
 
 
@@ -42,10 +44,14 @@ def cell_progress(rows: DataFrame, panel: DataFrame, cell: tuple[str, ...] = ("t
     """How far each cell of the ``panel`` (cells and the keys that each must have) is: ``expected, saved, repeated, extra, complete, keys_sha256``.
 
     A cell is complete if it has exactly its keys, each once. The digest is of the saved keys in order, hashed one by one
-    and added up, so that a cell of any size is never gathered.
+    and added up, so that a cell of any size is never gathered. Keys of both sides are counted in one grouping, in tasks that grow
+    with them.
     """
-    have = rows.groupBy(*cell, key).agg(F.count("*").alias("_n"))
-    both = panel.select(*cell, key).distinct().withColumn("_due", F.lit(1)).join(have, [*cell, key], "full")
+    names = [key, *cell]
+    due = panel.select(*names, F.lit(1).alias("_d"), F.lit(0).alias("_s"))
+    seen = rows.select(*names, F.lit(0).alias("_d"), F.lit(1).alias("_s"))
+    sides = dealt(due.unionAll(seen), names, 10 * SHARE).groupBy(*names).agg(F.max("_d").alias("_d"), F.sum("_s").alias("_s"))
+    both = sides.select(*names, F.when(F.col("_d") == 1, 1).alias("_due"), F.when(F.col("_s") > 0, F.col("_s")).alias("_n"))
     number = lambda part: F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), part, 8), 16, 10).cast("long")
     sums = [F.sum(F.when(F.col("_n").isNotNull(), number(1 + 8 * i))).alias(f"_h{i}") for i in range(8)]
     out = both.groupBy(*cell).agg(

@@ -13,7 +13,8 @@ from tallyframe.operators import contracts as q
 from tallyframe.operators import learning as s
 from tallyframe.operators import metrics as m
 from tallyframe.operators import reshape, state
-from tallyframe.plans import catalog, fixtures
+from tallyframe.plans import catalog, fixtures, running_jobs
+from tallyframe.streaming import checkpoints
 
 from .compare import SF, database, rows
 
@@ -146,3 +147,20 @@ def test_batched_answers_against_several_single_ones(spark):
     found = api.batch_agreement(df)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.batch_size: (round(r.agreement, 6), r.compared) for r in found.collect()} == {1: (1.0, 3), 5: (round(1 / 3, 6), 3)}
+
+
+def test_progress_is_one_grouping_in_tasks_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(checkpoints, "SHARE", 1)
+    panel = spark.range(100).selectExpr("'t' AS task", "'m' AS model", "cast(id AS string) AS item_id")
+    found = checkpoints.cell_progress(panel.filter("item_id <> '7'").unionAll(panel.limit(1)), panel)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and (("item_id", "task", "model"), 20) in exchanges(found)
+    assert tuple(found.first())[2:-1] == (100, 99, 1, 0, False)
+
+
+def test_saved_answers_are_put_down_by_as_many_tasks_as_items_need(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(reshape, "SHARE", 50)
+    monkeypatch.setattr(running_jobs, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    found = catalog.QUERIES["saved_answers"](spark, SF).collect()
+    batches = list((tmp_path / "answers" / "out" / "rows").glob("batch_id=*"))
+    assert len(list((tmp_path / "answers" / "in").glob("*.parquet"))) > 40 and len(batches) == 3
+    assert len(found) == 25 and all(r.complete for r in found)
