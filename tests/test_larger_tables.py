@@ -13,7 +13,7 @@ from tallyframe.operators import contracts as q
 from tallyframe.operators import learning as s
 from tallyframe.operators import metrics as m
 from tallyframe.operators import reshape, state
-from tallyframe.plans import catalog, fixtures, running_jobs
+from tallyframe.plans import catalog, fixtures, running_jobs, supervised
 from tallyframe.streaming import checkpoints
 
 from .compare import SF, database, rows
@@ -42,6 +42,26 @@ def test_no_model_reaches_the_driver(spark, monkeypatch):
     assert found.select("id").distinct().count() == found.count() == 60
 
 
+@pytest.mark.parametrize("name", ["learning_curve", "crossover_sizes"])
+def test_predictions_are_not_broadcast(spark, monkeypatch, name):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 5 AS int) AS fold")
+    fields = spark.createDataFrame([("lang", "categorical", "lang"), ("content", "multi_binary", "quality"), ("content", "multi_binary", "toxic")], "task string, kind string, label_field string")
+    golds = docs.crossJoin(fields).selectExpr("task", "kind", "label_field", "doc_id", "CASE WHEN task = 'lang' THEN if(doc_id % 2 = 0, 'en', 'de') ELSE cast(doc_id % 2 AS string) END AS gold", "fold")
+    wrong = "label_field <> 'quality' AND doc_id % 40 < size"  # 40: as many as can be
+    found = golds.crossJoin(spark.createDataFrame([(10,), (20,)], "size int")).selectExpr("doc_id", "task", "label_field", "fold", "size", f"CASE WHEN NOT ({wrong}) THEN gold WHEN task = 'lang' THEN if(gold = 'en', 'de', 'en') ELSE if(gold = '1', '0', '1') END AS pred")
+    monkeypatch.setattr(supervised, "predictions", lambda spark, sf_dir, largest: (golds, supervised.written(found, "synthetic")))
+    monkeypatch.setattr(s, "SIZES", (10, 20, 30))
+    plans, plain = [], supervised.written
+    monkeypatch.setattr(supervised, "written", lambda df, name: plans.append(df) or plain(df, name))
+    df = catalog.QUERIES[name](spark, SF)
+    joins = [x for f in (*plans, df) for x in re.findall(r"(\w+Join) \[([^\]]*)\]", f._jdf.queryExecution().executedPlan().toString())]
+    assert {kind for kind, keys in joins if "doc_id" in keys} == {"SortMergeJoin"}
+    if name == "learning_curve":
+        got = {(r.task, r["size"], r.fold): (r.headline_f1, r.accuracy, r.n_test) for r in df.collect()}
+        known = lambda size: (1 - size / 40, 1 - size / 40, 800)
+        assert got == {(t, size, f): (known(size) if t == "lang" else (round((2 - size / 40) / 2, 6), *known(size)[1:])) if size < 30 else (None, None, None) for t in ("lang", "content") for size in (10, 20, 30) for f in range(5)}
+
+
 @pytest.mark.parametrize("name", ["decoded_titles", "unescaped_titles"])
 def test_titles_as_sql_has_them(spark, tmp_path, name):
     titles = ["a &amp;lt; b", "cut &amp", "&eacute;&nbsp;&#233;", " x   y\v\t z ", "&quot;&#39;&gt;", ""]
